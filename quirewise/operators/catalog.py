@@ -60,7 +60,7 @@ def catalog_backfill(listing: DataFrame, users: DataFrame, catalog: DataFrame) -
     )
 
 
-def merge_accounts(accounts: DataFrame, logins: DataFrame, order_by: str) -> DataFrame:
+def merge_accounts(accounts: DataFrame, logins: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Upsert sign-ins into accounts, matched on email.
 
     A match overwrites ``google_id``, fills an empty ``full_name``, takes a given picture and
@@ -68,7 +68,7 @@ def merge_accounts(accounts: DataFrame, logins: DataFrame, order_by: str) -> Dat
     as if applied in turn: last id, first given name, last given picture. That fold is an
     aggregate with map-side combine, so both sides of the full outer join are unique on email.
     """
-    turn = F.col(order_by)
+    turn = F.struct(*order_by)
     name, picture = filled("name"), filled("profile_picture")
     n = logins.groupBy(F.col("email").alias("n_email")).agg(
         F.max_by("google_id", turn).alias("n_google_id"),
@@ -92,7 +92,7 @@ def merge_accounts(accounts: DataFrame, logins: DataFrame, order_by: str) -> Dat
 def partial_update(
     users: DataFrame,
     changes: DataFrame,
-    order_by: str,
+    order_by: Sequence[str],
     fields: Sequence[str] = ("full_name", "is_active", "profile_picture"),
 ) -> tuple[DataFrame, DataFrame]:
     """``(users, rejected changes)``: only given fields change, ``role`` only by an admin.
@@ -100,7 +100,7 @@ def partial_update(
     ``changes`` holds ``id, <fields>, role, admin_action`` and any number of rows per id,
     applied in ``order_by`` order: per field the last given value wins.
     """
-    turn = F.col(order_by)
+    turn = F.struct(*order_by)
 
     def last_given(value):
         return F.max_by(value, F.when(value.isNotNull(), turn))

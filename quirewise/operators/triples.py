@@ -39,29 +39,32 @@ def _is_variable(term: str | None) -> bool:
 
 
 def match_pattern(triples: DataFrame, pattern: Sequence[str | None]) -> DataFrame:
-    """One pattern ``(s, p, o)``; ``None`` or ``?name`` matches anything.
+    """Triples fitting ``(s, p, o)``; ``None`` or ``?name`` matches anything.
 
-    Fixed positions become pushed-down filters; named positions become the result's columns.
+    Fixed positions become filters the scan can push down; a name used twice must match itself.
     """
-    out = triples
+    seen: dict[str, str] = {}
     for position, term in zip(POSITIONS, pattern):
         if not _is_variable(term):
-            out = out.filter(F.col(position) == term)
-    names: dict[str, str] = {}
-    for position, term in zip(POSITIONS, pattern):
-        if term and term.startswith("?"):
-            if term[1:] in names:
-                out = out.filter(F.col(position) == F.col(names[term[1:]]))
-            else:
-                names[term[1:]] = position
-    return out.select(*[F.col(position).alias(name) for name, position in names.items()])
+            triples = triples.filter(F.col(position) == term)
+        elif term and term in seen:
+            triples = triples.filter(F.col(position) == F.col(seen[term]))
+        elif term:
+            seen[term] = position
+    return triples
+
+
+def _bind(triples: DataFrame, pattern: Sequence[str | None]) -> DataFrame:
+    """Matches of one pattern with a column per variable."""
+    names = {term[1:]: position for position, term in zip(POSITIONS, pattern) if term and term.startswith("?")}
+    return match_pattern(triples, pattern).select(*[F.col(position).alias(name) for name, position in names.items()])
 
 
 def match_patterns(triples: DataFrame, patterns: Sequence[Sequence[str | None]]) -> DataFrame:
     """Several patterns joined on the variables they share."""
-    result = match_pattern(triples, patterns[0])
+    result = _bind(triples, patterns[0])
     for pattern in patterns[1:]:
-        nxt = match_pattern(triples, pattern)
+        nxt = _bind(triples, pattern)
         shared = [c for c in result.columns if c in nxt.columns]
         if not shared:
             raise RequestError(f"Pattern {tuple(pattern)} shares no variable with the ones before it.")
