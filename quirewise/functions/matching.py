@@ -11,26 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.tables import union_all
+from .frames import bounded_blocks, union_all
 
-MAX_BLOCK_ROWS = 4096
-MAX_BLOCK_CHARS = 8_000_000
-
-
-def query_blocks(queries: DataFrame, weight: str | None = None) -> Iterator[DataFrame]:
-    """The queries table in hash blocks small enough to hand to every task.
-
-    The size is measured first, in rows and in characters of ``weight``. Small tables are
-    one block; larger ones are answered block by block, so nothing is dropped.
-    """
-    chars = F.coalesce(F.sum(F.length(weight)), F.lit(0)) if weight else F.lit(0)
-    rows, chars = queries.agg(F.count(F.lit(1)), chars).first()
-    blocks = max(1, -(-rows // MAX_BLOCK_ROWS), -(-chars // MAX_BLOCK_CHARS))
-    if blocks == 1:
-        yield queries
-        return
-    for i in range(2 * blocks):  # half-full on average, so an uneven hash stays in bounds
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i)
+# Size of one automaton: some tens of bytes per character in every Python worker.
+MAX_BLOCK_ROWS = 65_536
+MAX_BLOCK_CHARS = 2_000_000
 
 
 def anchor(text: str, wildcards: bool) -> str:
@@ -76,7 +61,7 @@ def find_contained(
     """
     fold = F.lower if ignore_case else (lambda c: c)
     parts = []
-    for block in query_blocks(queries, "text"):
+    for block in bounded_blocks(queries, MAX_BLOCK_ROWS, "text", MAX_BLOCK_CHARS):
         rows = block.select("query_id", "text", fold(F.col("text")).alias("folded")).collect()
         parts.append(
             _find_block(df.withColumn("_folded", fold(F.col(column))), rows, queries.schema["query_id"], wildcards)

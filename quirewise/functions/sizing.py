@@ -27,8 +27,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Even out a scan that has no more splits than the cluster has cores.
 
     One small file is one or two busy tasks however many cores there are; costly row work on
-    it is worth a shuffle. A large scan has many splits per core and is returned untouched.
-    Call it on a scan (no shuffle underneath), so that asking for its splits runs nothing.
+    it is worth a shuffle. A large scan has many splits per core and is returned untouched, as
+    is a plan with a shuffle of its own (it is adaptive, and counting its splits would run it).
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

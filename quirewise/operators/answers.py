@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sizing import broadcast_checked
+from ..session import materialize
+
 CONTEXT_BUDGET = 8000
 
 
@@ -18,17 +21,18 @@ def assemble_context(
     """``(query_id, context, sources)``: ranked texts joined by a blank line, up to ``budget`` characters.
 
     A text is taken while the texts before it and it fit; the first that does not fit is cut to
-    what is left. Texts are fetched only for ranked ids, and each is cut to the budget before it
-    moves, so a query's group holds at most its top-k rows of bounded size.
+    what is left. The ranking is written out first: it is small, and once its size is known it
+    can be broadcast to the document scan, so no text moves but the ranked ones, cut to the
+    budget. A query's group is its top-k rows.
     """
+    wanted = materialize(ranked.select("query_id", "doc_id", "rank"), "ranking")
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.substring(content, 1, budget).alias("text"))
     ordered = Window.partitionBy("query_id").orderBy("rank")
     before = F.coalesce(
         F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     return (
-        ranked.select("query_id", "doc_id", "rank")
-        .join(texts, "doc_id")
+        texts.join(broadcast_checked(wanted), "doc_id")
         .withColumn("_left", F.lit(budget) - before)
         .filter("_left > 0")
         .select("query_id", "doc_id", "rank", F.substring(F.col("text"), F.lit(1), F.col("_left").cast("int")).alias("text"))

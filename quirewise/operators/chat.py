@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,6 @@ from .ordered import SEGMENT, total_before
 TEMPERATURE = 0.1
 MAX_OUTPUT_TOKENS = 2048
 
-PAYLOAD_PARTS = "array<struct<role:string,parts:array<struct<text:string>>>>"
-
 
 def fold_chat(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Messages ``(conv_id, at_turn, role, text)`` in the alternating form a model expects.
@@ -55,19 +55,33 @@ def fold_chat(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 def chat_payload(
-    turns: DataFrame, temperature: float = TEMPERATURE, max_output_tokens: int = MAX_OUTPUT_TOKENS
+    turns: DataFrame,
+    temperature: float = TEMPERATURE,
+    max_output_tokens: int = MAX_OUTPUT_TOKENS,
+    segment: int = SEGMENT,
 ) -> DataFrame:
-    """One JSON request per conversation: its folded messages and the generation settings."""
-    part = F.struct(
-        "at_turn", F.struct("role", F.array(F.struct("text")).alias("parts")).alias("message")
+    """``(conv_id, part, payload)``: the JSON request of each conversation.
+
+    A conversation is one part unless it runs over ``segment`` turns; the parts of a longer
+    one, joined in order, are its request. So no task ever gathers an endless conversation.
+    """
+    message = F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts")))
+    parts = (
+        fold_chat(turns, segment)
+        .select("conv_id", F.floor(F.col("at_turn") / segment).cast("bigint").alias("part"), "at_turn", message.alias("_json"))
+        .groupBy("conv_id", "part")
+        .agg(F.expr("listagg(_json, ',') within group (order by at_turn)").alias("_body"))
     )
-    contents = F.transform(F.array_sort(F.collect_list(part)), lambda p: p["message"])
-    config = F.struct(F.lit(temperature).alias("temperature"), F.lit(max_output_tokens).alias("maxOutputTokens"))
-    return (
-        fold_chat(turns)
-        .groupBy("conv_id")
-        .agg(contents.alias("contents"))
-        .select("conv_id", F.to_json(F.struct("contents", config.alias("generationConfig"))).alias("payload"))
+    ends = parts.groupBy("conv_id").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    config = json.dumps({"temperature": temperature, "maxOutputTokens": max_output_tokens}, separators=(",", ":"))
+    return parts.join(ends, "conv_id").select(
+        "conv_id",
+        "part",
+        F.concat(
+            F.when(F.col("part") == F.col("_first"), '{"contents":[').otherwise(","),
+            F.col("_body"),
+            F.when(F.col("part") == F.col("_last"), f'],"generationConfig":{config}' + "}").otherwise(""),
+        ).alias("payload"),
     )
 
 

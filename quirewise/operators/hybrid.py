@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .graph import traverse
 from .keyword import batch_keyword_search, bm25_topk, top_k
-from .tables import union_all
 from .triples import batch_search_triples
 from .vectors import vector_topk
 
@@ -52,8 +52,9 @@ def hybrid_union(
     parts = []
     if documents is not None:
         asked = _asks(queries, "relational").select("query_id", "text")
-        hits = batch_keyword_search(documents, asked, doc_id="id", content="content")
-        titled = hits.join(documents.select(F.col("id").alias("doc_id"), "title", "file_type", "user_id"), "doc_id")
+        titled = batch_keyword_search(
+            documents, asked, doc_id="id", content="content", keep=["title", "file_type", "user_id"]
+        )
         payload = F.create_map(
             F.lit("title"), "title", F.lit("file_type"), "file_type", F.lit("user_id"), F.col("user_id").cast("string")
         )
@@ -77,11 +78,15 @@ def hybrid_union(
 
 
 def _scaled(hits: DataFrame, name: str) -> DataFrame:
-    """Scores of each query's list mapped to 0..1; a list of equal scores maps to 1."""
-    ends = hits.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
-    flat = F.col("_high") == F.col("_low")
-    unit = F.when(flat, 1.0).otherwise((F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    return hits.join(ends, "query_id").select("query_id", "doc_id", unit.alias(name))
+    """Scores of each query's list mapped to 0..1; a list of equal scores maps to 1.
+
+    A list is a top-k result, at most k rows, already partitioned by query: the window adds
+    no shuffle and the ranking under it is computed once.
+    """
+    per_query = Window.partitionBy("query_id")
+    low, high = F.min("score").over(per_query), F.max("score").over(per_query)
+    unit = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
+    return hits.select("query_id", "doc_id", unit.alias(name))
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, weights: DataFrame | None = None, k: int = 10) -> DataFrame:

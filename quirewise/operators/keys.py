@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import broadcast_checked
+
 
 def equals_all(df: DataFrame, wanted: Mapping[str, Any]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.lit(v) for k, v in wanted.items()])
@@ -21,7 +23,7 @@ def find_first(df: DataFrame, wanted: Mapping[str, Any], order_by: Sequence[str]
 
 def find_many(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Batch look-up: every row whose key is listed in ``keys``."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    return df.join(broadcast_checked(keys.select(*on)), list(on), "left_semi")
 
 
 def owned_by(files: DataFrame, user_id: Any, column: str = "user_id") -> DataFrame:
@@ -33,7 +35,7 @@ def in_files(df: DataFrame, ids: DataFrame | Sequence[Any] | None, column: str)
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+        return df.join(broadcast_checked(ids.select(F.col(ids.columns[0]).alias(column))), column, "left_semi")
     return df.filter(F.col(column).isin(*ids))
 
 
@@ -66,14 +68,15 @@ def insert_if_absent(
 def delete_keys(store: DataFrame, keys: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(kept rows, keys that were not found)``."""
     wanted = keys.select(*on).distinct()
-    return store.join(wanted, list(on), "left_anti"), wanted.join(store, list(on), "left_anti")
+    kept = store.join(broadcast_checked(wanted), list(on), "left_anti")
+    return kept, wanted.join(store.select(*on), list(on), "left_anti")
 
 
 def delete_everywhere(
     stores: Mapping[str, tuple[DataFrame, str]], ids: DataFrame
 ) -> dict[str, DataFrame]:
     """Cascade: drop the listed document ids from every store ``name -> (table, id column)``."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    wanted = broadcast_checked(ids.select(F.col(ids.columns[0]).alias("_id")))
     return {
         name: df.join(wanted, F.col(column) == F.col("_id"), "left_anti")
         for name, (df, column) in stores.items()

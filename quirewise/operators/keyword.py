@@ -24,19 +24,21 @@ def keyword_search(documents: DataFrame, query: str) -> DataFrame:
     )
 
 
-def batch_keyword_search(documents: DataFrame, queries: DataFrame, *, doc_id: str, content: str) -> DataFrame:
-    """``(query_id, doc_id)`` for every query text found in a document, for a table of queries.
+def batch_keyword_search(
+    documents: DataFrame, queries: DataFrame, *, doc_id: str, content: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(query_id, doc_id, <keep>)`` for every query text found in a document, for a table of queries.
 
     One pass over the documents finds candidates with a multi-pattern automaton, the same
     ``ilike`` as the single search then decides; neither a cross join nor a shuffle is needed.
     """
     found = find_contained(
-        spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("_text"))),
+        spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("_text"), *keep)),
         "_text",
         queries,
         wildcards=True,
     )
-    return found.filter(keyword_test(F.col("_text"), F.col("query_text"))).select("query_id", "doc_id")
+    return found.filter(keyword_test(F.col("_text"), F.col("query_text"))).select("query_id", "doc_id", *keep)
 
 
 def hits_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +76,8 @@ def filter_table(
     if text_mode:
         df = normalize_columns(df, normalize)
     rows = df.filter(compile_conditions(df, conditions, text_mode, literal))
+    if dedup and count_only:  # which row is kept does not matter to a count
+        rows, dedup = rows.select(*[F.col(f"`{c}`") for c in subset or rows.columns]).distinct(), False
     if dedup:
         rows = drop_duplicates(rows, subset, order_by)
     if count_only:
@@ -155,6 +156,3 @@ def table_to_text(
 def result_as_json(df: DataFrame, column: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))
 
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

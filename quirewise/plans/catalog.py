@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..operators import catalog, ingest, keys, vectors
-from ..operators.tables import union_all
 from ..session import new_path
 from ..streaming import ingest as stream
 from . import derived

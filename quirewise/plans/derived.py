@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import spread
 from .registry import Tables
 
 # ---- tables as text ------------------------------------------------------------------------
@@ -237,4 +238,4 @@ def office_files(t: Tables) -> DataFrame:
     named = t.documents.select(
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), suffix).alias("file"), "lang", "source", "text"
     )
-    return named.mapInPandas(build, "file string, content binary")
+    return spread(named).mapInPandas(build, "file string, content binary")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers, chat, entities, hybrid, keyword, vectors
-from ..session import materialize
 from . import derived
 from .registry import query
 
@@ -241,7 +240,7 @@ def chat_fold(t):
 @query(
     "chat_payload",
     f"""with {CHAT_SQL}
-       select conv_id, '{{"contents":[' || string_agg('{{"role":"' || role || '","parts":[{{"text":' || to_json(text) || '}}]}}', ','
+       select conv_id, cast(0 as bigint) as part, '{{"contents":[' || string_agg('{{"role":"' || role || '","parts":[{{"text":' || to_json(text) || '}}]}}', ','
               order by at_turn) || '],"generationConfig":{{"temperature":0.1,"maxOutputTokens":2048}}}}' as payload
        from folded group by conv_id""",
 )

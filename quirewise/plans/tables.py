@@ -342,7 +342,6 @@ def count_only_multi(t):
         text_mode=False,
         dedup=True,
         subset=["l_partkey", "l_suppkey"],
-        order_by=["l_orderkey", "l_linenumber"],
         count_only=True,
     )
 
