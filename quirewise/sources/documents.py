@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
+from ..functions.text import base_name, extension
+from .listing import read_whole_text
 from .office import read_docx, read_pptx
 
 Extractor = Callable[[bytes], str]
@@ -24,16 +25,7 @@ EXTRACTORS: dict[str, Extractor] = {".txt": _utf8, ".md": _utf8, ".docx": read_d
 
 def scan_text(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.txt") -> DataFrame:
     """``(filename, path, content)``: each file one row, text verbatim."""
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_name").alias("filename"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("value").alias("content"),
-        )
-    )
+    return read_whole_text(spark, path, pattern).select(base_name("path").alias("filename"), "path", "content")
 
 
 def markdown_sections(documents: DataFrame, *, doc_id: str, content: str) -> DataFrame:

@@ -90,7 +90,10 @@ def _number_text(text: str) -> str:
 
 
 def read_workbook(content: bytes) -> Iterator[tuple[str, int, dict, dict]]:
-    """``(sheet, row_no, cells, kinds)`` for every data row; the first row of a sheet is its header."""
+    """``(sheet, row_no, cells, kinds)`` for every data row of every sheet.
+
+    The first row that holds anything is the header; it comes as a row without ``row_no``.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         strings: list[str] = []
         if "xl/sharedStrings.xml" in archive.namelist():
@@ -105,6 +108,7 @@ def read_workbook(content: bytes) -> Iterator[tuple[str, int, dict, dict]]:
 
 
 def _sheet_rows(part, sheet: str, strings: list[str], dates: list[bool], from_1904: bool):
+    """Rows as the XML streams by; blank rows keep their place."""
     header: list[str] | None = None
     row_no = 0
     for _, element in ElementTree.iterparse(part):
@@ -121,11 +125,14 @@ def _sheet_rows(part, sheet: str, strings: list[str], dates: list[bool], from_19
         if header is None:
             if row:
                 header = _header(row)
+                yield sheet, None, dict.fromkeys(header), {}
             continue
         cells = {name: row[i][0] if i in row else None for i, name in enumerate(header)}
         kinds = {name: row[i][1] if i in row else None for i, name in enumerate(header)}
         yield sheet, row_no, cells, kinds
         row_no += 1
+    if header is None:
+        yield sheet, None, {}, {}
 
 
 def _header(row: dict[int, tuple[str, str]]) -> list[str]:

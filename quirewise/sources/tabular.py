@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SheetError
-from ..functions.text import MISSING_TOKENS, base_name
+from ..functions.text import MISSING_TOKENS
 from .office import column_name, read_workbook
 
 ORDER_COLUMN = "_order"
@@ -60,22 +60,12 @@ WORKBOOK_SCHEMA = T.StructType(
 )
 
 
-def read_binary(spark: SparkSession, path: str | Sequence[str], pattern: str = "*") -> DataFrame:
-    """``(file, content)`` of whole files."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(base_name("path").alias("file"), "content")
-    )
-
-
 def scan_workbooks(files: DataFrame, batch_rows: int = 5000) -> DataFrame:
     """All sheets of ``(file, content)`` workbooks as one long table, a row per sheet row.
 
-    ``cells`` maps header to text, ``kinds`` to number / text / bool / date. A damaged workbook
-    is one row with ``error``. Rows leave in batches, so a long sheet is never held whole as rows.
+    ``cells`` maps header to text, ``kinds`` to number / text / bool / date. The header itself is
+    a row without ``row_no``, so a sheet without data rows exists too. A damaged workbook is one
+    row with ``error``. Rows leave in batches, so a long sheet is never held whole as rows.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +107,7 @@ def sheet_table(rows: DataFrame) -> DataFrame:
     first = rows.select(F.map_keys("cells").alias("names")).first()
     names = first["names"] if first else []
     if not names:
-        return rows.select("row_no")
+        return rows.filter("row_no is not null").select("row_no")
 
     def cell(name: str):
         return F.element_at("cells", F.lit(name))
@@ -125,12 +115,13 @@ def sheet_table(rows: DataFrame) -> DataFrame:
     def kind(name: str):
         return F.element_at("kinds", F.lit(name))
 
-    facts = rows.agg(
+    facts = rows.filter("row_no is not null").agg(
         *[F.collect_set(kind(n)).alias(f"k{i}") for i, n in enumerate(names)],
         *[F.bool_and(cell(n).rlike(r"^-?\d{1,18}$")).alias(f"w{i}") for i, n in enumerate(names)],
         *[F.bool_or(cell(n).isNull()).alias(f"m{i}") for i, n in enumerate(names)],
     ).first()
     columns = []
+    rows = rows.filter("row_no is not null")
     for i, name in enumerate(names):
         kinds = set(facts[f"k{i}"])
         if kinds == {"number"}:
