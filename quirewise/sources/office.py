@@ -110,7 +110,7 @@ def read_workbook(content: bytes) -> Iterator[tuple[str, int, dict, dict]]:
 def _sheet_rows(part, sheet: str, strings: list[str], dates: list[bool], from_1904: bool):
     """Rows as the XML streams by; blank rows keep their place."""
     header: list[str] | None = None
-    row_no = 0
+    row_no = last = blank = 0
     for _, element in ElementTree.iterparse(part):
         if _local(element.tag) != "row":
             continue
@@ -121,12 +121,23 @@ def _sheet_rows(part, sheet: str, strings: list[str], dates: list[bool], from_19
             value = _cell(c, strings, dates, from_1904)
             if value is not None:
                 row[position] = value
+        number = int(element.get("r", last + 1))
+        blank += number - last - 1
+        last = number
         element.clear()
         if header is None:
+            blank = 0
             if row:
                 header = _header(row)
                 yield sheet, None, dict.fromkeys(header), {}
             continue
+        if not row:
+            blank += 1
+            continue
+        for _ in range(blank):  # blank rows count only when data follows
+            yield sheet, row_no, dict.fromkeys(header), dict.fromkeys(header)
+            row_no += 1
+        blank = 0
         cells = {name: row[i][0] if i in row else None for i, name in enumerate(header)}
         kinds = {name: row[i][1] if i in row else None for i, name in enumerate(header)}
         yield sheet, row_no, cells, kinds

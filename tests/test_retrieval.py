@@ -187,6 +187,17 @@ def test_empty_and_odd_vectors_are_skipped(spark):
     assert vectors.vector_topk(df, queries.filter("query_id = 'none'")).count() == 0
 
 
+def test_text_ids_holes_and_mixed_lengths(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [1.0, 1.0]), ("d", [float("nan"), 1.0]), ("e", [0.5, None])]
+    df = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<float>")
+    assert [r["doc_id"] for r in vectors.vector_topk(df, queries, 2).orderBy("rank").collect()] == ["a", "b"]
+    assert vectors.vector_topk(df, queries, 9).count() == 3
+    mixed = queries.unionByName(spark.createDataFrame([(2, [1.0])], queries.schema))
+    with pytest.raises(ValueError, match="different lengths"):
+        vectors.vector_topk(df, mixed)
+
+
 def test_vector_upsert(spark):
     store = spark.createDataFrame([("a", [1.0], 1)], "doc_id string, embedding array<float>, seq int")
     new = spark.createDataFrame([("a", [2.0], 2), ("a", [], 3), ("b", None, 4)], "doc_id string, embedding array<float>, seq int")

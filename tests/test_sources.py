@@ -72,6 +72,16 @@ def test_sheet_choice(books):
     assert only_header.columns == ["row_no", "1"] and only_header.count() == 0
 
 
+def test_blank_rows_keep_their_place(spark):
+    data = (
+        '<row r="2"><c r="A2" t="inlineStr"><is><t>h</t></is></c></row><row r="3"><c r="A3"><v>1</v></c></row>'
+        '<row r="5"/><row r="7"><c r="A7"><v>2</v></c></row><row r="9"><c r="A9"/></row>'
+    )
+    rows = tabular.scan_workbooks(spark.createDataFrame([("w", workbook({"S": data}))], "file string, content binary"))
+    table = tabular.sheet_table(rows)
+    assert [r["h"] for r in table.orderBy("row_no").collect()] == [1.0, None, None, None, 2.0]
+
+
 def test_damaged_workbooks_are_error_rows(books):
     bad = {r["file"]: r["error"] for r in books.filter("error is not null").collect()}
     assert set(bad) == {"bad.xlsx", "empty.xlsx"} and all("BadZipFile" in e for e in bad.values())
