@@ -67,6 +67,11 @@ def iso_timestamp(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def split_list(c: Column | str) -> Column:
+    """A comma-separated list as an array; an empty one has no members."""
+    return F.filter(F.split(_col(c), ","), lambda x: x != "")
+
+
 def map_value(m: Column | str, key: str, default: object = None) -> Column:
     """Map read with a default."""
     found = F.element_at(_col(m), F.lit(key))

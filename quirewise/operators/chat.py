@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,31 +14,32 @@ from .ordered import SEGMENT, total_before
 TEMPERATURE = 0.1
 MAX_OUTPUT_TOKENS = 2048
 
+LONG_TURNS = 100_000  # turns of one conversation a single task may hold
 
-def fold_chat(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
+
+def _is(role: str) -> Column:
+    return F.col("role") == role
+
+
+def fold_chat(turns: DataFrame, segment: int = SEGMENT, long_turns: int = LONG_TURNS) -> DataFrame:
     """Messages ``(conv_id, at_turn, role, text)`` in the alternating form a model expects.
 
     User texts between two assistant turns join into one message. System texts, each with a
     line break, go in front of the next user message, once; without one they are dropped.
     Every assistant turn is a ``model`` message. ``at_turn`` is the message's last turn.
 
-    Positions are worked out on the narrow columns with segmented totals, so one endless
-    conversation is spread over tasks; texts move only for the final join and grouping.
+    The longest conversation is measured first. Up to ``long_turns`` turns, one shuffle by
+    conversation serves all windows and the grouping. Beyond it a conversation is too much for
+    one task, and message numbers come from totals over segments of it.
     """
-    is_user = F.col("role") == "user"
-    is_model = F.col("role") == "assistant"
-    said = turns.filter(F.col("role").isin("system", "user"))
-    numbered = total_before(turns.select("conv_id", "turn", "role"), ["conv_id"], "turn", is_model.cast("int"), "block", segment)
-    blocks = numbered.filter(~is_model).groupBy("conv_id", "block").agg(F.max(is_user.cast("int")).alias("asked"))
-    messages = total_before(blocks, ["conv_id"], "block", F.col("asked"), "message", segment)
-    placed = numbered.filter(~is_model).join(messages.drop("asked"), ["conv_id", "block"]).select("conv_id", "turn", "message")
+    longest = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    said = _numbered(turns) if longest <= long_turns else _numbered_in_segments(turns, segment)
     user_messages = (
-        said.join(placed, ["conv_id", "turn"])
-        .groupBy("conv_id", "message")
+        said.groupBy("conv_id", "message")
         .agg(
-            F.max(F.when(is_user, F.col("turn"))).alias("at_turn"),
-            F.expr("listagg(case when role = 'system' then text || '\\n' end, '') within group (order by turn)").alias("_head"),
-            F.expr("listagg(case when role = 'user' then text end, '\\n') within group (order by turn)").alias("_body"),
+            F.max(F.when(_is("user"), F.col("turn"))).alias("at_turn"),
+            F.expr("listagg(case when role = 'system' then text || '\n' end, '') within group (order by turn)").alias("_head"),
+            F.expr("listagg(case when role = 'user' then text end, '\n') within group (order by turn)").alias("_body"),
         )
         .filter(F.col("at_turn").isNotNull())
         .select(
@@ -48,17 +49,42 @@ def fold_chat(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
             F.concat(F.coalesce("_head", F.lit("")), F.coalesce("_body", F.lit(""))).alias("text"),
         )
     )
-    model_messages = turns.filter(is_model).select(
+    model_messages = turns.filter(_is("assistant")).select(
         "conv_id", F.col("turn").alias("at_turn"), F.lit("model").alias("role"), "text"
     )
     return user_messages.unionByName(model_messages)
 
 
+def _numbered(turns: DataFrame) -> DataFrame:
+    """System and user turns with the number of the user message they belong to."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        turns.select("conv_id", "turn", "role", "text")
+        .withColumn("block", F.coalesce(F.count_if(_is("assistant")).over(before), F.lit(0)))
+        .withColumn("_asked", F.coalesce(F.count_if(_is("user")).over(in_block), F.lit(0)) > 0)
+        .withColumn("message", F.coalesce(F.count_if(_is("user") & ~F.col("_asked")).over(before), F.lit(0)))
+        .withColumn("message", F.col("message") - F.col("_asked").cast("int"))
+        .filter(F.col("role").isin("system", "user"))
+    )
+
+
+def _numbered_in_segments(turns: DataFrame, segment: int) -> DataFrame:
+    """The same for conversations of any length; texts move only for the last join."""
+    narrow = turns.select("conv_id", "turn", "role")
+    numbered = total_before(narrow, ["conv_id"], "turn", _is("assistant").cast("int"), "block", segment).filter(~_is("assistant"))
+    blocks = numbered.groupBy("conv_id", "block").agg(F.max(_is("user").cast("int")).alias("asked"))
+    messages = total_before(blocks, ["conv_id"], "block", F.col("asked"), "message", segment)
+    placed = numbered.join(messages.drop("asked"), ["conv_id", "block"]).select("conv_id", "turn", "message")
+    return turns.filter(F.col("role").isin("system", "user")).join(placed, ["conv_id", "turn"])
+
+
 def chat_payload(
     turns: DataFrame,
     temperature: float = TEMPERATURE,
     max_output_tokens: int = MAX_OUTPUT_TOKENS,
     segment: int = SEGMENT,
+    long_turns: int = LONG_TURNS,
 ) -> DataFrame:
     """``(conv_id, part, payload)``: the JSON request of each conversation.
 
@@ -67,7 +93,7 @@ def chat_payload(
     """
     message = F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts")))
     parts = (
-        fold_chat(turns, segment)
+        fold_chat(turns, segment, long_turns)
         .select("conv_id", F.floor(F.col("at_turn") / segment).cast("bigint").alias("part"), "at_turn", message.alias("_json"))
         .groupBy("conv_id", "part")
         .agg(F.expr("listagg(_json, ',') within group (order by at_turn)").alias("_body"))

@@ -49,17 +49,17 @@ def insert_if_absent(
     so a key repeated in a third of the batch is combined before the shuffle, and the join
     back is one that adaptive execution may broadcast or split.
     """
-    order = F.struct(*[F.col(c) for c in order_by])
-    firsts = incoming.groupBy(*keys).agg(F.min(order).alias("_first"))
+    order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    firsts = incoming.groupBy(*keys).agg(F.min(order).alias("_first"), F.lit(True).alias("_keyed"))
     known = store.select(*keys).distinct().withColumn("_known", F.lit(True))
     return (
         incoming.join(firsts, list(keys), "left")
         .join(known, list(keys), "left")
         .withColumn(
             "error",
-            F.when(F.col("_first").isNull(), "missing key")
+            F.when(F.col("_keyed").isNull(), "missing key")
             .when(F.col("_known"), "key already stored")
-            .when(order != F.col("_first"), "key repeated in this batch"),
+            .when(~order.eqNullSafe(F.col("_first")), "key repeated in this batch"),
         )
         .select(*incoming.columns, "error")
     )

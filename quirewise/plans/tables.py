@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import catalog, keys, keyword, tables
 from ..session import materialize, new_path
 from ..sources import documents as docs
@@ -367,3 +368,35 @@ def duplicate_keys(t):
 )
 def upsert_latest(t):
     return tables.keep_latest(t.events, ["user_id"], ["ts", "event_id"])
+
+
+# ---- scalar functions ----------------------------------------------------------------------
+
+
+@query(
+    "scalar_functions",
+    f"""with f as ({derived.FILES_SQL})
+       select filename, 'up/' || lang || '/' || filename as path, regexp_extract(lower(filename), '(\\.[^.]+)$', 1) as ext,
+              {STRIP.format("' ' || upper(source) || chr(9)")} as stripped,
+              cast(substr(source, 4) as double) as number, cast(null as double) as no_number,
+              list_filter(string_split(lang || ',' || source, ','), lambda x: x <> '')[2] as second,
+              coalesce(case when lang = 'en' then source end, 'unknown') as with_default,
+              nullif(case when lang = 'en' then '' else lang end, '') as filled, md5(content) as hash, length(content) as length
+       from f""",
+)
+def scalar_functions(t):
+    f = derived.files(t).withColumn("path", F.concat(F.lit("up/"), "lang", F.lit("/"), "filename"))
+    some = F.when(F.col("lang") == "en", F.create_map(F.lit("source"), F.col("source"))).otherwise(F.create_map())
+    return f.select(
+        text.base_name("path").alias("filename"),
+        "path",
+        text.extension("path").alias("ext"),
+        text.norm(F.concat(F.lit(" "), F.upper("source"), F.lit("\t"))).alias("stripped"),
+        text.to_number(F.substr("source", F.lit(4))).alias("number"),
+        text.to_number("source").alias("no_number"),
+        F.element_at(text.split_list(F.concat_ws(",", "lang", "source")), 2).alias("second"),
+        text.map_value(some.cast("map<string,string>"), "source", "unknown").alias("with_default"),
+        text.filled(F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))).alias("filled"),
+        F.md5(F.col("content").cast("binary")).alias("hash"),
+        F.length("content").cast("bigint").alias("length"),
+    )

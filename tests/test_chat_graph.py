@@ -48,13 +48,13 @@ FIXED = {
 }
 
 
-@pytest.mark.parametrize("segment", [2, 7, 4096])
-def test_folding_follows_the_rule(spark, segment):
+@pytest.mark.parametrize("segment, long_turns", [(2, 0), (7, 0), (4096, 100_000)])
+def test_folding_follows_the_rule(spark, segment, long_turns):
     chats = {**random_chats(40, segment), **FIXED}
     rows = [(c, *turn) for c, turns in chats.items() for turn in turns]
     df = spark.createDataFrame(rows, TURNS).repartition(5)
     got = {}
-    for r in chat.fold_chat(df, segment).collect():
+    for r in chat.fold_chat(df, segment, long_turns).collect():
         got.setdefault(r["conv_id"], []).append((r["at_turn"], r["role"], r["text"]))
     for c, turns in chats.items():
         assert sorted(got.get(c, [])) == sorted(by_rule(turns)), c

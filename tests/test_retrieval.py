@@ -212,6 +212,18 @@ def test_hash_embedding_is_unit_length_and_repeatable(spark):
     assert np.linalg.norm(out[1]) == pytest.approx(1.0)
 
 
+def test_semantic_search_with_filters(spark):
+    docs = spark.createDataFrame(
+        [(1, "red apple", {"lang": "en"}), (2, "red apple", {"lang": "fr"}), (3, "blue sky", {})],
+        "doc_id int, text string, metadata map<string,string>",
+    )
+    queries = spark.createDataFrame(
+        [(1, "apple red", {"lang": "fr"}), (2, "sky", {})], "query_id int, text string, filters map<string,string>"
+    )
+    out = vectors.search_semantic(docs, queries, 1, doc_id="doc_id", content="text", filtered=True).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in out) == [(1, 2), (2, 3)]
+
+
 def test_user_embedding_model(spark):
     def load():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
