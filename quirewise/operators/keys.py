@@ -46,15 +46,15 @@ def insert_if_absent(
 
     Refused are keys already stored and, within the batch, every row of a key but the first
     under ``order_by`` (which must identify a row). First rows come from a ``min`` aggregate,
-    so a key repeated in a third of the batch is combined before the shuffle, and the join
-    back is one that adaptive execution may broadcast or split.
+    so a key repeated in a third of the batch is combined before the shuffle. What is known of
+    a key is gathered in one row, and the batch joins it once, in a join that adaptive
+    execution may broadcast or split.
     """
     order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     firsts = incoming.groupBy(*keys).agg(F.min(order).alias("_first"), F.lit(True).alias("_keyed"))
     known = store.select(*keys).distinct().withColumn("_known", F.lit(True))
     return (
-        incoming.join(firsts, list(keys), "left")
-        .join(known, list(keys), "left")
+        incoming.join(firsts.join(known, list(keys), "left"), list(keys), "left")
         .withColumn(
             "error",
             F.when(F.col("_keyed").isNull(), "missing key")

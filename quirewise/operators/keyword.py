@@ -62,12 +62,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def postings(documents: DataFrame, *, doc_id: str, content: str, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(
+    documents: DataFrame, *, doc_id: str, content: str, vocabulary: DataFrame | None = None, small: bool = False
+) -> DataFrame:
     """``(doc_id, doc_len, term, tf)`` plus one NULL-term row per document.
 
     The NULL-term row carries the length of documents that hold no listed term, so corpus
     size and mean length come from this table alone. With a ``vocabulary`` all other terms
     fold into that row before the shuffle: what moves is one row per document and query term.
+    ``small`` says the vocabulary was measured to fit a broadcast.
     """
     texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(content, F.lit("")).alias("_text")))
     tokens = texts.select("doc_id", words("_text").alias("_words")).select(
@@ -76,14 +79,15 @@ def postings(documents: DataFrame, *, doc_id: str, content: str, vocabulary: Dat
         F.explode(F.array_append("_words", F.lit(None).cast("string"))).alias("term"),
     )
     if vocabulary is not None:
-        known = broadcast_checked(vocabulary.select(F.col("term").alias("_known")).distinct())
+        known = vocabulary.select(F.col("term").alias("_known")).distinct()
+        known = F.broadcast(known) if small else broadcast_checked(known)
         tokens = tokens.join(known, F.col("term") == F.col("_known"), "left").select(
             "doc_id", "doc_len", F.col("_known").alias("term")
         )
     return tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, small: bool = False) -> DataFrame:
     """Okapi BM25 for every (query, document) that share a term.
 
     The index is hash-partitioned by document once. The term table is broadcast when its
@@ -98,7 +102,7 @@ def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = 1.5, b: float =
     weighted = terms.join(freq, "term").select("query_id", "term", (F.col("weight") * idf).alias("idf"))
     length = 1 - b + b * F.col("doc_len") / corpus["mean"]
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    if fits_broadcast(terms):  # one row per (query, term), like ``weighted``
+    if small or fits_broadcast(terms):  # one row per (query, term), like ``weighted``
         hits, weighted = hits.repartition("doc_id"), F.broadcast(weighted)
     return (
         hits.join(weighted, "term")
@@ -110,8 +114,11 @@ def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = 1.5, b: float =
 def bm25_topk(documents: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str) -> DataFrame:
     """Best ``k`` documents per query: ``(query_id, doc_id, score, rank)``."""
     terms = query_terms(queries)
-    index = materialize(postings(documents, doc_id=doc_id, content=content, vocabulary=terms), "postings")
-    return top_k(bm25_scores(index, terms), k).select("query_id", "doc_id", "score", "rank")
+    small = fits_broadcast(terms)
+    index = materialize(
+        postings(documents, doc_id=doc_id, content=content, vocabulary=terms, small=small), "postings"
+    )
+    return top_k(bm25_scores(index, terms, small=small), k).select("query_id", "doc_id", "score", "rank")
 
 
 def chunk_text(documents: DataFrame, *, doc_id: str, content: str, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_test_folders: dict[str, str] = {}
 
 
 def get_session(app: str = "quirewise", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,9 +44,7 @@ def work_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="quirewise-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return _test_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quirewise-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
