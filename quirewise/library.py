@@ -1,16 +1,18 @@
 """A document library kept as plain Parquet tables under one folder.
 
 The front door for users who think in uploads and questions: ``upload``, ``list_documents``,
-``delete_documents``, ``prompts``, ``answers``. Every method is a few operator calls; tables
-only grow, a deletion is a row in ``deletions`` that reads leave out, so nothing is rewritten.
+``delete_documents``, ``prompts``, ``answers``. Every method is a few operator calls. Tables
+only grow, one ``batch`` partition per upload; a deletion is a row in ``deletions`` that reads
+leave out. Writing a batch again replaces it, so a repeated upload of a stream adds nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,17 +43,20 @@ class Library:
     def _read(self, name: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}")
+            return self.spark.createDataFrame([], f"{TABLES[name]}, batch string")
+        return self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(f"{self.folder}/{name}")
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _write(self, name: str, rows: DataFrame, batch: str) -> None:
         columns = T.StructType.fromDDL(TABLES[name]).names
-        rows.select(*columns).write.mode("append").parquet(f"{self.folder}/{name}")
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
-    def _live(self, name: str, key: str) -> DataFrame:
+    def _now(self) -> Column:
+        return F.lit(self.spark.range(1).select(F.current_timestamp().alias("now")).first()["now"])
+
+    def _live(self, name: str, key: str, except_batch: str = "") -> DataFrame:
         """Rows whose document was not deleted after they were written."""
         gone = self._read("deletions").groupBy(F.col("id").alias("_id")).agg(F.max("deleted_at").alias("_at"))
-        rows = self._read(name)
+        rows = self._read(name).filter(F.col("batch") != except_batch).drop("batch")
         deleted = (F.col(key) == F.col("_id")) & (F.col("created_at") <= F.col("_at"))
         return rows.join(broadcast_checked(gone), deleted, "left_anti")
 
@@ -71,14 +76,16 @@ class Library:
 
     def upload(self, path: str, user_id: str) -> DataFrame:
         """Ingest every file under ``path``; returns ``(filename, success, error)`` per file."""
-        uploads = ingest.read_uploads(self.spark, path, user_id)
-        batch = ingest.ingest_documents(uploads, self.documents, self.embed)
-        stamp = F.lit(self.spark.range(1).select(F.current_timestamp().alias("now")).first()["now"])
-        self._append("vectors", batch.vectors.withColumn("created_at", stamp))
-        self._append("entities", batch.entities.withColumn("created_at", stamp))
-        self._append("documents", batch.documents.withColumn("created_at", stamp))
-        stored = batch.documents.select(F.col("id").alias("filename"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
-        return stored.unionByName(batch.rejects.select(F.col("id").alias("filename"), F.lit(False).alias("success"), "error"))
+        return self.add(ingest.read_uploads(self.spark, path, user_id), uuid.uuid4().hex)
+
+    def add(self, uploads: DataFrame, batch: str) -> DataFrame:
+        """Ingest decoded uploads as the named batch, replacing an earlier run of that batch."""
+        made = ingest.ingest_documents(uploads, self._live("documents", "id", batch), self.embed)
+        stamp = self._now()
+        for name, rows in (("vectors", made.vectors), ("entities", made.entities), ("documents", made.documents)):
+            self._write(name, rows.withColumn("created_at", stamp), batch)
+        stored = made.documents.select(F.col("id").alias("filename"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+        return stored.unionByName(made.rejects.select(F.col("id").alias("filename"), F.lit(False).alias("success"), "error"))
 
     def list_documents(self, user_id: str) -> DataFrame:
         """``(file_id, filename, type, is_structured, structure_type, created_at)`` of one owner."""
@@ -88,9 +95,9 @@ class Library:
     def delete_documents(self, ids: Sequence[str] | DataFrame, user_id: str) -> DataFrame:
         """Delete an owner's documents from every table; returns the ids that were theirs."""
         mine = in_files(owned_by(self.documents, user_id).select("id"), ids, "id")
-        now = F.lit(self.spark.range(1).select(F.current_timestamp().alias("now")).first()["now"])
-        self._append("deletions", mine.withColumn("deleted_at", now))
-        return self._read("deletions").filter(F.col("deleted_at") == now).select("id")
+        batch = uuid.uuid4().hex
+        self._write("deletions", mine.withColumn("deleted_at", self._now()), batch)
+        return self._read("deletions").filter(F.col("batch") == batch).select("id")
 
     # ---- questions ----
 

@@ -40,6 +40,7 @@ def extract_documents(files: DataFrame, extractors: Mapping[str, Extractor] | No
     """``(file, content, error)`` from ``(file, content BINARY)``; bad input never fails the job.
 
     A file that cannot be read, or has no decoder, keeps a bracketed placeholder as content.
+    ``file`` may be a name or a whole path.
     """
     decoders = {**EXTRACTORS, **(extractors or {})}
 
@@ -60,11 +61,12 @@ def extract_documents(files: DataFrame, extractors: Mapping[str, Extractor] | No
     raw = files.select("file", extension("file").alias("ext"), "content").mapInPandas(
         extract, "file string, content string, error string"
     )
+    name = base_name("file")
     blank = F.col("error").isNull() & (F.trim(F.coalesce("content", F.lit(""))) == "") & (extension("file") == ".pdf")
     return raw.select(
         "file",
-        F.when(F.col("error").isNotNull(), F.format_string("[Error processing document: %s. Error: %s]", "file", "error"))
-        .when(blank, F.format_string("[This document appears to contain no extractable text: %s]", "file"))
+        F.when(F.col("error").isNotNull(), F.format_string("[Error processing document: %s. Error: %s]", name, "error"))
+        .when(blank, F.format_string("[This document appears to contain no extractable text: %s]", name))
         .otherwise(F.col("content"))
         .alias("content"),
         F.when(blank, "no extractable text").otherwise(F.col("error")).alias("error"),

@@ -36,10 +36,10 @@ def _binary(spark: SparkSession, path, pattern: str) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """``(file, content)`` of whole files, empty ones too."""
+    """``(path, file, content)`` of whole files, empty ones too."""
     scan = _binary(spark, path, pattern)
     empty = empty_files(scan, F.col("_metadata.file_path")).select("path", F.lit(b"").alias("content"))
-    return scan.select("path", "content").unionByName(empty).select(base_name("path").alias("file"), "content")
+    return scan.select("path", "content").unionByName(empty).select("path", base_name("path").alias("file"), "content")
 
 
 def list_files(spark: SparkSession, path, pattern: str = "*") -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import base_name
+from ..library import Library
+from ..operators.ingest import decode_uploads
 from ..operators.keys import insert_if_absent
+from ..session import materialize
 
 BATCH = "batch_id"
 
@@ -25,6 +30,8 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def append_new_keys(target: str, rejects: str, keys: Sequence[str], order_by: Sequence[str]):
     """A ``foreachBatch`` writer: keep-first inside the batch, refuse keys already in the table.
 
+    Rows equal under ``order_by`` are told apart by their number in the written-out batch.
+
     Each batch overwrites its own ``batch_id`` partition and compares with earlier batches
     only, so a batch replayed after a failure writes the same rows again instead of more.
     """
@@ -32,7 +39,8 @@ def append_new_keys(target: str, rejects: str, keys: Sequence[str], order_by: Se
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = _stored(spark, target, batch.schema).filter(F.col(BATCH) < batch_id)
-        checked = insert_if_absent(earlier, batch, keys, order_by).persist()
+        rows = materialize(batch.withColumn("_row", F.monotonically_increasing_id()), "arrived")
+        checked = insert_if_absent(earlier, rows, keys, [*order_by, "_row"]).drop("_row").persist()
         for path, rows in (
             (target, checked.filter("error is null").drop("error")),
             (rejects, checked.filter("error is not null")),
@@ -64,3 +72,33 @@ def table_stream(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
+
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def upload_stream(
+    library: Library, path: str, user_id: str, checkpoint: str, pattern: str = "*", files_per_batch: int | None = None
+) -> None:
+    """Upload every new file under ``path`` into the library, then stop; call again for later files.
+
+    Each micro-batch is one named library batch, so a replay replaces what it wrote before.
+    """
+    spark = library.spark
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        files = batch.select("path", base_name("path").alias("file"), "content")
+        library.add(decode_uploads(files, user_id), f"stream-{stream_name}-{batch_id}")
+
+    (
+        reader.load(path)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )

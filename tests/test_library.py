@@ -1,6 +1,8 @@
 import pytest
 
 from quirewise.library import Library
+from quirewise.operators.ingest import decode_uploads
+from quirewise.streaming.ingest import upload_stream
 
 
 @pytest.fixture()
@@ -48,3 +50,22 @@ def test_upload_ask_list_delete(spark, library):
 def test_missing_file(library):
     with pytest.raises(FileNotFoundError):
         library[0].upload("/tmp/does_not_exist.txt", "test_user")
+
+
+def test_streamed_uploads(spark, library, tmp_path):
+    lib, folder = library
+    progress = str(tmp_path / "progress")
+    upload_stream(lib, folder, "ann", progress, files_per_batch=1)
+    assert {r["file_id"] for r in lib.list_documents("ann").collect()} == {"cat.txt", "dog.txt"}
+    (tmp_path / "in" / "new.txt").write_text("A new one.", encoding="utf-8")
+    upload_stream(lib, folder, "ann", progress)
+    assert lib.documents.count() == 3 and lib.vectors.count() == 3
+
+
+def test_a_repeated_batch_replaces_itself(spark, library):
+    lib, _ = library
+    files = spark.createDataFrame([("a.txt", b"Ann"), ("a.txt", b"Bob")], "file string, content binary")
+    for _ in range(2):
+        result = lib.add(decode_uploads(files, "u"), "b1").collect()
+        assert sorted((r["success"], r["error"]) for r in result) == [(False, "key repeated in this batch"), (True, None)]
+        assert lib.documents.count() == 1 and lib.vectors.count() == 1 and lib.entities.count() == 1

@@ -175,6 +175,8 @@ def test_upload_and_ingest_a_folder(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(workbook({"S": '<row r="1"><c r="A1" t="inlineStr"><is><t>h</t></is></c></row><row r="2"><c r="A2"><v>7</v></c></row>'}))
     (tmp_path / "broken.xlsx").write_bytes(b"zip?")
     (tmp_path / "x.zip").write_bytes(b"")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "w.xlsx").write_bytes((tmp_path / "w.xlsx").read_bytes())
     uploads = ingest.read_uploads(spark, str(tmp_path), "test_user")
     stored = spark.createDataFrame([("t.csv",)], "id string")
     batch = ingest.ingest_documents(uploads, stored)
@@ -185,7 +187,9 @@ def test_upload_and_ingest_a_folder(spark, tmp_path):
     assert docs["w.xlsx"]["content"] == "Sheet S:\nh\n7" and docs["w.xlsx"]["structure_type"] == "excel"
     assert docs["broken.xlsx"]["content"].startswith("[Error processing document: broken.xlsx")
     rejects = {r["id"]: r["error"] for r in batch.rejects.collect()}
-    assert rejects == {"t.csv": "key already stored", "x.zip": "File type .zip is not supported."}
+    assert rejects == {
+        "t.csv": "key already stored", "x.zip": "File type .zip is not supported.", "w.xlsx": "key repeated in this batch",
+    }
     vectors = {r["doc_id"]: r for r in batch.vectors.collect()}
     assert vectors["w.xlsx"]["metadata"] == {
         "source": "w.xlsx", "file_type": "xlsx", "is_structured": "true", "structure_type": "excel",

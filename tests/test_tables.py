@@ -73,6 +73,12 @@ def test_bad_number_values_are_refused(numbers, value):
         filter_table(numbers, cond(">", value), text_mode=True)
 
 
+def test_bad_patterns_are_refused(numbers):
+    for text_mode in (True, False):
+        with pytest.raises(ConditionError, match="regular expression"):
+            filter_table(numbers, cond("contains", "(a"), text_mode=text_mode)
+
+
 def test_unknown_operator(numbers):
     for text_mode in (True, False):
         with pytest.raises(ConditionError, match="Unsupported operator"):
