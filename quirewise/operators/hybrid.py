@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
+from ..session import materialize
 from .graph import traverse
 from .keyword import batch_keyword_search, bm25_topk, top_k
 from .triples import batch_search_triples
@@ -48,8 +49,10 @@ def hybrid_union(
 
     ``queries``: ``query_id, text[, vector, filters, databases]``. A store that is not given
     answers nothing. Order the result by ``source_rank, score desc, id`` for the list form.
+    The queries are read several times, so they are written out first.
     """
     parts = []
+    queries = materialize(queries, "queries")
     if documents is not None:
         asked = _asks(queries, "relational").select("query_id", "text")
         titled = batch_keyword_search(
@@ -107,6 +110,7 @@ def hybrid_weighted(
     documents: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str
 ) -> DataFrame:
     """The two result lists (``k`` long each, as retrieval defines them) fused into one ranking."""
+    queries = materialize(queries, "queries")
     weights = queries if {"vector_weight", "keyword_weight"} <= set(queries.columns) else None
     keyword_hits = bm25_topk(documents, queries.select("query_id", "text"), k, doc_id=doc_id, content=content)
     return fuse(vector_topk(vectors, queries, k), keyword_hits, weights, k)
