@@ -52,30 +52,28 @@ def _matcher(anchors: dict[str, list[int]]):
 
 
 def find_contained(
-    df: DataFrame, column: str, queries: DataFrame, *, wildcards: bool = False, ignore_case: bool = True
+    df: DataFrame, column: str, queries: DataFrame, *, wildcards: bool = False, keep_text: bool = False
 ) -> DataFrame:
     """Rows of ``df`` with ``query_id, query_text`` added, one per query whose anchor they contain.
 
-    ``queries`` is ``(query_id, text)``. Case is folded by Spark on both sides, so the
-    automaton sees exactly what Spark's own predicates would compare.
+    ``queries`` is ``(query_id, text)``; fold case on both sides beforehand if it should not
+    matter. ``column`` itself is returned only with ``keep_text``.
     """
-    fold = F.lower if ignore_case else (lambda c: c)
     parts = []
     for block in bounded_blocks(queries, MAX_BLOCK_ROWS, "text", MAX_BLOCK_CHARS):
-        rows = block.select("query_id", "text", fold(F.col("text")).alias("folded")).collect()
-        parts.append(
-            _find_block(df.withColumn("_folded", fold(F.col(column))), rows, queries.schema["query_id"], wildcards)
-        )
+        rows = block.select("query_id", "text").filter("text is not null").collect()
+        parts.append(_find_block(df, column, rows, queries.schema["query_id"], wildcards, keep_text))
     return union_all(parts)
 
 
-def _find_block(df: DataFrame, rows: list, id_field: T.StructField, wildcards: bool) -> DataFrame:
+def _find_block(
+    df: DataFrame, column: str, rows: list, id_field: T.StructField, wildcards: bool, keep_text: bool
+) -> DataFrame:
     anchors: dict[str, list[int]] = {}
     for i, row in enumerate(rows):
-        if row["text"] is not None:
-            anchors.setdefault(anchor(row["folded"], wildcards), []).append(i)
+        anchors.setdefault(anchor(row["text"], wildcards), []).append(i)
     shared = df.sparkSession.sparkContext.broadcast((anchors, [(r["query_id"], r["text"]) for r in rows]))
-    kept = [f for f in df.schema.fields if f.name != "_folded"]
+    kept = [f for f in df.schema.fields if keep_text or f.name != column]
     hit = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("query_text", T.StringType())])
     schema = T.StructType([*kept, T.StructField("_hits", T.ArrayType(hit))])
     hit_type = to_arrow_type(T.ArrayType(hit))
@@ -85,7 +83,7 @@ def _find_block(df: DataFrame, rows: list, id_field: T.StructField, wildcards: b
         match = _matcher(dict(anchors))
         for batch in batches:
             source, hits = [], []
-            for i, text in enumerate(batch.column("_folded")):
+            for i, text in enumerate(batch.column(column)):
                 positions = match(text.as_py()) if text.is_valid else ()
                 if positions:
                     source.append(i)

@@ -15,7 +15,12 @@ from ..session import materialize
 
 def keyword_test(content: Column, query: Column) -> Column:
     """Case-insensitive substring test; ``%`` and ``_`` in the query are wildcards."""
-    return F.ilike(content, F.concat(F.lit("%"), F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+    return F.ilike(content, _within(query))
+
+
+def _within(query: Column) -> Column:
+    """The pattern for 'contains'; a backslash stands for itself."""
+    return F.concat(F.lit("%"), F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
 
 
 def keyword_search(documents: DataFrame, query: str) -> DataFrame:
@@ -29,16 +34,19 @@ def batch_keyword_search(
 ) -> DataFrame:
     """``(query_id, doc_id, <keep>)`` for every query text found in a document, for a table of queries.
 
-    One pass over the documents finds candidates with a multi-pattern automaton, the same
-    ``ilike`` as the single search then decides; neither a cross join nor a shuffle is needed.
+    One pass over the documents finds candidates with a multi-pattern automaton. A text without
+    wildcards is then decided; for the others ``like`` on the lowered text (what ``ilike``
+    means) decides. Neither a cross join nor a shuffle is needed.
     """
     found = find_contained(
-        spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("_text"), *keep)),
+        spread(documents.select(F.col(doc_id).alias("doc_id"), F.lower(content).alias("_text"), *keep)),
         "_text",
-        queries,
+        queries.select("query_id", F.lower("text").alias("text")),
         wildcards=True,
+        keep_text=True,
     )
-    return found.filter(keyword_test(F.col("_text"), F.col("query_text"))).select("query_id", "doc_id", *keep)
+    plain = ~F.col("query_text").rlike("[%_]")
+    return found.filter(plain | F.like(F.col("_text"), _within(F.col("query_text")))).select("query_id", "doc_id", *keep)
 
 
 def hits_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:

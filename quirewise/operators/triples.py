@@ -30,7 +30,7 @@ def search_triples(triples: DataFrame, text: str) -> DataFrame:
 
 def batch_search_triples(triples: DataFrame, queries: DataFrame) -> DataFrame:
     """The same for a table of queries: ``query_id, s, p, o``."""
-    found = find_contained(triples.withColumn("_text", triple_text()), "_text", queries, ignore_case=False)
+    found = find_contained(triples.withColumn("_text", triple_text()), "_text", queries)
     return found.select("query_id", *POSITIONS)
 
 
