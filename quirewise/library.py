@@ -20,6 +20,7 @@ from .functions.sizing import broadcast_checked
 from .operators import answers, catalog, hybrid, ingest
 from .operators.keys import in_files, owned_by
 from .operators.vectors import hash_embedding
+from .session import ship_package
 
 TABLES = {
     "documents": "id string, title string, content string, file_path string, file_type string, user_id string, "
@@ -35,7 +36,7 @@ class Library:
         self, spark: SparkSession, folder: str, embed: Callable[[DataFrame], DataFrame] | None = None
     ):
         """``embed`` maps ``(id, content, ...)`` to ``(doc_id, embedding)``; hash embedding by default."""
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = ship_package(spark), folder.rstrip("/")
         self.embed = embed or (lambda df: hash_embedding(df, doc_id="id", content="content"))
 
     # ---- tables ----

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _test_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def get_session(app: str = "quirewise", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,7 +32,24 @@ def get_session(app: str = "quirewise", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Workers then import it wherever the driver was started and whatever is installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="quirewise-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for module in sorted(package.rglob("*.py")):
+                z.write(module, str(module.relative_to(package.parent)))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def work_folder(spark: SparkSession) -> str:

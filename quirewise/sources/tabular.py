@@ -17,6 +17,7 @@ from ..functions.text import MISSING_TOKENS
 from .office import column_name, read_workbook
 
 ORDER_COLUMN = "_order"
+LISTED_SHEETS = 1000  # names an error message lists at most
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False, with_order: bool = False) -> DataFrame:
@@ -88,14 +89,16 @@ def scan_workbooks(files: DataFrame, batch_rows: int = 5000) -> DataFrame:
 
 def choose_sheet(workbook: DataFrame, sheet: str | None = None) -> DataFrame:
     """Rows of the named sheet, or of the only one; anything else is an error naming the choices."""
-    names = sorted(r["sheet"] for r in workbook.filter("sheet is not null").select("sheet").distinct().collect())
-    if sheet is None:
-        if len(names) != 1:
-            raise SheetError(f"The workbook has multiple sheets. Please specify one from: {names}")
-        sheet = names[0]
-    elif sheet not in names:
+    sheets = workbook.filter("sheet is not null").select("sheet").distinct()
+    chosen = F.col("sheet") == sheet
+    if sheet is not None and not workbook.filter(chosen).isEmpty():
+        return workbook.filter(chosen)
+    names = sorted(r["sheet"] for r in sheets.take(LISTED_SHEETS))
+    if sheet is not None:
         raise SheetError(f"Sheet '{sheet}' not found. Available sheets: {names}")
-    return workbook.filter(F.col("sheet") == sheet)
+    if len(names) != 1:
+        raise SheetError(f"The workbook has multiple sheets. Please specify one from: {names}")
+    return workbook.filter(F.col("sheet") == names[0])
 
 
 def sheet_table(rows: DataFrame) -> DataFrame:
