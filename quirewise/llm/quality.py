@@ -109,10 +109,10 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def _fit_shard(steps: int):
     """AdaGrad on the ordinal log-likelihood; the state is weights, thresholds and their squared-gradient sums."""
 
-    def run(examples: list[tuple[int, np.ndarray]], state: np.ndarray, epoch: int) -> np.ndarray:
+    def run(examples: list[tuple[int, np.ndarray]], state: np.ndarray) -> np.ndarray:
         state = state.astype(np.float64)
         w, theta, nw, nt = state[:SIZE], state[SIZE : SIZE + steps], state[SIZE + steps : -steps], state[-steps:]
-        for label, x in examples:
+        for label, x in examples * EPOCHS:
             if not len(x):
                 continue
             scale = 1 / np.sqrt(len(x))
@@ -155,7 +155,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     rows = training_rows(docs, ranked, "rank", features, max_rows)
     start = np.zeros(2 * (SIZE + steps), np.float32)
     start[SIZE : SIZE + steps] = np.linspace(-0.5, 0.5, steps) if steps > 1 else 0
-    state = fit(rows, _fit_shard(steps), start, EPOCHS)
+    state = fit(rows, _fit_shard(steps), start)
     return QualityModel(state[:SIZE], np.sort(state[SIZE : SIZE + steps].astype(np.float64)), np.array(grades))
 
 

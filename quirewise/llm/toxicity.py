@@ -20,7 +20,7 @@ from .training import MAX_ROWS, fit, held_out, training_rows
 BITS = 20
 BIAS = 1 << BITS
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 1.0
-EPOCHS = 5
+ROUNDS, EPOCHS = 2, 3
 _PAIR, _SKIP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -48,9 +48,9 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _ftrl(examples: list[tuple[int, np.ndarray]], state: np.ndarray, epoch: int) -> np.ndarray:
+def _ftrl(examples: list[tuple[int, np.ndarray]], state: np.ndarray) -> np.ndarray:
     z, n = state.reshape(2, BIAS + 1).astype(np.float64)
-    for label, x in examples:
+    for label, x in examples * EPOCHS:
         x = np.append(x, BIAS)
         w = _weights(z[x], n[x])
         w[-1] = -z[BIAS] / ((BETA + np.sqrt(n[BIAS])) / ALPHA)  # the bias carries no penalty
@@ -82,7 +82,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     Without any usable label the model is all zero and every score is 0.5.
     """
     rows = training_rows(docs, labels, "toxic", features, max_rows)
-    state = fit(rows, _ftrl, np.zeros(2 * (BIAS + 1), np.float32), EPOCHS)
+    state = np.zeros(2 * (BIAS + 1), np.float32)
+    for _ in range(ROUNDS):
+        state = fit(rows, _ftrl, state)
     z, n = state.reshape(2, BIAS + 1).astype(np.float64)
     w = _weights(z[:BIAS], n[:BIAS])
     numbers = np.flatnonzero(w)

@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .batches import pieces
 
 #: Documented bound of a training sample: this many labelled rows, chosen by a hash of doc_id.
 MAX_ROWS = 16_384
-#: Shards of the sample, each fitted by a task of its own and averaged after every epoch.
+#: Shards of the sample, each fitted by a task of its own and then averaged.
 SHARDS = 4
 
 
@@ -54,35 +53,27 @@ def training_rows(
         .join(F.broadcast(sample), "doc_id")  # at most max_rows rows of three numbers
         .select((F.pmod("place", F.lit(shards))).cast("int").alias("shard"), "place", "label", "text")
     )
-    return materialize(joined.mapInArrow(batches, "shard int, place long, label int, features binary"), "training")
+    return joined.mapInArrow(batches, "shard int, place long, label int, features binary")
 
 
 def fit(
-    rows: DataFrame, fit_shard: Callable[[list[tuple[int, np.ndarray]], np.ndarray, int], np.ndarray],
-    state: np.ndarray, epochs: int, shards: int = SHARDS,
+    rows: DataFrame, fit_shard: Callable[[list[tuple[int, np.ndarray]], np.ndarray], np.ndarray], state: np.ndarray
 ) -> np.ndarray:
-    """Run ``fit_shard(examples, state, epoch)`` on every shard and average the states, ``epochs`` times.
+    """Run ``fit_shard(examples, state)`` on every shard in a task of its own and average the fitted states.
 
-    A state is one float32 array of fixed size, so what reaches the driver is bounded by ``shards`` times it.
+    A state is one float32 array of fixed size, so what reaches the driver is bounded by the shards times it.
     """
-    context = rows.sparkSession.sparkContext
-    for epoch in range(epochs):
-        shared = context.broadcast(state)
-        fitted = rows.groupBy("shard").applyInPandas(_one_shard(fit_shard, shared, epoch), "rows long, state binary").collect()
-        shared.unpersist()
-        if not fitted:
-            return state
-        total = sum(r["rows"] for r in fitted)
-        state = sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * r["rows"] for r in fitted) / total
-        state = state.astype(np.float32)
-    return state
-
-
-def _one_shard(fit_shard, shared, epoch: int):
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["place", "label"], kind="stable")
         examples = [(int(y), np.frombuffer(x, np.int32)) for y, x in zip(frame["label"], frame["features"], strict=True)]
-        fitted = fit_shard(examples, shared.value.copy(), epoch)
+        fitted = fit_shard(examples, shared.value.copy())
         return pd.DataFrame({"rows": [len(frame)], "state": [fitted.astype(np.float32).tobytes()]})
 
-    return one
+    fitted = rows.groupBy("shard").applyInPandas(one, "rows long, state binary").collect()
+    shared.unpersist()
+    if not fitted:
+        return state
+    total = sum(r["rows"] for r in fitted)
+    return sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * (r["rows"] / total) for r in fitted).astype(np.float32)
