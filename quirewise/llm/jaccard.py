@@ -216,10 +216,10 @@ def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFram
     """
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     marked = (
-        needed.join(classes, "fp").select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        needed.join(classes, "fp").select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit"))
         .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    table = bytearray(FILTER_BITS // 8 + 8192)
+    table = bytearray(FILTER_BITS // 8)
     for row in marked.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
         at = (row["bucket"] - 1) * 4096
         table[at : at + 4096] = row["bits"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans.registry import Tables, query
 from .jaccard import jaccard_components
 from .quality import op1
+from .suffixes import remove_repeats
 from .toxicity import op8
 
 
@@ -23,7 +24,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
-        THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+        THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -39,3 +40,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 @query("op3_jaccard_join", JACCARD_SQL)
 def _(t: Tables):
     return jaccard_components(t.documents)
+
+
+@query("op5_suffix_dedup")
+def _(t: Tables):
+    return remove_repeats(t.documents).drop("kept")
