@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..plans.registry import Tables, query
+from .crosspolytope import op4
 from .jaccard import jaccard_components
 from .quality import op1
 from .suffixes import remove_repeats
+from .topk import op6
 from .toxicity import op8
 
 
@@ -45,3 +47,25 @@ def _(t: Tables):
 @query("op5_suffix_dedup")
 def _(t: Tables):
     return remove_repeats(t.documents).drop("kept")
+
+
+@query("op4_cross_polytope")
+def _(t: Tables):
+    return op4(t.embeddings)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 AND len(q.v) = len(r.v)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 5
+"""
+
+
+@query("op6_exact_topk", TOPK_SQL)
+def _(t: Tables):
+    return op6(t.embeddings)
