@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from ..plans.registry import Tables, query
+from .chat import op9
 from .crosspolytope import op4
 from .jaccard import jaccard_components
 from .quality import op1
 from .suffixes import remove_repeats
 from .topk import op6
 from .toxicity import op8
+from .warc import op2
 
 
 @query("op8_toxicity")
@@ -69,3 +71,30 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 5
 @query("op6_exact_topk", TOPK_SQL)
 def _(t: Tables):
     return op6(t.embeddings)
+
+
+@query("op2_warc_revisits")
+def _(t: Tables):
+    return op2(t.pages)
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, regexp_replace(text, '(\\*)(### |</turn>)', '\\\0', 'g') AS body,
+    replace(replace(replace(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), chr(13), '\r'), ':', '\c'), '#', '\h'), '<', '\l') AS head
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + 15)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", CHAT_SQL)
+def _(t: Tables):
+    return op9(t.conversations)
