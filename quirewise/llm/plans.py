@@ -6,6 +6,7 @@ from ..plans.registry import Tables, query
 from .chat import op9
 from .crosspolytope import op4
 from .jaccard import jaccard_components
+from .packing import op7
 from .quality import op1
 from .suffixes import remove_repeats
 from .topk import op6
@@ -98,3 +99,8 @@ FROM e GROUP BY conv_id
 @query("op9_chat_format", CHAT_SQL)
 def _(t: Tables):
     return op9(t.conversations)
+
+
+@query("op7_best_fit_packing")
+def _(t: Tables):
+    return op7(t.documents)
