@@ -35,6 +35,8 @@ COUNT_BLOCKS = 16
 PART_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
 #: Classes of one side of a block comparison.
 BLOCK = 1024
+#: Tile rows a task compares at a time, about.
+BUNDLE = 4096
 FILTER_BITS = 1 << 23
 
 
@@ -169,43 +171,51 @@ def _bounds(maps_a: np.ndarray, n_a: np.ndarray, maps_b: np.ndarray, n_b: np.nda
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one block pair of a tile that the bitmaps cannot rule out."""
-    left = frame[frame["side"] == 0]
-    right = frame[frame["side"] == 1] if (frame["side"] == 1).any() else left
-    out = []
-    size = min(len(b) for b in frame["bitmap"])
-    a = np.stack([_folded(b, size) for b in left["bitmap"]])
-    b = a if right is left else np.stack([_folded(x, size) for x in right["bitmap"]])
-    n_a, n_b = left["n"].to_numpy(), right["n"].to_numpy()
-    c_a, c_b, f_a, f_b = left["comp"].to_numpy(), right["comp"].to_numpy(), left["fp"].to_numpy(), right["fp"].to_numpy()
-    for i in range(0, len(b), 64):
-        j = slice(i, i + 64)
+    """Pairs of different components in the block pairs of some tiles that the bitmaps cannot rule out."""
+    frame = frame.sort_values(["tile", "i", "j", "side"])
+    tile, i, j, side, fp, n, comp = (frame[c].to_numpy() for c in ("tile", "i", "j", "side", "fp", "n", "comp"))
+    bitmap = frame["bitmap"].to_numpy()
+    lead = np.append(True, (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    begin = np.flatnonzero(lead)
+    out = [np.zeros((2, 0), np.int64)]
+    for a, b in zip(begin, np.append(begin[1:], len(tile)), strict=True):
+        middle = a + int(np.searchsorted(side[a:b], 1))
+        left, right = slice(a, middle), slice(middle, b)
+        if i[a] == j[a]:
+            right = left
+        if right.start < right.stop and left.start < left.stop:
+            out.extend(_block_pair(fp[left], n[left], comp[left], bitmap[left], fp[right], n[right], comp[right], bitmap[right]))
+    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _block_pair(f_a, n_a, c_a, m_a, f_b, n_b, c_b, m_b) -> Iterator[np.ndarray]:
+    size = min(min(map(len, m_a)), min(map(len, m_b)))
+    a, b = (np.stack([_folded(x, size) for x in m]) for m in (m_a, m_b))
+    for at in range(0, len(b), 64):
+        j = slice(at, at + 64)
         ok = (c_a[:, None] != c_b[None, j]) & _may_link(np.minimum(n_a[:, None], n_b[None, j]), n_a[:, None], n_b[None, j])
         rows = np.flatnonzero(ok.any(1))
-        if not len(rows):
-            continue
-        ok[rows] &= _may_link(_bounds(a[rows], n_a[rows], b[j], n_b[j]), n_a[rows, None], n_b[None, j])
-        x, y = np.nonzero(ok)
-        out.append(np.stack([np.minimum(f_a[x], f_b[j][y]), np.maximum(f_a[x], f_b[j][y])]))
-    a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": a, "b": b})
+        if len(rows):
+            ok[rows] &= _may_link(_bounds(a[rows], n_a[rows], b[j], n_b[j]), n_a[rows, None], n_b[None, j])
+            x, y = np.nonzero(ok)
+            yield np.stack([np.minimum(f_a[x], f_b[j][y]), np.maximum(f_a[x], f_b[j][y])])
 
 
 def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        a, b = [], []
-        for row in zip(*(batch[c].to_pylist() for c in ("a", "b", "bits_a", "bits_b", "set_a", "set_b")), strict=True):
-            x, y = np.frombuffer(row[4], np.uint64), np.frombuffer(row[5], np.uint64)
-            size = min(len(row[2]), len(row[3]))
-            bound = _bounds(_folded(row[2], size)[None], np.array([len(x)]), _folded(row[3], size)[None], np.array([len(y)]))
+        similar = []
+        for bits_a, bits_b, set_a, set_b in zip(*(batch[c].to_pylist() for c in ("bits_a", "bits_b", "set_a", "set_b")), strict=True):
+            x, y = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
+            size = min(len(bits_a), len(bits_b))
+            bound = _bounds(_folded(bits_a, size)[None], np.array([len(x)]), _folded(bits_b, size)[None], np.array([len(y)]))
             if not _may_link(bound[0, 0], len(x), len(y)):
+                similar.append(False)
                 continue
             both = np.concatenate([x, y])
             both.sort()
-            if _may_link(int((both[1:] == both[:-1]).sum()), len(x), len(y)):
-                a.append(row[0])
-                b.append(row[1])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            similar.append(bool(_may_link(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
+        yield batch.select(["a", "b", "rep_b"]).filter(pa.array(similar, pa.bool_()))
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -245,11 +255,11 @@ def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFram
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar."""
+    """Those of ``pairs`` (a, b, rep_b) that are similar."""
     one = sets.select(F.col("fp").alias("b"), F.col("bitmap").alias("bits_b"), F.col("found").alias("set_b"))
     two = sets.select(F.col("fp").alias("a"), F.col("bitmap").alias("bits_a"), F.col("found").alias("set_a"))
-    met = pairs.join(one, "b").join(two, "a").select("a", "b", "bits_a", "bits_b", "set_a", "set_b")
-    return met.mapInArrow(_decide, "a long, b long")
+    met = pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "bits_a", "bits_b", "set_a", "set_b")
+    return met.mapInArrow(_decide, "a long, b long, rep_b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -277,18 +287,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = tiles.groupBy("tile").agg(F.min(F.struct("rep", "fp", "n")).alias("first"))
     pairs = (
         tiles.join(first, "tile").filter("fp != first.fp and 5 * least(n, first.n) >= 4 * greatest(n, first.n)")
-        .select(F.least("fp", "first.fp").alias("a"), F.greatest("fp", "first.fp").alias("b")).distinct()
+        .select(F.col("fp").alias("a"), F.col("first.fp").alias("b"), F.col("first.rep").alias("rep_b")).distinct()
     )
     pairs = materialize(pairs, "star-pairs")
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
     links = materialize(_linked(pairs, _sets_of(docs, classes, needed)), "star-links")
 
-    joined = components(links)
-    labelled = tiles.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
-    labelled = materialize(labelled.select("tile", "fp", "n", "comp"), "labelled")
+    # a class takes the name of its earliest partner, and then that one's: never a wrong name, at worst too many names
+    parent = links.groupBy("a").agg(F.min(F.struct("rep_b", "b")).alias("p")).select(F.col("a").alias("fp"), F.col("p.b").alias("up"))
+    above = parent.select(F.col("fp").alias("up"), F.col("up").alias("top"))
+    named = parent.join(above, "up", "left").select("fp", F.coalesce("top", "up").alias("root"))
+    labelled = tiles.join(named, "fp", "left").select("tile", "fp", "n", F.coalesce("root", "fp").alias("comp"))
+    labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    mixed = mixed.filter("low != high").select("tile", "size")
-    open_tiles = materialize(labelled.join(mixed, "tile"), "open-tiles")
+    open_tiles = materialize(labelled.join(mixed.filter("low != high").select("tile", "size"), "tile"), "open-tiles")
+    bundles = max(1, open_tiles.count() // BUNDLE)
     sets = _sets_of(docs, classes, open_tiles.select("fp").distinct())
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("fp"), blocks)
@@ -299,10 +312,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     compared = (
         open_tiles.withColumn("at", F.explode(sides)).select("tile", "at.i", "at.j", "at.side", "fp", "n", "comp")
         .join(sets.select("fp", "bitmap"), "fp")
-        .groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+        .groupBy(F.pmod(F.xxhash64("tile", "i", "j"), F.lit(bundles))).applyInPandas(_across, "a long, b long").distinct()
     )
-    more = _linked(materialize(compared, "cross-pairs"), sets)
-    final = components(links.union(materialize(more, "cross-links")))
+    more = _linked(compared.withColumn("rep_b", F.lit(0).cast("long")), sets)
+    final = components(links.union(more).select("a", "b"))
     named = (
         classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
     )
