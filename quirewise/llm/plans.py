@@ -7,6 +7,7 @@ from .chat import op9
 from .crosspolytope import op4
 from .jaccard import jaccard_components
 from .packing import op7
+from .pieces import op10
 from .quality import op1
 from .suffixes import remove_repeats
 from .topk import op6
@@ -104,3 +105,8 @@ def _(t: Tables):
 @query("op7_best_fit_packing")
 def _(t: Tables):
     return op7(t.documents)
+
+
+@query("op10_sentencepiece_scan")
+def _(t: Tables):
+    return op10(t.documents)
