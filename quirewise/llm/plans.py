@@ -50,7 +50,7 @@ def _(t: Tables):
 
 @query("op5_suffix_dedup")
 def _(t: Tables):
-    return remove_repeats(t.documents).drop("kept")
+    return remove_repeats(t.documents).drop("kept_text", "had_text")
 
 
 @query("op4_cross_polytope")

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..session import materialize
 from .batches import pieces
@@ -318,29 +318,39 @@ def removed_runs(size: int, whole: np.ndarray, begins: np.ndarray) -> np.ndarray
     return _runs(np.concatenate([begin[long], begins]), np.concatenate([end[long], begins + LENGTH]))
 
 
-def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in it:
-        out = []
-        for doc, text, whole, begins in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "whole", "begins")), strict=True):
-            raw = (text or "").encode()
-            runs = removed_runs(
-                len(raw), np.frombuffer(b"".join(whole or []), np.int64), np.frombuffer(b"".join(begins or []), np.int64)
-            )
-            at, kept = 0, []
-            for begin, end in runs.tolist():
-                kept.append(raw[at:begin])
-                at = end
-            kept = b"".join([*kept, raw[at:]])
-            out.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, had_text boolean"
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, text): the tag tells rows apart that repeat an id with another text."""
-    return docs.select("doc_id", F.hash("text").alias("tag"), "text")
+def _cut(carry: list[str]):
+    """Cut the runs out of each text; ``carry`` columns pass through."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.bool_()]
+        names = [f.strip().split(" ")[0] for f in CUT.split(",")]
+        for batch in it:
+            for part in pieces(batch):
+                out = []
+                for doc, text, whole, begins in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "whole", "begins")), strict=True):
+                    raw = (text or "").encode()
+                    runs = removed_runs(
+                        len(raw), np.frombuffer(b"".join(whole or []), np.int64), np.frombuffer(b"".join(begins or []), np.int64)
+                    )
+                    at, kept = 0, []
+                    for begin, end in runs.tolist():
+                        kept.append(raw[at:begin])
+                        at = end
+                    kept = b"".join([*kept, raw[at:]])
+                    whole_text = kept.decode(errors="ignore")
+                    out.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), whole_text, text is not None))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *(part[f"_{c}"] for c in carry)], [*names, *(f"_{c}" for c in carry)])
+
+    return run
+
+
+def tagged(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, tag, text) and ``carry`` under other names: the tag tells rows apart that repeat an id with another text."""
+    return docs.select("doc_id", F.hash("text").alias("tag"), "text", *(F.col(f"`{c}`").alias(f"_{c}") for c in carry))
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -365,11 +375,11 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.filter(F.octet_length("whole") > 0).select("doc_id", "tag", "whole"), materialize(strings, "strings-found")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs`` (doc_id, text; others are not read).
+def remove_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, had_text) of every row of ``docs`` (doc_id, text), and ``carry``.
 
-    Rows without an id neither lose bytes nor take them from others. Rows that repeat an id do not count as
-    earlier than each other.
+    kept_text is what can be read of the remaining bytes; kept_sha256 is over the bytes. Rows without an id neither lose
+    bytes nor take them from others. Rows that repeat an id do not count as earlier than each other.
     """
     whole, strings = removals(docs)
     per_doc = (
@@ -377,6 +387,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .union(strings.select("doc_id", "tag", F.lit(None).cast("binary"), "begins"))
         .groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("begins").alias("begins"))
     )
-    return tagged(docs).join(per_doc, ["doc_id", "tag"], "left").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    texts = tagged(docs, carry)
+    kept = StructType([*_parse_datatype_string(CUT).fields, *(texts.schema[f"_{c}"] for c in carry)])
+    cut = texts.join(per_doc, ["doc_id", "tag"], "left").mapInArrow(_cut(list(carry)), kept)
+    return cut.withColumnsRenamed({f"_{c}": c for c in carry})
