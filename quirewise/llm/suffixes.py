@@ -241,12 +241,18 @@ def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
     doc, tag, place, first, whole = doc[rows], tag[rows], place[rows], first[rows], covered[rows]
     lead = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)]
     out = []
-    for i, j in zip(np.flatnonzero(lead), np.append(np.flatnonzero(lead)[1:], len(doc)), strict=True):
+    for i, j in _ranges(lead):
         w = whole[i:j]
         out.append((doc[i], tag[i], place[i:j][w].tobytes(), place[i:j][~w].tobytes(), first[i:j][~w].tobytes()))
     return pd.DataFrame(out, columns=["doc_id", "tag", "whole", "border", "first"])
 
 
+def _ranges(lead: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each group, given where groups begin."""
+    begin = np.flatnonzero(lead)
+    return zip(begin, [*begin[1:], len(lead)][: len(begin)], strict=True)
+
+
 def _leader(values: np.ndarray, lead: np.ndarray) -> np.ndarray:
     """For each row the value of the last row up to it that leads a group."""
     return values[np.maximum.accumulate(np.where(lead, np.arange(len(values)), 0))]
@@ -296,8 +302,8 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     lead = np.append(True, value[order][1:] != value[order][:-1])[: len(order)]
     hit = order[doc[order] > _leader(doc[order], lead)] if len(order) else order
     found = np.unique(np.stack([doc[hit], tags[owner[hit]], begins[owner[hit]] + shift[hit]]), axis=1)
-    lead = np.flatnonzero(np.append(True, (found[:2, 1:] != found[:2, :-1]).any(0))[: found.shape[1]])
-    out = [(found[0, i], found[1, i], found[2, i:j].tobytes()) for i, j in zip(lead, np.append(lead[1:], found.shape[1]), strict=True)]
+    lead = np.append(True, (found[:2, 1:] != found[:2, :-1]).any(0))[: found.shape[1]]
+    out = [(found[0, i], found[1, i], found[2, i:j].tobytes()) for i, j in _ranges(lead)]
     return pd.DataFrame(out, columns=["doc_id", "tag", "begins"])
 
 

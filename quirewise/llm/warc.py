@@ -177,7 +177,12 @@ def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
         return pd.DataFrame({"archive": sorted(made)})
 
     decided = resolved.select("archive", "at", "to_record", "to_page")
-    return materialize(decided.groupBy("archive").applyInPandas(run, "archive string"), "warc-archives").distinct()
+    return materialize(_each_archive(decided).groupBy("archive").applyInPandas(run, "archive string"), "warc-archives").distinct()
+
+
+def _each_archive(rows: DataFrame) -> DataFrame:
+    """Rows dealt by archive into as many partitions: an archive is much work for little data, so none are merged."""
+    return rows.repartition(max(1, rows.select("archive").distinct().count()), "archive")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows = []
                 yield _rows(rows, schema)
 
-    return archives.repartition("archive").mapInArrow(run, schema)
+    return _each_archive(archives).mapInArrow(run, schema)
 
 
 def read_resolved(archives: DataFrame) -> DataFrame:
