@@ -80,7 +80,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _format(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(it: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[pa.RecordBatch]:
     conv, block, number, size, started = None, [], 0, 0, False
 
     def made(last: bool) -> pa.RecordBatch:
@@ -91,7 +91,7 @@ def _format(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for key, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            if started and (key != conv or size >= BLOCK_CHARS):
+            if started and (key != conv or size >= block_chars):
                 yield made(key != conv)
                 number, block, size = (0 if key != conv else number + 1), [], 0
             conv, started = key, True
@@ -101,13 +101,13 @@ def _format(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(True)
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
+def format_conversations(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(conv_id, block, formatted, last): each conversation as blocks of whole turns that join to its formatted text.
 
     Blocks of a conversation come in order in one partition. A task holds one block at a time, so a conversation may be
     longer than memory.
     """
-    return _ordered(rows).mapInArrow(_format, "conv_id long, block long, formatted string, last boolean")
+    return _ordered(rows).mapInArrow(lambda it: _format(it, block_chars), "conv_id long, block long, formatted string, last boolean")
 
 
 def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

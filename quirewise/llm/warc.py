@@ -61,16 +61,17 @@ def http_response(payload_bytes: int) -> bytes:
 
 
 class ArchiveWriter:
-    """Gzip members into files of about ARCHIVE_BYTES under one folder."""
+    """Gzip members into files of about ``limit`` bytes under one folder."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, limit: int = ARCHIVE_BYTES):
+        self.limit = limit
         self.files, self.root = pafs.FileSystem.from_uri(folder)
         self.folder, self.out = folder, None
         self.files.create_dir(self.root, recursive=True)
 
     def write(self, data: bytes) -> tuple[str, int, int]:
         """Append a record; its archive, position and compressed size."""
-        if self.out is None or self.at >= ARCHIVE_BYTES:
+        if self.out is None or self.at >= self.limit:
             self.close()
             self.name, self.at = f"{uuid.uuid4().hex}.warc.gz", 0
             self.out = self.files.open_output_stream(f"{self.root}/{self.name}", compression=None)
@@ -106,14 +107,14 @@ def read_members(archive: str) -> Iterator[tuple[int, int, bytes]]:
             at += used
 
 
-def write_pages(pages: DataFrame, folder: str) -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a response record for each row of ``pages`` (page_id, url, html) and return HEADERS, one row a record.
 
     The payload is the html in UTF-8, empty for null. A null url is left out of the record.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ArchiveWriter(folder)
+        writer = ArchiveWriter(folder, archive_bytes)
         for batch in it:
             rows = []
             for page, url, html in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
