@@ -14,26 +14,21 @@ from .ordered import SEGMENT, total_before
 TEMPERATURE = 0.1
 MAX_OUTPUT_TOKENS = 2048
 
-LONG_TURNS = 100_000  # turns of one conversation a single task may hold
-
 
 def _is(role: str) -> Column:
     return F.col("role") == role
 
 
-def fold_chat(turns: DataFrame, segment: int = SEGMENT, long_turns: int = LONG_TURNS) -> DataFrame:
+def fold_chat(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Messages ``(conv_id, at_turn, role, text)`` in the alternating form a model expects.
 
     User texts between two assistant turns join into one message. System texts, each with a
     line break, go in front of the next user message, once; without one they are dropped.
     Every assistant turn is a ``model`` message. ``at_turn`` is the message's last turn.
 
-    The longest conversation is measured first. Up to ``long_turns`` turns, one shuffle by
-    conversation serves all windows and the grouping. Beyond it a conversation is too much for
-    one task, and message numbers come from totals over segments of it.
+    Message numbers come from totals over segments of a conversation, so one that owns most of the turns is spread over tasks.
     """
-    longest = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    said = _numbered(turns) if longest <= long_turns else _numbered_in_segments(turns, segment)
+    said = _numbered_in_segments(turns, segment)
     user_messages = (
         said.groupBy("conv_id", "message")
         .agg(
@@ -55,22 +50,8 @@ def fold_chat(turns: DataFrame, segment: int = SEGMENT, long_turns: int = LONG_T
     return user_messages.unionByName(model_messages)
 
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """System and user turns with the number of the user message they belong to."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        turns.select("conv_id", "turn", "role", "text")
-        .withColumn("block", F.coalesce(F.count_if(_is("assistant")).over(before), F.lit(0)))
-        .withColumn("_asked", F.coalesce(F.count_if(_is("user")).over(in_block), F.lit(0)) > 0)
-        .withColumn("message", F.coalesce(F.count_if(_is("user") & ~F.col("_asked")).over(before), F.lit(0)))
-        .withColumn("message", F.col("message") - F.col("_asked").cast("int"))
-        .filter(F.col("role").isin("system", "user"))
-    )
-
-
 def _numbered_in_segments(turns: DataFrame, segment: int) -> DataFrame:
-    """The same for conversations of any length; texts move only for the last join."""
+    """System and user turns with the number of the user message they belong to; texts move only for the last join."""
     narrow = turns.select("conv_id", "turn", "role")
     numbered = total_before(narrow, ["conv_id"], "turn", _is("assistant").cast("int"), "block", segment).filter(~_is("assistant"))
     blocks = numbered.groupBy("conv_id", "block").agg(F.max(_is("user").cast("int")).alias("asked"))
@@ -84,7 +65,6 @@ def chat_payload(
     temperature: float = TEMPERATURE,
     max_output_tokens: int = MAX_OUTPUT_TOKENS,
     segment: int = SEGMENT,
-    long_turns: int = LONG_TURNS,
 ) -> DataFrame:
     """``(conv_id, part, payload)``: the JSON request of each conversation.
 
@@ -93,20 +73,21 @@ def chat_payload(
     """
     message = F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts")))
     parts = (
-        fold_chat(turns, segment, long_turns)
+        fold_chat(turns, segment)
         .select("conv_id", F.floor(F.col("at_turn") / segment).cast("bigint").alias("part"), "at_turn", message.alias("_json"))
         .groupBy("conv_id", "part")
         .agg(F.expr("listagg(_json, ',') within group (order by at_turn)").alias("_body"))
     )
-    ends = parts.groupBy("conv_id").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    along = Window.partitionBy("conv_id").orderBy("part")  # one row a part: few even for a long conversation
+    parts = parts.withColumns({"_first": F.lag("part").over(along).isNull(), "_last": F.lead("part").over(along).isNull()})
     config = json.dumps({"temperature": temperature, "maxOutputTokens": max_output_tokens}, separators=(",", ":"))
-    return parts.join(ends, "conv_id").select(
+    return parts.select(
         "conv_id",
         "part",
         F.concat(
-            F.when(F.col("part") == F.col("_first"), '{"contents":[').otherwise(","),
+            F.when(F.col("_first"), '{"contents":[').otherwise(","),
             F.col("_body"),
-            F.when(F.col("part") == F.col("_last"), f'],"generationConfig":{config}' + "}").otherwise(""),
+            F.when(F.col("_last"), f'],"generationConfig":{config}' + "}").otherwise(""),
         ).alias("payload"),
     )
 

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..errors import RequestError
+from ..functions.cosine import unit_rows
 from ..functions.frames import union_all
+from ..functions.ranking import QuestionBlock, best_of, bounds_of
 from ..session import materialize
 from .graph import traverse
-from .keyword import batch_keyword_search, bm25_topk, top_k
+from .keyword import (
+    batch_keyword_search,
+    by_document,
+    in_kernel,
+    postings,
+    query_terms,
+    question_blocks,
+    ranking_schema,
+    top_k,
+)
 from .triples import batch_search_triples
 from .vectors import vector_topk
 
@@ -80,37 +94,50 @@ def hybrid_union(
     return union_all(parts)
 
 
-def _scaled(hits: DataFrame, name: str) -> DataFrame:
-    """Scores of each query's list mapped to 0..1; a list of equal scores maps to 1.
-
-    A list is a top-k result, at most k rows, already partitioned by query: the window adds
-    no shuffle and the ranking under it is computed once.
-    """
-    per_query = Window.partitionBy("query_id")
-    low, high = F.min("score").over(per_query), F.max("score").over(per_query)
-    unit = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
-    return hits.select("query_id", "doc_id", unit.alias(name))
-
-
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, weights: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Weighted sum of two ranked lists per query; a document missing from one list scores 0 there.
-
-    ``weights`` may hold ``query_id, vector_weight, keyword_weight``.
-    """
-    both = _scaled(vector_hits, "v").join(_scaled(keyword_hits, "t"), ["query_id", "doc_id"], "full_outer")
-    v_weight, t_weight = F.lit(VECTOR_WEIGHT), F.lit(KEYWORD_WEIGHT)
-    if weights is not None:
-        both = both.join(weights.select("query_id", "vector_weight", "keyword_weight"), "query_id")
-        v_weight, t_weight = F.col("vector_weight"), F.col("keyword_weight")
-    score = v_weight * F.coalesce("v", F.lit(0.0)) + t_weight * F.coalesce("t", F.lit(0.0))
-    return top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), k)
-
-
 def hybrid_weighted(
     documents: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str
 ) -> DataFrame:
-    """The two result lists (``k`` long each, as retrieval defines them) fused into one ranking."""
+    """The best ``k`` documents by the weighted sum of vector and keyword score: ``(query_id, doc_id, score, rank)``.
+
+    Per query, the cosines of all vectors and the BM25 scores of all documents that share a word are each mapped
+    to 0..1 (all equal: 1); a document without one of the two scores 0 there. ``queries`` may hold ``vector_weight``
+    and ``keyword_weight``. Words and vectors of a document are joined once and written out; one pass finds the bounds of
+    both scores, another the fused top-k, and ``k`` rows per query and task leave it.
+    """
     queries = materialize(queries, "queries")
-    weights = queries if {"vector_weight", "keyword_weight"} <= set(queries.columns) else None
-    keyword_hits = bm25_topk(documents, queries.select("query_id", "text"), k, doc_id=doc_id, content=content)
-    return fuse(vector_topk(vectors, queries, k), keyword_hits, weights, k)
+    terms = materialize(query_terms(queries), "terms")
+    index = materialize(postings(documents, doc_id=doc_id, content=content, vocabulary=terms), "postings")
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    given = vectors.filter((F.size("embedding") > 0) & usable).select("doc_id", "embedding")
+    scored = materialize(by_document(index).join(given, "doc_id", "full_outer"), "words-and-vectors")
+    blocks = question_blocks(index, queries, terms)
+    asked = ["vector", *(c for c in ("vector_weight", "keyword_weight") if c in queries.columns)]
+    for block in blocks:
+        _with_vectors(block, queries.filter(F.col("query_id").isin(block.ids)).select("query_id", *asked).collect())
+    limits = ["low_v", "high_v", "low_t", "high_t"]
+    schema = T.StructType([queries.schema["query_id"], *(T.StructField(c, T.DoubleType()) for c in limits)])
+    bounds = in_kernel(scored, blocks, bounds_of, schema).groupBy("query_id").agg(
+        F.min("low_v").alias("low_v"), F.max("high_v").alias("high_v"), F.min("low_t").alias("low_t"), F.max("high_t").alias("high_t")
+    )
+    bounds = materialize(bounds, "score-bounds")
+    for block in blocks:
+        found = {r[0]: r[1:] for r in bounds.filter(F.col("query_id").isin(block.ids)).collect()}
+        none = (None,) * 4
+        block.bounds = np.array([[0.0 if x is None else x for x in found.get(q, none)] for q in block.ids]).T
+    ranked = in_kernel(
+        scored, blocks, lambda batches, blocks: best_of(batches, blocks, k), ranking_schema(queries, documents, doc_id)
+    )
+    return top_k(ranked, k).select("query_id", "doc_id", "score", "rank")
+
+
+def _with_vectors(block: QuestionBlock, rows: list[Row]) -> None:
+    """Add the questions' vectors and weights to a block; a question may have no vector."""
+    of = {r["query_id"]: r.asDict() for r in rows}
+    sizes = {len(r["vector"]) for r in of.values() if r["vector"]}
+    if len(sizes) > 1:
+        raise RequestError("The query vectors have different lengths.")
+    dim = sizes.pop() if sizes else 0
+    none = np.full(dim, np.nan)
+    block.vectors = unit_rows(np.array([np.array(of[q]["vector"], np.float64) if of[q]["vector"] else none for q in block.ids]).reshape(len(block.ids), dim))
+    weights = [(of[q].get("vector_weight", VECTOR_WEIGHT), of[q].get("keyword_weight", KEYWORD_WEIGHT)) for q in block.ids]
+    block.shares = np.array(weights, np.float64).reshape(-1, 2).T

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.matching import find_contained
-from ..functions.sizing import broadcast_checked, fits_broadcast, spread
+from ..functions.ranking import QuestionBlock, best_of
+from ..functions.sizing import broadcast_checked, spread
 from ..functions.text import words
 from ..session import materialize
 
@@ -71,14 +75,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(
-    documents: DataFrame, *, doc_id: str, content: str, vocabulary: DataFrame | None = None, small: bool = False
+    documents: DataFrame, *, doc_id: str, content: str, vocabulary: DataFrame | None = None
 ) -> DataFrame:
     """``(doc_id, doc_len, term, tf)`` plus one NULL-term row per document.
 
     The NULL-term row carries the length of documents that hold no listed term, so corpus
     size and mean length come from this table alone. With a ``vocabulary`` all other terms
     fold into that row before the shuffle: what moves is one row per document and query term.
-    ``small`` says the vocabulary was measured to fit a broadcast.
     """
     texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(content, F.lit("")).alias("_text")))
     tokens = texts.select("doc_id", words("_text").alias("_words")).select(
@@ -88,45 +91,81 @@ def postings(
     )
     if vocabulary is not None:
         known = vocabulary.select(F.col("term").alias("_known")).distinct()
-        known = F.broadcast(known) if small else broadcast_checked(known)
+        known = broadcast_checked(known)
         tokens = tokens.join(known, F.col("term") == F.col("_known"), "left").select(
             "doc_id", "doc_len", F.col("_known").alias("term")
         )
     return tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(index: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, small: bool = False) -> DataFrame:
-    """Okapi BM25 for every (query, document) that share a term.
+BLOCK_QUESTIONS, BLOCK_WORDS = 1024, 65_536
 
-    The index is hash-partitioned by document once. The term table is broadcast when its
-    measured size allows, and then neither the per-pair sum nor a following top-k's first
-    phase needs another exchange; a larger term table joins by shuffle.
+
+def by_document(index: DataFrame) -> DataFrame:
+    """``(doc_id, doc_len, postings)``: each document's listed words in one row; documents without any are left out."""
+    listed = index.filter(F.col("term").isNotNull())
+    return listed.groupBy("doc_id", "doc_len").agg(F.collect_list(F.struct("term", "tf")).alias("postings"))
+
+
+def question_blocks(index: DataFrame, queries: DataFrame, terms: DataFrame) -> list[QuestionBlock]:
+    """All questions in blocks of bounded size, with their words' weights over ``index``.
+
+    The blocks are taken one at a time by a hash of the question; the driver holds one while it is sent out.
     """
-    docs = index.filter(F.col("term").isNull())
-    corpus = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean"))).scalar()
-    hits = index.filter(F.col("term").isNotNull())
-    freq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    corpus = index.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
+    freq = index.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(freq, "term").select("query_id", "term", (F.col("weight") * idf).alias("idf"))
-    length = 1 - b + b * F.col("doc_len") / corpus["mean"]
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    if small or fits_broadcast(terms):  # one row per (query, term), like ``weighted``
-        hits, weighted = hits.repartition("doc_id"), F.broadcast(weighted)
-    return (
-        hits.join(weighted, "term")
-        .groupBy("doc_id", "query_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
+    weighted = materialize(terms.join(freq, "term").select("query_id", "term", (F.col("weight") * idf).alias("w")), "weights")
+    count = max(1, -(-queries.count() // BLOCK_QUESTIONS), -(-weighted.count() // BLOCK_WORDS))
+    count = 1 if count == 1 else 2 * count  # half full: uneven hashes still fit
+    blocks = []
+    for i in range(count):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(count)) == i
+        ids = [r[0] for r in queries.filter(mine).select("query_id").distinct().collect()]
+        rows = [tuple(r) for r in weighted.filter(mine).collect()]
+        if ids:
+            blocks.append(QuestionBlock.of(rows, ids, corpus["mean"]))
+    return blocks
+
+
+def in_kernel(scored: DataFrame, blocks: list[QuestionBlock], kernel: Callable, schema: T.StructType) -> DataFrame:
+    """Rows that ``kernel(batches, blocks)`` gives, with all blocks worked through over one scan of ``scored``."""
+    context = scored.sparkSession.sparkContext
+    shared = [context.broadcast(b) for b in blocks]
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in kernel(batches, [b.value for b in shared]):
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return scored.mapInArrow(run, schema)
+
+
+def ranking_schema(queries: DataFrame, documents: DataFrame, doc_id: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("doc_id", documents.schema[doc_id].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
 
 
 def bm25_topk(documents: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str) -> DataFrame:
-    """Best ``k`` documents per query: ``(query_id, doc_id, score, rank)``."""
-    terms = query_terms(queries)
-    small = fits_broadcast(terms)
-    index = materialize(
-        postings(documents, doc_id=doc_id, content=content, vocabulary=terms, small=small), "postings"
+    """Best ``k`` documents per query by Okapi BM25: ``(query_id, doc_id, score, rank)``.
+
+    What is shuffled is one row per document and query word, then ``k`` rows per query and task; (query, document)
+    pairs exist only inside a task's scoring slice.
+    """
+    terms = materialize(query_terms(queries), "terms")
+    index = materialize(postings(documents, doc_id=doc_id, content=content, vocabulary=terms), "postings")
+    blocks = question_blocks(index, queries, terms)
+    found = in_kernel(
+        by_document(index), blocks, lambda batches, blocks: best_of(batches, blocks, k), ranking_schema(queries, documents, doc_id)
     )
-    return top_k(bm25_scores(index, terms, small=small), k).select("query_id", "doc_id", "score", "rank")
+    return top_k(found, k).select("query_id", "doc_id", "score", "rank")
 
 
 def chunk_text(documents: DataFrame, *, doc_id: str, content: str, size: int = 1000, overlap: int = 200) -> DataFrame:

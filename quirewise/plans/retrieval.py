@@ -36,10 +36,10 @@ cosine_top as (select query_id, doc_id, score, cast(row_number() over (partition
 HYBRID_SQL = f"""{BM25_SQL}, {COSINE_SQL},
 v as (select query_id, doc_id, case when max(score) over q = min(score) over q then 1.0
              else (score - min(score) over q) / (max(score) over q - min(score) over q) end as v
-      from cosine_top window q as (partition by query_id)),
+      from cosine window q as (partition by query_id)),
 k as (select query_id, doc_id, case when max(score) over q = min(score) over q then 1.0
              else (score - min(score) over q) / (max(score) over q - min(score) over q) end as k
-      from bm25_top window q as (partition by query_id)),
+      from bm25 window q as (partition by query_id)),
 fused as (select query_id, doc_id, round(0.7 * coalesce(v, 0) + 0.3 * coalesce(k, 0), 6) as score
           from v full outer join k using (query_id, doc_id)),
 ranked as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank
@@ -47,13 +47,9 @@ ranked as (select query_id, doc_id, score, cast(row_number() over (partition by
 """
 
 CONTEXT_SQL = f"""{HYBRID_SQL},
-fitted as (select query_id, ranked.doc_id, rank, text,
-                  8000 - coalesce(sum(least(length(text), 8000)) over (partition by query_id order by rank
-                                  rows between unbounded preceding and 1 preceding), 0) as room
-           from ranked join documents using (doc_id)),
-contexts as (select query_id, string_agg(substring(text, 1, cast(room as bigint)), chr(10) || chr(10) order by rank) as context,
+contexts as (select query_id, string_agg(text, chr(10) || chr(10) order by rank) as context,
                     string_agg(cast(doc_id as varchar), ',' order by rank) as sources
-             from fitted where room > 0 group by query_id)
+             from ranked join documents using (doc_id) group by query_id)
 """
 
 
@@ -248,6 +244,19 @@ def chat_payload(t):
     return chat.chat_payload(t.conversations)
 
 
+@query(
+    "chat_payload_parts",
+    f"""with {CHAT_SQL},
+         parts as (select conv_id, at_turn // 3 as part, string_agg('{{"role":"' || role || '","parts":[{{"text":' || to_json(text) || '}}]}}', ','
+                          order by at_turn) as body from folded group by all)
+       select conv_id, part, case when lag(part) over w is null then '{{"contents":[' else ',' end || body
+              || case when lead(part) over w is null then '],"generationConfig":{{"temperature":0.1,"maxOutputTokens":2048}}}}' else '' end as payload
+       from parts window w as (partition by conv_id order by part)""",
+)
+def chat_payload_parts(t):
+    return chat.chat_payload(t.conversations, segment=3)
+
+
 @query("json_path", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_path(t):
     return chat.read_path(t.events, "props", "$.k", "k", "bigint").select("event_id", "k")

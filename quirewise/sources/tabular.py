@@ -17,7 +17,7 @@ from ..functions.text import MISSING_TOKENS
 from .office import column_name, read_workbook
 
 ORDER_COLUMN = "_order"
-LISTED_SHEETS = 1000  # names an error message lists at most
+LISTED_SHEETS = 20  # names an error message spells out; it says how many more there are
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False, with_order: bool = False) -> DataFrame:
@@ -93,12 +93,14 @@ def choose_sheet(workbook: DataFrame, sheet: str | None = None) -> DataFrame:
     chosen = F.col("sheet") == sheet
     if sheet is not None and not workbook.filter(chosen).isEmpty():
         return workbook.filter(chosen)
-    names = sorted(r["sheet"] for r in sheets.take(LISTED_SHEETS))
+    names = [r["sheet"] for r in sheets.orderBy("sheet").limit(LISTED_SHEETS).collect()]
+    if sheet is None and len(names) == 1:
+        return workbook.filter(F.col("sheet") == names[0])
+    rest = sheets.count() - len(names)
+    listed = ", ".join(map(repr, names)) + (f" and {rest} more" if rest else "")
     if sheet is not None:
-        raise SheetError(f"Sheet '{sheet}' not found. Available sheets: {names}")
-    if len(names) != 1:
-        raise SheetError(f"The workbook has multiple sheets. Please specify one from: {names}")
-    return workbook.filter(F.col("sheet") == names[0])
+        raise SheetError(f"There is no sheet {sheet!r} here, only: {listed or 'none at all'}")
+    raise SheetError(f"Name one of the sheets: {listed or 'there is none'}")
 
 
 def sheet_table(rows: DataFrame) -> DataFrame:

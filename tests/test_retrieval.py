@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirewise.functions import matching
+from quirewise.functions import ranking
 from quirewise.operators import answers, entities, hybrid, keyword, vectors
 
 
@@ -87,11 +88,12 @@ def bm25(docs, query, k1=1.5, b=0.75):
     return sorted(((d, round(s, 6)) for d, s in scores.items()), key=lambda x: (-x[1], x[0]))
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_bm25_equals_brute_force(spark, library, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(keyword, "fits_broadcast", lambda df: False)
+@pytest.mark.parametrize("small", [True, False])
+def test_bm25_equals_brute_force(spark, library, monkeypatch, small):
+    if not small:
         monkeypatch.setattr(keyword, "broadcast_checked", lambda df: df)
+        monkeypatch.setattr(keyword, "BLOCK_QUESTIONS", 1)
+        monkeypatch.setattr(ranking, "SLICE_CELLS", 2)
     texts = {1: "Alpha delta", 2: "épsilon épsilon beta", 3: "missing"}
     queries = spark.createDataFrame(list(texts.items()), "query_id int, text string")
     got = keyword.bm25_topk(library, queries, 5, doc_id="doc_id", content="text").collect()
@@ -235,14 +237,44 @@ def test_user_embedding_model(spark):
 # ---- fusion, context, answers --------------------------------------------------------------
 
 
-def test_fusion_weights_and_missing_sides(spark):
-    schema = "query_id int, doc_id int, score double"
-    v = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.5), (1, 12, 0.1)], schema)
-    t = spark.createDataFrame([(1, 12, 7.0), (1, 13, 7.0)], schema)
-    got = [(r["doc_id"], r["score"]) for r in hybrid.fuse(v, t).orderBy("rank").collect()]
-    assert got == [(10, 0.7), (11, 0.35), (12, 0.3), (13, 0.3)]
-    weights = spark.createDataFrame([(1, 0.0, 1.0)], "query_id int, vector_weight double, keyword_weight double")
-    assert [r["doc_id"] for r in hybrid.fuse(v, t, weights, k=2).orderBy("rank").collect()] == [12, 13]
+@pytest.mark.parametrize("small", [True, False])
+def test_fusion_ranks_over_all_scores(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(keyword, "BLOCK_QUESTIONS", 1)
+        monkeypatch.setattr(ranking, "SLICE_CELLS", 3)
+    docs = {i: " ".join(["alpha"] * (i % 7) + ["beta"] * (i % 5) + ["gamma"] * 3) for i in range(40)}
+    table = spark.createDataFrame([*docs.items(), (90, "alpha only words")], "doc_id int, text string").repartition(4)
+    docs[90] = "alpha only words"
+    places = {i: [math.cos(i), math.sin(i), 0.3] for i in range(41)}
+    stored = [(i, v) for i, v in places.items()] + [(91, None), (92, []), (93, [float("nan"), 1.0, 1.0])]
+    vectors_ = spark.createDataFrame(stored, "doc_id int, embedding array<double>")
+    asked = {1: ("alpha", [1.0, 0.2, 0.0], 0.7, 0.3), 2: ("beta alpha", None, 0.5, 0.5), 3: ("nothing", [0.0, 1.0, 0.1], 0.0, 1.0)}
+    rows = [(q, *x) for q, x in asked.items()]
+    queries = spark.createDataFrame(rows, "query_id int, text string, vector array<double>, vector_weight double, keyword_weight double")
+    got = {}
+    for r in hybrid.hybrid_weighted(table, vectors_, queries, 5, doc_id="doc_id", content="text").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+
+    def unit(scores):
+        low, high = (min(scores.values()), max(scores.values())) if scores else (0, 0)
+        return {d: (s - low) / (high - low) if high > low else 1.0 for d, s in scores.items()}
+
+    for q, (text, vector, a, b) in asked.items():
+        cosines = {}
+        if vector:
+            length = math.dist(vector, [0] * 3)
+            cosines = {i: round(sum(x * y for x, y in zip(v, vector)) / math.dist(v, [0] * 3) / length, 6) for i, v in places.items()}
+        v, t = unit(cosines), unit(dict(bm25(docs, text)))
+        fused = sorted(((-(a * v.get(d, 0) + b * t.get(d, 0)), d) for d in {*v, *t}))[:5]
+        assert [d for d, _ in got.get(q, [])] == [d for _, d in fused]
+        assert [s for _, s in got.get(q, [])] == [pytest.approx(-s, abs=3e-6) for s, _ in fused]
+
+
+def test_contexts_hold_every_ranked_text_whole(spark):
+    docs = spark.createDataFrame([(1, "a" * 9000), (2, "b")], "doc_id int, text string")
+    ranked = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "query_id int, doc_id int, rank int")
+    out = answers.assemble_context(ranked, docs, doc_id="doc_id", content="text").first()
+    assert out["context"] == "a" * 9000 + "\n\nb" and out["sources"] == "1,2"
 
 
 def test_union_with_no_stores_is_empty(spark):

@@ -63,9 +63,9 @@ def test_workbook_types_and_headers(books):
 
 def test_sheet_choice(books):
     two = books.filter("file = 'two.xlsx'")
-    with pytest.raises(SheetError, match=r"\['A', 'B'\]"):
+    with pytest.raises(SheetError, match="'A', 'B'"):
         tabular.choose_sheet(two)
-    with pytest.raises(SheetError, match="not found"):
+    with pytest.raises(SheetError, match="no sheet"):
         tabular.choose_sheet(two, "C")
     assert tabular.sheet_table(tabular.choose_sheet(two, "B")).columns == ["row_no", "Unnamed: 0", "x"]
     only_header = tabular.sheet_table(tabular.choose_sheet(two, "A"))
