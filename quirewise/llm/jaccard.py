@@ -63,17 +63,18 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                    pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()),
+                    pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                 ],
-                ["doc_id", "n", "fp", "block", "counts"],
+                ["doc_id", "n", "fp", "bitmap", "block", "counts"],
             )
     blocks = counts.astype(np.int32).reshape(COUNT_BLOCKS, -1)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.nulls(COUNT_BLOCKS, pa.int64()), pa.nulls(COUNT_BLOCKS, pa.int64()), pa.nulls(COUNT_BLOCKS, pa.int64()),
+            *(pa.nulls(COUNT_BLOCKS, pa.int64()) for _ in range(3)), pa.nulls(COUNT_BLOCKS, pa.binary()),
             pa.array(range(COUNT_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()),
         ],
-        ["doc_id", "n", "fp", "block", "counts"],
+        ["doc_id", "n", "fp", "bitmap", "block", "counts"],
     )
 
 
@@ -146,8 +147,8 @@ def _tiles(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bitmap(found: np.ndarray) -> bytes:
-    """Hashed bitmap of a set, of 4 to 8 bits for each shingle, 512 to 65,536 in all."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(4 * len(found))), 9, 16))
+    """Hashed bitmap of a set, of 2 to 4 bits for each shingle, 128 to 8,192 in all."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * len(found) + 1)), 7, 13))
     out = np.zeros(bits, bool)
     out[(found & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -202,24 +203,30 @@ def _block_pair(f_a, n_a, c_a, m_a, f_b, n_b, c_b, m_b) -> Iterator[np.ndarray]:
             yield np.stack([np.minimum(f_a[x], f_b[j][y]), np.maximum(f_a[x], f_b[j][y])])
 
 
+def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bitmaps leave."""
+    for batch in it:
+        may = []
+        for bits_a, bits_b, n_a, n_b in zip(*(batch[c].to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
+            size = min(len(bits_a), len(bits_b))
+            a, b = _folded(bits_a, size)[None], _folded(bits_b, size)[None]
+            may.append(bool(_may_link(_bounds(a, np.array([n_a]), b, np.array([n_b]))[0, 0], n_a, n_b)))
+        yield batch.select(["a", "b", "rep_b"]).filter(pa.array(may, pa.bool_()))
+
+
 def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sorted sets are similar."""
     for batch in it:
         similar = []
-        for bits_a, bits_b, set_a, set_b in zip(*(batch[c].to_pylist() for c in ("bits_a", "bits_b", "set_a", "set_b")), strict=True):
-            x, y = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
-            size = min(len(bits_a), len(bits_b))
-            bound = _bounds(_folded(bits_a, size)[None], np.array([len(x)]), _folded(bits_b, size)[None], np.array([len(y)]))
-            if not _may_link(bound[0, 0], len(x), len(y)):
-                similar.append(False)
-                continue
-            both = np.concatenate([x, y])
+        for set_a, set_b in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b")), strict=True):
+            both = np.concatenate([np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)])
             both.sort()
-            similar.append(bool(_may_link(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
+            similar.append(bool(_may_link(int((both[1:] == both[:-1]).sum()), len(set_a) // 8, len(set_b) // 8)))
         yield batch.select(["a", "b", "rep_b"]).filter(pa.array(similar, pa.bool_()))
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(fp, bitmap, found) of the needed classes and perhaps of some others.
+    """(fp, found) of the needed classes.
 
     Documents are picked out by a bitmap of hashed ids of FILTER_BITS bits, whatever the number of ids;
     the few that only look needed drop out in the join with the pairs.
@@ -242,24 +249,24 @@ def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFram
             for part in pieces(batch):
                 sets = [s for s in shingle_sets(part["text"]) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    ["fp", "bitmap", "found"],
+                    [pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["fp", "found"],
                 )
 
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"), "text")
-    found = texts.mapInArrow(run, "fp long, bitmap binary, found binary")
+    found = texts.mapInArrow(run, "fp long, found binary")
     return materialize(found.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, rep_b) that are similar."""
-    one = sets.select(F.col("fp").alias("b"), F.col("bitmap").alias("bits_b"), F.col("found").alias("set_b"))
-    two = sets.select(F.col("fp").alias("a"), F.col("bitmap").alias("bits_a"), F.col("found").alias("set_a"))
-    met = pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "bits_a", "bits_b", "set_a", "set_b")
-    return met.mapInArrow(_decide, "a long, b long, rep_b long")
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the written ``pairs`` (a, b, rep_b) that are similar; only the sets of these pairs are fetched."""
+    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
+    sets = _sets_of(docs, classes, needed)
+    one, two = (sets.select(F.col("fp").alias(x), F.col("found").alias(f"set_{x}")) for x in ("b", "a"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "set_a", "set_b").mapInArrow(_decide, PAIR)
+
+
+PAIR = "a long, b long, rep_b long"
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    described = materialize(docs.mapInArrow(_describe, "doc_id long, n long, fp long, block int, counts binary"), "described")
+    described = materialize(docs.mapInArrow(_describe, "doc_id long, n long, fp long, bitmap binary, block int, counts binary"), "described")
     nodes = described.filter("block is null").select("doc_id", "n", "fp")
     blocks = described.filter("block is not null").select("block", "counts")
     table = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.int64)
@@ -277,7 +284,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         table[row["block"]] = np.frombuffer(row["counts"], np.int64)
     order = spark.sparkContext.broadcast(table.reshape(-1))
     classes = materialize(
-        nodes.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes"
+        described.filter("n > 0").groupBy("fp")
+        .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes"
     )
     parts = int(max(64, (classes.agg(F.sum("n")).first()[0] or 0) // 5 // PART_ENTRIES + 1))
     packed = docs.select("text").mapInArrow(_prefixes(order, parts), "part long, keys binary, sets binary, sizes binary")
@@ -289,9 +297,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         tiles.join(first, "tile").filter("fp != first.fp and 5 * least(n, first.n) >= 4 * greatest(n, first.n)")
         .select(F.col("fp").alias("a"), F.col("first.fp").alias("b"), F.col("first.rep").alias("rep_b")).distinct()
     )
-    pairs = materialize(pairs, "star-pairs")
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    links = materialize(_linked(pairs, _sets_of(docs, classes, needed)), "star-links")
+    one, two = (classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in ("b", "a"))
+    pairs = pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, PAIR)
+    links = materialize(_linked(docs, classes, materialize(pairs, "star-pairs")), "star-links")
 
     # a class takes the name of its earliest partner, and then that one's: never a wrong name, at worst too many names
     parent = links.groupBy("a").agg(F.min(F.struct("rep_b", "b")).alias("p")).select(F.col("a").alias("fp"), F.col("p.b").alias("up"))
@@ -302,7 +310,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
     open_tiles = materialize(labelled.join(mixed.filter("low != high").select("tile", "size"), "tile"), "open-tiles")
     bundles = max(1, open_tiles.count() // BUNDLE)
-    sets = _sets_of(docs, classes, open_tiles.select("fp").distinct())
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("fp"), blocks)
     sides = F.transform(
@@ -311,10 +318,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     compared = (
         open_tiles.withColumn("at", F.explode(sides)).select("tile", "at.i", "at.j", "at.side", "fp", "n", "comp")
-        .join(sets.select("fp", "bitmap"), "fp")
+        .join(classes.select("fp", "bitmap"), "fp")
         .groupBy(F.pmod(F.xxhash64("tile", "i", "j"), F.lit(bundles))).applyInPandas(_across, "a long, b long").distinct()
     )
-    more = _linked(compared.withColumn("rep_b", F.lit(0).cast("long")), sets)
+    more = _linked(docs, classes, materialize(compared.withColumn("rep_b", F.lit(0).cast("long")), "cross-pairs"))
     final = components(links.union(more).select("a", "b"))
     named = (
         classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
