@@ -166,9 +166,9 @@ def _may_link(overlap, n_a, n_b):
 
 def _bounds(maps_a: np.ndarray, n_a: np.ndarray, maps_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Upper bound of each pair's overlap, rows by columns."""
-    lack_a = n_a[:, None] - np.stack([np.bitwise_count(maps_a & ~m).sum(1, dtype=np.int64) for m in maps_b], axis=1)
-    lack_b = n_b[None, :] - np.stack([np.bitwise_count(m & ~maps_a).sum(1, dtype=np.int64) for m in maps_b], axis=1)
-    return np.minimum(lack_a, lack_b)
+    alone_a = np.bitwise_count(maps_a[:, None] & ~maps_b[None]).sum(2, dtype=np.int64)
+    alone_b = np.bitwise_count(maps_b[None] & ~maps_a[:, None]).sum(2, dtype=np.int64)
+    return np.minimum(n_a[:, None] - alone_a, n_b[None] - alone_b)
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +193,9 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 def _block_pair(f_a, n_a, c_a, m_a, f_b, n_b, c_b, m_b) -> Iterator[np.ndarray]:
     size = min(min(map(len, m_a)), min(map(len, m_b)))
     a, b = (np.stack([_folded(x, size) for x in m]) for m in (m_a, m_b))
-    for at in range(0, len(b), 64):
-        j = slice(at, at + 64)
+    step = max(1, (1 << 18) // (len(a) * a.shape[1]))
+    for at in range(0, len(b), step):
+        j = slice(at, at + step)
         ok = (c_a[:, None] != c_b[None, j]) & _may_link(np.minimum(n_a[:, None], n_b[None, j]), n_a[:, None], n_b[None, j])
         rows = np.flatnonzero(ok.any(1))
         if len(rows):
