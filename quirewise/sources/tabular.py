@@ -31,6 +31,7 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, multiline: bool
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("enforceSchema", False)  # files whose header differs from the first one are an error, never bound by place
         .csv(path)
     )
     cleaned = [
@@ -104,15 +105,17 @@ def choose_sheet(workbook: DataFrame, sheet: str | None = None) -> DataFrame:
 
 
 def sheet_table(rows: DataFrame) -> DataFrame:
-    """One sheet as a typed table ``(row_no, <header columns>)``.
+    """One sheet, of one workbook or of several, as a typed table ``(file, row_no, <header columns>)``.
+
+    The columns are those of all the header rows, in the order of their first places; a workbook without one has NULL.
 
     A column of numbers becomes BIGINT or DOUBLE, of dates TIMESTAMP_NTZ, of booleans BOOLEAN;
     mixed columns stay text. One aggregate over all columns finds the types.
     """
-    first = rows.select(F.map_keys("cells").alias("names")).first()
-    names = first["names"] if first else []
+    heads = rows.filter("row_no is null").select(F.posexplode(F.map_keys("cells"))).groupBy("col").agg(F.min("pos").alias("pos"))
+    names = [r["col"] for r in heads.orderBy("pos", "col").collect()]
     if not names:
-        return rows.filter("row_no is not null").select("row_no")
+        return rows.filter("row_no is not null").select("file", "row_no")
 
     def cell(name: str):
         return F.element_at("cells", F.lit(name))
@@ -134,7 +137,7 @@ def sheet_table(rows: DataFrame) -> DataFrame:
         else:
             dtype = {frozenset(["date"]): "timestamp_ntz", frozenset(["bool"]): "boolean"}.get(frozenset(kinds), "string")
         columns.append((cell(name) if dtype == "string" else cell(name).try_cast(dtype)).alias(name))
-    return rows.select("row_no", *columns)
+    return rows.select("file", "row_no", *columns)
 
 
 def export_workbooks(df: DataFrame, row_no: str, columns: Sequence[str], rows_per_book: int = 100_000) -> DataFrame:

@@ -53,7 +53,7 @@ def books(spark):
 
 def test_workbook_types_and_headers(books):
     table = tabular.sheet_table(tabular.choose_sheet(books.filter("file = 'one.xlsx'")))
-    assert dict(table.dtypes) == {
+    assert dict(table.drop("file").dtypes) == {
         "row_no": "int", "Name": "string", "Age": "double", "Born": "timestamp_ntz", "Paid": "boolean", "Age.1": "double",
     }
     first, second = table.orderBy("row_no").collect()
@@ -67,9 +67,27 @@ def test_sheet_choice(books):
         tabular.choose_sheet(two)
     with pytest.raises(SheetError, match="no sheet"):
         tabular.choose_sheet(two, "C")
-    assert tabular.sheet_table(tabular.choose_sheet(two, "B")).columns == ["row_no", "Unnamed: 0", "x"]
+    assert tabular.sheet_table(tabular.choose_sheet(two, "B")).columns == ["file", "row_no", "Unnamed: 0", "x"]
     only_header = tabular.sheet_table(tabular.choose_sheet(two, "A"))
-    assert only_header.columns == ["row_no", "1"] and only_header.count() == 0
+    assert only_header.columns == ["file", "row_no", "1"] and only_header.count() == 0
+
+
+def test_workbooks_with_other_headers_keep_all_columns(spark):
+    def book(name):
+        head = f'<row r="1"><c r="A1" t="inlineStr"><is><t>id</t></is></c><c r="B1" t="inlineStr"><is><t>{name}</t></is></c></row>'
+        return workbook({"S": head + '<row r="2"><c r="A2"><v>1</v></c><c r="B2"><v>2</v></c></row>'})
+
+    rows = tabular.scan_workbooks(spark.createDataFrame([("1", book("x")), ("2", book("y"))], "file string, content binary"))
+    got = tabular.sheet_table(rows)
+    assert got.columns == ["file", "row_no", "id", "x", "y"]
+    assert sorted((r["file"], r["x"], r["y"]) for r in got.collect()) == [("1", 2.0, None), ("2", None, 2.0)]
+
+
+def test_csv_files_with_swapped_columns_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception, match="header"):
+        tabular.scan_csv(spark, str(tmp_path)).collect()
 
 
 def test_blank_rows_keep_their_place(spark):
@@ -92,7 +110,7 @@ def test_workbook_export_round_trip(spark):
     made = tabular.export_workbooks(df, "n", ["n", "s", "f"], rows_per_book=10)
     assert made.count() == 3
     back = tabular.sheet_table(tabular.choose_sheet(tabular.scan_workbooks(made)))
-    assert sorted(tuple(r)[1:] for r in back.collect()) == sorted((r["n"], r["s"], r["f"]) for r in df.collect())
+    assert sorted(tuple(r)[2:] for r in back.collect()) == sorted((r["n"], r["s"], r["f"]) for r in df.collect())
 
 
 def test_csv_round_trip_missing_and_order(spark, tmp_path):
