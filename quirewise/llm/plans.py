@@ -75,7 +75,18 @@ def _(t: Tables):
     return op6(t.embeddings)
 
 
-@query("op2_warc_revisits")
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY h) AS low, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER), 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN low <> page_id THEN low END AS refers_to FROM d
+"""
+
+
+@query("op2_warc_revisits", WARC_SQL)
 def _(t: Tables):
     return op2(t.pages)
 
