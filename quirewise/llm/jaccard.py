@@ -308,8 +308,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = parent.join(above, "up", "left").select("fp", F.coalesce("top", "up").alias("root"))
     labelled = tiles.join(named, "fp", "left").select("tile", "fp", "n", F.coalesce("root", "fp").alias("comp"))
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    open_tiles = materialize(labelled.join(mixed.filter("low != high").select("tile", "size"), "tile"), "open-tiles")
+    # the shingles of one passage make tiles of the same classes: one of each such set is enough
+    mixed = labelled.groupBy("tile").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
+    )
+    mixed = mixed.filter("low != high").groupBy("x", "y", "size").agg(F.min("tile").alias("tile"))
+    open_tiles = materialize(labelled.join(mixed.select("tile", "size"), "tile"), "open-tiles")
     bundles = max(1, open_tiles.count() // BUNDLE)
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("fp"), blocks)
