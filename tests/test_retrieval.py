@@ -233,6 +233,19 @@ def test_user_embedding_model(spark):
     docs = spark.createDataFrame([("a", "abc")], "id string, content string")
     assert vectors.embed_with(docs, load, content="content").first()["embedding"] == [3.0, 1.0]
 
+    def broken():
+        return lambda texts: [[1.0 / (len(t) - 2)] for t in texts]
+
+    docs = spark.createDataFrame([("a", "abc"), ("b", "xy")], "id string, content string").coalesce(1)
+    out = {r["id"]: (r["embedding"], r["embedding_error"]) for r in vectors.embed_with(docs, broken, content="content").collect()}
+    assert out["a"] == ([1.0], None) and out["b"][0] is None and "ZeroDivisionError" in out["b"][1]
+
+
+def test_each_row_gets_its_own_hash_embedding(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three"), (2, " .")], "doc_id int, content string")
+    got = vectors.hash_embedding(docs, doc_id="doc_id", content="content").collect()
+    assert [r["doc_id"] for r in got] == [1, 1] and got[0]["embedding"] != got[1]["embedding"]
+
 
 # ---- fusion, context, answers --------------------------------------------------------------
 
