@@ -182,11 +182,14 @@ def test_bucketed_search_recall(space):
     assert all(got[q][0][1] == 1.0 for q in range(20))
 
 
-def test_empty_and_odd_vectors_are_skipped(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, None), (4, [1.0])], "doc_id int, embedding array<float>")
+def test_empty_vectors_are_skipped_and_odd_ones_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, None)], "doc_id int, embedding array<float>")
     queries = spark.createDataFrame([("q", [1.0, 1.0]), ("none", None)], "query_id string, vector array<float>")
     assert [(r["query_id"], r["doc_id"]) for r in vectors.vector_topk(df, queries).collect()] == [("q", 1)]
     assert vectors.vector_topk(df, queries.filter("query_id = 'none'")).count() == 0
+    odd = df.unionByName(spark.createDataFrame([(4, [1.0])], df.schema))
+    with pytest.raises(Exception, match="must have 2 numbers, not 1"):
+        vectors.vector_topk(odd, queries).collect()
 
 
 def test_text_ids_holes_and_mixed_lengths(spark):
