@@ -36,7 +36,7 @@ PART_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
 #: Classes of one side of a block comparison.
 BLOCK = 1024
 #: Tile rows a task compares at a time, about.
-BUNDLE = 4096
+BUNDLE = 1024
 FILTER_BITS = 1 << 23
 
 
@@ -315,7 +315,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     mixed = mixed.filter("low != high").groupBy("x", "y", "size").agg(F.min("tile").alias("tile"))
     open_tiles = materialize(labelled.join(mixed.select("tile", "size"), "tile"), "open-tiles")
-    bundles = max(1, open_tiles.count() // BUNDLE)
+    bundles = max(64, open_tiles.count() // BUNDLE)
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("fp"), blocks)
     sides = F.transform(
