@@ -2,10 +2,11 @@
 
 Each table rotates unit vectors by three rounds of random signs and a fast Hadamard transform and assigns them to the
 nearest signed axis. A query probes, in each table, the axes nearest to it; the rows found in any of them are
-scored exactly on the original vectors. Vectors whose lengths differ get one more component first that makes them equally
-long, so the nearest by angle are those of the largest inner product.
+scored exactly on the original vectors. Codes do not depend on lengths, so rows are searched in bands of similar length: the
+largest inner products of a band are those of the smallest angles. A band of few rows is scored whole, and so is one in
+which a query's probes find fewer rows than are asked for, as a long row may be near in no table and still score high.
 
-All rows are hashed; nothing is fitted but the largest length. A bucket that holds very many rows is spread over the
+All rows are hashed; nothing is fitted. A bucket that holds very many rows is spread over the
 splits of the table, since a split holds rows by a hash of their id and keeps the buckets of its own rows.
 """
 
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .tiles import best, tiled, usable
 
-#: Hash tables, and the signed axes a query probes in each.
-TABLES, PROBES = 16, 8
-#: Lengths that differ by less than this share of the largest count as equal.
-SAME_LENGTH = 1e-3
+#: Hash tables, and the signed axes a query probes in each: at least this many, and one in 16 of all.
+TABLES, PROBES, AXES_A_PROBE = 16, 8, 16
+#: Ratio of the lengths of a band, and the rows of a tile's band up to which all are scored.
+BAND, WHOLE_BAND = 1.1, 1024
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -60,11 +61,11 @@ def codes(x: np.ndarray, tables: int) -> np.ndarray:
 
 
 def probes(x: np.ndarray, tables: int, count: int) -> np.ndarray:
-    """The ``count`` signed axes nearest to each row in each table (rows, tables, count)."""
+    """The signed axes nearest to each row in each table (rows, tables, axes), ``count`` or one in AXES_A_PROBE if that is more."""
     out = []
     for turned in rotations(x, tables):
         both = np.stack([turned, -turned], axis=2).reshape(len(x), -1)
-        count = min(count, both.shape[1])
+        count = min(max(count, both.shape[1] // AXES_A_PROBE), both.shape[1])
         out.append(np.argpartition(-both, count - 1, axis=1)[:, :count])
     return np.stack(out, axis=1)
 
@@ -74,9 +75,7 @@ def index(vectors: DataFrame, tables: int = TABLES) -> tuple[DataFrame, int]:
     kept = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     kept = kept.select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    kept = kept.withColumn("length", length).filter("length > 0")
-    count, low, high = kept.agg(F.count("*"), F.min("length"), F.max("length")).first()
-    level = bool(count) and (high - low) > SAME_LENGTH * high
+    kept = kept.filter(length > 0)
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -84,15 +83,19 @@ def index(vectors: DataFrame, tables: int = TABLES) -> tuple[DataFrame, int]:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = part["v"].flatten().to_numpy().reshape(-1, int(dim))
-                if level:
-                    rest = np.sqrt(np.maximum(high**2 - part["length"].to_numpy() ** 2, 0))
-                    x = np.concatenate([x, rest[:, None]], axis=1)
                 found = codes(x, tables)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part["id"], part["dim"], part["v"], lists], ["id", "dim", "v", "codes"])
 
     made = kept.mapInArrow(hashed, "id long, dim int, v array<double>, codes array<int>")
-    return materialize(made, "cross-polytope"), count
+    made = materialize(made, "cross-polytope")
+    return made, made.count()
+
+
+def _bands(x: np.ndarray) -> np.ndarray:
+    """Number of each row's band of lengths, from 0; rows of length 1 are in the middle of theirs."""
+    number = np.floor(np.log(np.linalg.norm(x, axis=1)) / np.log(BAND) + 0.5)
+    return np.unique(number, return_inverse=True)[1]
 
 
 def _search(k: int, count: int):
@@ -103,8 +106,9 @@ def _search(k: int, count: int):
             buckets = np.stack(rows["codes"].to_list())
             tables = buckets.shape[1]
             q = np.stack(queries["v"].to_list())
-            wide = q.shape[1] if buckets.max(initial=0) < 2 << max(1, (q.shape[1] - 1).bit_length()) else q.shape[1] + 1
-            asked = probes(np.pad(q, ((0, 0), (0, wide - q.shape[1]))), tables, count)
+            asked = probes(q, tables, count)
+            band = _bands(x)
+            whole = np.bincount(band) <= WHOLE_BAND
             marks = np.zeros((tables, int(max(buckets.max(), asked.max())) + 1), bool)
             slot = buckets + np.arange(tables) * marks.shape[1]
             flat = marks.reshape(-1)
@@ -112,8 +116,10 @@ def _search(k: int, count: int):
             for number, vector, probed in zip(queries["id"], q, asked, strict=True):
                 where = (probed + at_table).ravel()
                 flat[where] = True
-                near = np.flatnonzero(flat[slot].any(axis=1) & (ids != number))
+                met = flat[slot].any(axis=1) & (ids != number)
                 flat[where] = False
+                few = whole | (np.bincount(band[met], minlength=len(whole)) < k)
+                near = np.flatnonzero(met | (few[band] & (ids != number)))
                 score = x[near] @ vector
                 if len(near) > 4 * k:
                     kth = np.partition(score, len(near) - k)[len(near) - k]
