@@ -14,8 +14,9 @@ How the work is spread:
    distinct (first bytes, surroundings) once, with its smallest document.
    A suffix found with equal surroundings in a smaller document is covered whole.
 3. Borders. Suffixes that share their first 26 bytes but not their surroundings with another document may share
-   some of the strings through them. Their surroundings are cut from the texts, shuffled by the first bytes, and compared
-   string by string.
+   some of the strings through them. Those strings are shuffled by their own hashes, so common first bytes spread.
+   Before both shuffles a task sends, of the rows it has gathered, only those of each key's smallest document;
+   the others are covered already.
 4. The covered stretches meet their texts and are cut out.
 
 An existing index can be passed on: ``suffixes`` and ``scan_part`` take any earlier rows as a first batch.
@@ -126,10 +127,10 @@ def _suffix_blocks(parts: int):
                 gathered.append((first, around, doc[text], tag[text], kept - offsets[text] + start[text]))
                 held += len(kept)
                 if held >= FLUSH_SUFFIXES:
-                    yield _packed(gathered, parts)
+                    yield from _packed(gathered, parts)
                     held, gathered = 0, []
         if held:
-            yield _packed(gathered, parts)
+            yield from _packed(gathered, parts)
 
     return run
 
@@ -145,24 +146,56 @@ def _unsqueezed(packed: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-def _packed(gathered: list, parts: int) -> pa.RecordBatch:
-    first, around, doc, tag, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
-    part = (first % np.uint64(parts)).astype(np.int64)
+def _met_before(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a smaller document of these rows has the same key: covered, whatever other tasks hold."""
+    order = np.lexsort((doc, key))
+    lead = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+    out = np.zeros(len(key), bool)
+    out[order] = doc[order] > _leader(doc[order], lead)
+    return out
+
+
+def _blocks(part: np.ndarray, columns: dict[str, np.ndarray], doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One packed row for each part."""
     order = np.lexsort((place, tag, doc, part))
     which, begin = np.unique(part[order], return_index=True)
 
     def cut(values: np.ndarray, pack=np.ndarray.tobytes) -> pa.Array:
-        return pa.array([pack(c) for c in np.split(values[order], begin[1:])], pa.binary())
+        return pa.array([pack(c) for c in np.split(values[order], begin[1:])] if len(which) else [], pa.binary())
+
+    arrays = [*(cut(x) for x in columns.values()), *(cut(x, _squeezed) for x in (doc, tag, place))]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *arrays], ["part", *columns, "docs", "tags", "places"])
+
+
+def _folded(parts: int, key: np.ndarray, part: np.ndarray, columns: dict, doc: np.ndarray, tag: np.ndarray, place: np.ndarray):
+    """Packed rows of each key's smallest document, by part; then what is covered for certain, spread by document."""
+    known = _met_before(key, doc)
+    ask = ~known
+    yield _blocks(part[ask], {c: x[ask] for c, x in columns.items()}, doc[ask], tag[ask], place[ask])
+    if known.any():
+        spread = (mix(doc[known].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rows = _blocks(spread, {}, doc[known], tag[known], place[known])
+        empty = [pa.nulls(rows.num_rows, pa.binary())] * len(columns)
+        yield pa.RecordBatch.from_arrays([rows["part"], *empty, rows["docs"], rows["tags"], rows["places"]], ["part", *columns, "docs", "tags", "places"])
+
+
+def _packed(gathered: list, parts: int) -> Iterator[pa.RecordBatch]:
+    first, around, doc, tag, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
+    part = (first % np.uint64(parts)).astype(np.int64)
+    columns = {"first": (first // np.uint64(parts)).astype(np.uint32), "around": around}
+    yield from _folded(parts, mix(first) ^ around, part, columns, doc, tag, place)
+
 
-    columns = [cut((first // np.uint64(parts)).astype(np.uint32)), cut(around), *(cut(x, _squeezed) for x in (doc, tag, place))]
-    return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *columns], ["part", "first", "around", "docs", "tags", "places"])
+def _places(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Documents, tags and places of packed rows."""
+    kinds = (("docs", np.int64), ("tags", np.int32), ("places", np.int64))
+    return tuple(np.concatenate([np.zeros(0, k), *(_unsqueezed(x, k) for x in frame[c])]) for c, k in kinds)
 
 
 def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    first = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["first"]])
-    around = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["around"]])
-    rest = (np.concatenate([_unsqueezed(x, k) for x in frame[c]]) for c, k in (("docs", np.int64), ("tags", np.int32), ("places", np.int64)))
-    return first, around, *rest
+    first = np.frombuffer(b"".join(frame["first"]), np.uint32)
+    around = np.frombuffer(b"".join(frame["around"]), np.uint64)
+    return first, around, *_places(frame)
 
 
 class IndexFamily:
@@ -213,6 +246,8 @@ def _sorted_once(first: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tupl
 
 def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
     """For each document, packed: places of suffixes covered whole, and of those to compare at their borders."""
+    known = frame["first"].isna()
+    sure, frame = frame[known], frame[~known]
     first, around, doc, tag, place = _unpacked(frame)
     order = np.lexsort((place, tag, doc))
     first, around, doc, tag, place = (x[order] for x in (first, around, doc, tag, place))
@@ -237,14 +272,17 @@ def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
     tail = np.append(f[1:] != f[:-1], True)[: len(f)]
     border = order[(d[tail] > d[lead])[np.cumsum(lead) - 1]]
     rows = np.concatenate([np.flatnonzero(covered), border])
-    rows = rows[np.lexsort((place[rows], tag[rows], doc[rows]))]
-    doc, tag, place, first, whole = doc[rows], tag[rows], place[rows], first[rows], covered[rows]
+    more = _places(sure)
+    doc, tag, place = (np.concatenate([x[rows], y]) for x, y in zip((doc, tag, place), more, strict=True))
+    whole = np.append(covered[rows], np.ones(len(more[0]), bool))
+    rows = np.lexsort((place, tag, doc))
+    doc, tag, place, whole = doc[rows], tag[rows], place[rows], whole[rows]
     lead = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)]
     out = []
     for i, j in _ranges(lead):
         w = whole[i:j]
-        out.append((doc[i], tag[i], place[i:j][w].tobytes(), place[i:j][~w].tobytes(), first[i:j][~w].tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "tag", "whole", "border", "first"])
+        out.append((doc[i], tag[i], place[i:j][w].tobytes(), place[i:j][~w].tobytes()))
+    return pd.DataFrame(out, columns=["doc_id", "tag", "whole", "border"])
 
 
 def _ranges(lead: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -258,52 +296,60 @@ def _leader(values: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return values[np.maximum.accumulate(np.where(lead, np.arange(len(values)), 0))]
 
 
-def _contexts(parts: int):
-    """The surroundings of each text's border suffixes, packed by part."""
+def _string_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the 50 bytes from each position."""
+    value = np.zeros(len(at), np.uint64)
+    for i in range(LENGTH):
+        value = value * _BASE + data[at + i] + np.uint64(1)
+    return mix(value)
+
+
+def _strings(parts: int):
+    """The 50-byte strings through each text's border suffixes, packed by their hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, gathered = 0, []
         for batch in it:
-            out: dict[int, list] = {}
-            for doc, tag, text, lists, firsts in zip(*(batch[c].to_pylist() for c in ("doc_id", "tag", "text", "border", "first")), strict=True):
-                raw = text.encode()
-                place = np.frombuffer(b"".join(lists), np.int64)
-                part = np.frombuffer(b"".join(firsts), np.uint32) % parts
-                begin, end = np.maximum(place - AROUND, 0), np.minimum(place + LENGTH, len(raw))
-                for p, b, e in zip(part.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    if e - b >= LENGTH:
-                        out.setdefault(p, []).append((doc, tag, b, raw[b:e]))
-            columns = [
-                pa.array([np.array([x[i] for x in rows], np.int64).tobytes() for rows in out.values()], pa.binary()) for i in range(3)
-            ]
-            sizes = pa.array([np.array([len(x[3]) for x in rows], np.uint8).tobytes() for rows in out.values()], pa.binary())
-            bodies = pa.array([b"".join(x[3] for x in rows) for rows in out.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(out), pa.int64()), *columns, sizes, bodies], ["part", "docs", "tags", "begins", "sizes", "bodies"]
-            )
+            for rows in pieces(batch):
+                data, offsets = text_bytes(rows["text"])
+                ids, tags = rows["doc_id"].to_numpy(), rows["tag"].to_numpy()
+                for i, lists in enumerate(rows["border"].to_pylist()):
+                    place, size = np.frombuffer(b"".join(lists), np.int64), int(offsets[i + 1] - offsets[i])
+                    begin, end = np.maximum(place - AROUND, 0), np.minimum(place + AROUND + FIRST, size) - LENGTH + 1
+                    steps = np.zeros(size + 2, np.int32)
+                    long = end > begin
+                    np.add.at(steps, begin[long], 1)
+                    np.add.at(steps, end[long], -1)
+                    begins = np.flatnonzero(np.cumsum(steps) > 0)
+                    for at in range(0, len(begins), FLUSH_SUFFIXES):
+                        some = begins[at : at + FLUSH_SUFFIXES]
+                        gathered.append((_string_hash(data, some + offsets[i]), np.full(len(some), ids[i]), np.full(len(some), tags[i]), some))
+                        held += len(some)
+                        if held >= FLUSH_SUFFIXES:
+                            yield from _packed_strings(gathered, parts)
+                            held, gathered = 0, []
+        if held:
+            yield from _packed_strings(gathered, parts)
 
     return run
 
 
+def _packed_strings(gathered: list, parts: int) -> Iterator[pa.RecordBatch]:
+    key, doc, tag, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
+    yield from _folded(parts, key, (key % np.uint64(parts)).astype(np.int64), {"keys": key}, doc, tag, place)
+
+
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each document, packed: starts of the 50-byte strings of these surroundings that a smaller document has."""
-    ids, tags, begins = (np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("docs", "tags", "begins"))
-    size = np.frombuffer(b"".join(frame["sizes"]), np.uint8).astype(np.int64)
-    data = np.frombuffer(b"".join(frame["bodies"]), np.uint8)
-    count = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = (np.cumsum(size) - size)[owner] + shift
-    value = np.zeros(len(owner), np.uint64)
-    for i in range(LENGTH):
-        value = value * _BASE + data[at + i] + np.uint64(1)
-    value = mix(value)
-    doc = ids[owner]
-    order = np.lexsort((doc, value))
-    lead = np.append(True, value[order][1:] != value[order][:-1])[: len(order)]
-    hit = order[doc[order] > _leader(doc[order], lead)] if len(order) else order
-    found = np.unique(np.stack([doc[hit], tags[owner[hit]], begins[owner[hit]] + shift[hit]]), axis=1)
-    lead = np.append(True, (found[:2, 1:] != found[:2, :-1]).any(0))[: found.shape[1]]
-    out = [(found[0, i], found[1, i], found[2, i:j].tobytes()) for i, j in _ranges(lead)]
+    """For each document, packed: starts of the 50-byte strings of this part that a smaller document has."""
+    known = frame["keys"].isna()
+    asked = frame[~known]
+    rows = _places(asked)
+    hit = _met_before(np.frombuffer(b"".join(asked["keys"]), np.uint64), rows[0])
+    doc, tag, place = (np.append(x[hit], y) for x, y in zip(rows, _places(frame[known]), strict=True))
+    order = np.lexsort((place, tag, doc))
+    doc, tag, place = doc[order], tag[order], place[order]
+    lead = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)]
+    out = [(doc[i], tag[i], place[i:j].tobytes()) for i, j in _ranges(lead)]
     return pd.DataFrame(out, columns=["doc_id", "tag", "begins"])
 
 
@@ -368,16 +414,16 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _suffix_blocks(parts), "part long, first binary, around binary, docs binary, tags binary, places binary"
     )
     found = materialize(
-        blocks.groupBy("part").applyInPandas(_scan_part, "doc_id long, tag int, whole binary, border binary, first binary"),
+        blocks.groupBy("part").applyInPandas(_scan_part, "doc_id long, tag int, whole binary, border binary"),
         "suffixes-found",
     )
     open_ends = (
         found.filter(F.octet_length("border") > 0).groupBy("doc_id", "tag")
-        .agg(F.collect_list("border").alias("border"), F.collect_list("first").alias("first"))
+        .agg(F.collect_list("border").alias("border"))
     )
-    packed = "part long, docs binary, tags binary, begins binary, sizes binary, bodies binary"
-    contexts = texts.join(open_ends, ["doc_id", "tag"]).mapInArrow(_contexts(parts), packed)
-    strings = contexts.groupBy("part").applyInPandas(_compare, "doc_id long, tag int, begins binary")
+    packed = "part long, keys binary, docs binary, tags binary, places binary"
+    strings = texts.join(open_ends, ["doc_id", "tag"]).mapInArrow(_strings(parts), packed)
+    strings = strings.groupBy("part").applyInPandas(_compare, "doc_id long, tag int, begins binary")
     return found.filter(F.octet_length("whole") > 0).select("doc_id", "tag", "whole"), materialize(strings, "strings-found")
 
 
