@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
         return QualityModel(np.zeros(SIZE, np.float32), np.zeros(0), np.array(grades or [0]))
     rank = F.array_position(F.array(*map(F.lit, grades)), F.col(label).cast("int")) - 1
     ranked = labels.select("doc_id", F.when(F.col(label).isNotNull(), rank).alias("rank"))
-    rows = training_rows(docs, ranked, "rank", features, max_rows)
+    rows = training_rows(docs, ranked, "rank", features, max_rows, shards=1)
     start = np.zeros(2 * (SIZE + steps), np.float32)
     start[SIZE : SIZE + steps] = np.linspace(-0.5, 0.5, steps) if steps > 1 else 0
     state = fit(rows, _fit_shard(steps), start)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quirewise.llm import toxicity
+from quirewise.llm import quality, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -20,3 +20,11 @@ def test_toxic_documents_are_found(tables):
     assert toxic[toxic.held_out].predicted.mean() > 0.7
     assert toxic[~toxic.held_out].predicted.mean() > 0.98
     assert rows[rows.toxic == 0].predicted.mean() < 0.005
+
+
+def test_bad_documents_are_rejected(tables):
+    docs, labels = tables
+    rows = quality.op1(docs, labels).join(labels, "doc_id").toPandas()
+    fresh = rows[rows.held_out]
+    assert fresh[fresh.quality == 0].selected.mean() < 0.08
+    assert fresh[fresh.quality == 1].selected.mean() > 0.99
