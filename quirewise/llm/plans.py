@@ -6,6 +6,7 @@ from ..plans.registry import Tables, query
 from .chat import op9
 from .crosspolytope import op4
 from .jaccard import jaccard_components
+from .merkle import op13
 from .packing import op7
 from .pieces import op10
 from .quality import op1
@@ -121,3 +122,55 @@ def _(t: Tables):
 @query("op10_sentencepiece_scan")
 def _(t: Tables):
     return op10(t.documents)
+
+
+#: Unsigned crc32 of the decimal text of {0}.
+CRC32 = """xor(list_reduce(list_transform(range(1, 1 + length({0}::VARCHAR)), lambda i: ascii(substr({0}::VARCHAR, i, 1))::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b)), 4294967295::BIGINT),
+  4294967295::BIGINT)"""
+
+MERKLE_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    CASE WHEN CRC % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+h AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS tampered FROM f),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM h),
+up AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM leaves GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT tree, nodes[1] AS subroot, level AS depth FROM up WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY tree) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) FROM top WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1),
+steps AS (
+  SELECT l.tree, l.rank, u.level, l.rank // (16 ** u.level)::BIGINT AS place, u.nodes
+  FROM leaves l JOIN up u ON u.tree = l.tree AND len(u.nodes) > 1
+  UNION ALL
+  SELECT l.tree, l.rank, s.depth + t.level, l.tree // (16 ** t.level)::BIGINT, t.nodes
+  FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top t ON len(t.nodes) > 1),
+sides AS (
+  SELECT tree, rank, level, array_to_string(nodes[place // 16 * 16 + 1:place], '') AS l, array_to_string(nodes[place + 2:place // 16 * 16 + 16], '') AS r FROM steps),
+fold AS (
+  SELECT tree, rank, 0 AS level, tampered AS node FROM leaves
+  UNION ALL
+  SELECT f.tree, f.rank, f.level + 1, sha256(s.l || f.node || s.r) FROM fold f JOIN sides s ON s.tree = f.tree AND s.rank = f.rank AND s.level = f.level),
+last AS (SELECT tree, rank, max_by(node, level) AS folded_root FROM fold GROUP BY tree, rank),
+proofs AS (SELECT tree, rank, string_agg(l || r, '' ORDER BY level) AS siblings FROM sides GROUP BY tree, rank)
+SELECT l.doc_id, l.leaf, s.subroot, root.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, last.folded_root,
+  last.folded_root = root.root AS verified
+FROM leaves l JOIN subroots s USING (tree) CROSS JOIN root JOIN last USING (tree, rank) LEFT JOIN proofs p USING (tree, rank)
+""".replace("CRC", CRC32.format("doc_id"))
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def _(t: Tables):
+    return op13(t.documents)
