@@ -10,6 +10,7 @@ from .merkle import op13
 from .packing import op7
 from .pieces import op10
 from .quality import op1
+from .runs import op11
 from .suffixes import remove_repeats
 from .topk import op6
 from .toxicity import op8
@@ -174,3 +175,37 @@ FROM leaves l JOIN subroots s USING (tree) CROSS JOIN root JOIN last USING (tree
 @query("op13_merkle_manifest", MERKLE_SQL)
 def _(t: Tables):
     return op13(t.documents)
+
+
+#: A run of 12 words or more matches itself a period on over 6 words at least, so its proposals come from equal 6-word contexts.
+RUNS_SQL = r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, CRC AS h FROM documents),
+d AS (SELECT *, len(words)::BIGINT AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM c),
+t AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE
+    list_transform(range(0, n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM d),
+x AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM t),
+k AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS context, count(*) OVER ahead AS held FROM x
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+m AS (
+  SELECT p.doc_id, p.i, r.i - p.i AS q FROM k p JOIN k r ON p.doc_id = r.doc_id AND p.context = r.context AND p.i < r.i
+  WHERE p.held = 6 AND r.held = 6),
+b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+e AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q - min(i) AS l FROM b GROUP BY doc_id, q, island HAVING max(i) + 6 - min(i) >= q),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM e GROUP BY doc_id, s, l HAVING l >= 12),
+f AS (
+  SELECT doc_id, count(*)::BIGINT AS n_runs, arg_min({'s': s, 'l': l, 'q': q}, {'l': -l, 's': s, 'q': q}) AS best,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+SELECT t.doc_id, coalesce(f.n_runs, 0) AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(f.lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN f USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".replace("CRC", CRC32.format("doc_id"))
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def _(t: Tables):
+    return op11(t.documents)
