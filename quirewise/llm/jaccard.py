@@ -5,10 +5,11 @@
    order. The order is by frequency (a fixed-size table of counts over all documents), rare shingles first.
    These prefixes are shuffled as packed blocks; a shingle met by several classes becomes a tile for each
    band of set sizes (bands grow by 1/0.8, so a similar pair is of one band or of two neighbouring ones).
-3. In each tile every class is first compared with the tile's earliest one. Links found so far are joined into
-   components; then the tiles that still hold several components compare across them, block against block.
+3. In each tile (``linking``) every class is first compared with the tile's earliest one. Links found so far are joined
+   into components; then the tiles that still hold several components compare across them, block against block.
 4. A pair is first bounded from above with hashed bitmaps: each bit of one that the other lacks is a shingle it lacks.
-   What the bound leaves is decided by the exact intersection of the two sorted sets.
+   What the bound leaves is decided by the exact intersection of the two sorted sets, in the task that found it; a
+   pair of blocks returns fewer links than it has classes.
 
 Pairs inside one component need no test, as only components are asked for; pairs between components are all tested.
 A document without words has the empty set and is linked with nothing. Null texts count as empty.
@@ -27,33 +28,19 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .batches import pieces
 from .components import components
+from .linking import Rule, fingerprint, links, named_rows
 from .texthash import mix, shingle_sets
 
 COUNT_BITS = 18
 COUNT_BLOCKS = 16
 #: Prefix entries a packed block partition should hold, and those a map task gathers before it passes blocks on.
 PART_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
-#: Classes of one side of a block comparison.
-BLOCK = 1024
-#: Tile rows a task compares at a time, about.
-BUNDLE = 1024
-FILTER_BITS = 1 << 23
 
 
 def _key_counts(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _fingerprint(found: np.ndarray) -> int:
-    """Signed 64-bit name of a set; 0 only for the empty set."""
-    if not len(found):
-        return 0
-    spread = mix(found + np.uint64(0x9E37))
-    total = (int(spread.sum(dtype=np.uint64)) * 31 + int(np.bitwise_xor.reduce(spread)) + len(found)) % (1 << 64)
-    value = mix(np.array([total], np.uint64))
-    return int(value.view(np.int64)[0]) or 1
-
-
 def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in it:
@@ -63,7 +50,7 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()),
                     pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                 ],
                 ["doc_id", "n", "fp", "bitmap", "block", "counts"],
@@ -91,7 +78,7 @@ def _prefixes(order, parts: int):
         for batch in it:
             for part in pieces(batch):
                 for found in shingle_sets(part["text"]):
-                    n, name = len(found), _fingerprint(found)
+                    n, name = len(found), fingerprint(found)
                     if not n or name in seen:
                         continue
                     if len(seen) < 1_000_000:  # only spares repeats
@@ -159,11 +146,6 @@ def _folded(bitmap: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def _may_link(overlap, n_a, n_b):
-    """True where an overlap of at most this many leaves the pair similar."""
-    return 180 * overlap >= 80 * (n_a + n_b)
-
-
 def _bounds(maps_a: np.ndarray, n_a: np.ndarray, maps_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Upper bound of each pair's overlap, rows by columns."""
     alone_a = np.bitwise_count(maps_a[:, None] & ~maps_b[None]).sum(2, dtype=np.int64)
@@ -171,103 +153,19 @@ def _bounds(maps_a: np.ndarray, n_a: np.ndarray, maps_b: np.ndarray, n_b: np.nda
     return np.minimum(n_a[:, None] - alone_a, n_b[None] - alone_b)
 
 
-def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in the block pairs of some tiles that the bitmaps cannot rule out."""
-    frame = frame.sort_values(["tile", "i", "j", "side"])
-    tile, i, j, side, fp, n, comp = (frame[c].to_numpy() for c in ("tile", "i", "j", "side", "fp", "n", "comp"))
-    bitmap = frame["bitmap"].to_numpy()
-    lead = np.append(True, (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-    begin = np.flatnonzero(lead)
-    out = [np.zeros((2, 0), np.int64)]
-    for a, b in zip(begin, np.append(begin[1:], len(tile)), strict=True):
-        middle = a + int(np.searchsorted(side[a:b], 1))
-        left, right = slice(a, middle), slice(middle, b)
-        if i[a] == j[a]:
-            right = left
-        if right.start < right.stop and left.start < left.stop:
-            out.extend(_block_pair(fp[left], n[left], comp[left], bitmap[left], fp[right], n[right], comp[right], bitmap[right]))
-    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def _block_pair(f_a, n_a, c_a, m_a, f_b, n_b, c_b, m_b) -> Iterator[np.ndarray]:
-    size = min(min(map(len, m_a)), min(map(len, m_b)))
-    a, b = (np.stack([_folded(x, size) for x in m]) for m in (m_a, m_b))
+def may(sketch_a: np.ndarray, n_a: np.ndarray, sketch_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs the bound of their bitmaps leaves."""
+    size = min(min(map(len, sketch_a)), min(map(len, sketch_b)))
+    a, b = (np.stack([_folded(x, size) for x in m]) for m in (sketch_a, sketch_b))
     step = max(1, (1 << 18) // (len(a) * a.shape[1]))
+    out = []
     for at in range(0, len(b), step):
         j = slice(at, at + step)
-        ok = (c_a[:, None] != c_b[None, j]) & _may_link(np.minimum(n_a[:, None], n_b[None, j]), n_a[:, None], n_b[None, j])
-        rows = np.flatnonzero(ok.any(1))
-        if len(rows):
-            ok[rows] &= _may_link(_bounds(a[rows], n_a[rows], b[j], n_b[j]), n_a[rows, None], n_b[None, j])
-            x, y = np.nonzero(ok)
-            yield np.stack([np.minimum(f_a[x], f_b[j][y]), np.maximum(f_a[x], f_b[j][y])])
-
-
-def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the bitmaps leave."""
-    for batch in it:
-        may = []
-        for bits_a, bits_b, n_a, n_b in zip(*(batch[c].to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
-            size = min(len(bits_a), len(bits_b))
-            a, b = _folded(bits_a, size)[None], _folded(bits_b, size)[None]
-            may.append(bool(_may_link(_bounds(a, np.array([n_a]), b, np.array([n_b]))[0, 0], n_a, n_b)))
-        yield batch.select(["a", "b", "rep_b"]).filter(pa.array(may, pa.bool_()))
-
-
-def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sorted sets are similar."""
-    for batch in it:
-        similar = []
-        for set_a, set_b in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b")), strict=True):
-            both = np.concatenate([np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)])
-            both.sort()
-            similar.append(bool(_may_link(int((both[1:] == both[:-1]).sum()), len(set_a) // 8, len(set_b) // 8)))
-        yield batch.select(["a", "b", "rep_b"]).filter(pa.array(similar, pa.bool_()))
-
-
-def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(fp, found) of the needed classes.
-
-    Documents are picked out by a bitmap of hashed ids of FILTER_BITS bits, whatever the number of ids;
-    the few that only look needed drop out in the join with the pairs.
-    """
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    marked = (
-        needed.join(classes, "fp").select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    table = bytearray(FILTER_BITS // 8)
-    for row in marked.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
-        at = (row["bucket"] - 1) * 4096
-        table[at : at + 4096] = row["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(table))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
-        for batch in it:
-            batch = batch.filter(pa.array(marks[batch["place"].to_numpy()].astype(bool)))
-            for part in pieces(batch):
-                sets = [s for s in shingle_sets(part["text"]) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["fp", "found"],
-                )
-
-    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"), "text")
-    found = texts.mapInArrow(run, "fp long, found binary")
-    return materialize(found.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-
+        out.append(RULE.linked(_bounds(a, n_a, b[j], n_b[j]), n_a[:, None], n_b[None, j]))
+    return np.concatenate(out, axis=1)
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` (a, b, rep_b) that are similar; only the sets of these pairs are fetched."""
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    sets = _sets_of(docs, classes, needed)
-    one, two = (sets.select(F.col("fp").alias(x), F.col("found").alias(f"set_{x}")) for x in ("b", "a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "set_a", "set_b").mapInArrow(_decide, PAIR)
 
-
-PAIR = "a long, b long, rep_b long"
+RULE = Rule(80, may)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -286,54 +184,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(table.reshape(-1))
     classes = materialize(
         described.filter("n > 0").groupBy("fp")
-        .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes"
+        .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bitmap").alias("sketch")), "classes"
     )
     parts = int(max(64, (classes.agg(F.sum("n")).first()[0] or 0) // 5 // PART_ENTRIES + 1))
     packed = docs.select("text").mapInArrow(_prefixes(order, parts), "part long, keys binary, sets binary, sizes binary")
     tiles = packed.groupBy("part").applyInPandas(_tiles, "tile long, fp long, n long")
     tiles = materialize(tiles.join(classes.select("fp", "rep"), "fp"), "tiles")
 
-    first = tiles.groupBy("tile").agg(F.min(F.struct("rep", "fp", "n")).alias("first"))
-    pairs = (
-        tiles.join(first, "tile").filter("fp != first.fp and 5 * least(n, first.n) >= 4 * greatest(n, first.n)")
-        .select(F.col("fp").alias("a"), F.col("first.fp").alias("b"), F.col("first.rep").alias("rep_b")).distinct()
-    )
-    one, two = (classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in ("b", "a"))
-    pairs = pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, PAIR)
-    links = materialize(_linked(docs, classes, materialize(pairs, "star-pairs")), "star-links")
-
-    # a class takes the name of its earliest partner, and then that one's: never a wrong name, at worst too many names
-    parent = links.groupBy("a").agg(F.min(F.struct("rep_b", "b")).alias("p")).select(F.col("a").alias("fp"), F.col("p.b").alias("up"))
-    above = parent.select(F.col("fp").alias("up"), F.col("up").alias("top"))
-    named = parent.join(above, "up", "left").select("fp", F.coalesce("top", "up").alias("root"))
-    labelled = tiles.join(named, "fp", "left").select("tile", "fp", "n", F.coalesce("root", "fp").alias("comp"))
-    labelled = materialize(labelled, "labelled")
-    # the shingles of one passage make tiles of the same classes: one of each such set is enough
-    mixed = labelled.groupBy("tile").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
-    )
-    mixed = mixed.filter("low != high").groupBy("x", "y", "size").agg(F.min("tile").alias("tile"))
-    open_tiles = materialize(labelled.join(mixed.select("tile", "size"), "tile"), "open-tiles")
-    bundles = max(64, open_tiles.count() // BUNDLE)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    mine = F.pmod(F.xxhash64("fp"), blocks)
-    sides = F.transform(
-        F.sequence(F.lit(0).cast("long"), blocks - 1),
-        lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side")),
-    )
-    compared = (
-        open_tiles.withColumn("at", F.explode(sides)).select("tile", "at.i", "at.j", "at.side", "fp", "n", "comp")
-        .join(classes.select("fp", "bitmap"), "fp")
-        .groupBy(F.pmod(F.xxhash64("tile", "i", "j"), F.lit(bundles))).applyInPandas(_across, "a long, b long").distinct()
-    )
-    more = _linked(docs, classes, materialize(compared.withColumn("rep_b", F.lit(0).cast("long")), "cross-pairs"))
-    final = components(links.union(more).select("a", "b"))
-    named = (
-        classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
-    )
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(names, "root").select("fp", "component_id")
-    return nodes.join(of_class, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    roots = components(links(docs, classes, tiles, RULE))
+    return named_rows(nodes, classes, roots)

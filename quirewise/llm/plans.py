@@ -7,6 +7,7 @@ from .chat import op9
 from .crosspolytope import op4
 from .jaccard import jaccard_components
 from .merkle import op13
+from .minhash import near_duplicates
 from .packing import op7
 from .pieces import op10
 from .quality import op1
@@ -209,3 +210,14 @@ FROM t LEFT JOIN f USING (doc_id) LEFT JOIN kept USING (doc_id)
 @query("op11_periodic_runs", RUNS_SQL)
 def _(t: Tables):
     return op11(t.documents)
+
+
+MINHASH_SQL = f"""
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (
+{JACCARD_SQL.replace("80 * (p.n + q.n - c)", "85 * (p.n + q.n - c)")})
+"""
+
+
+@query("op12_minhash_dedup", MINHASH_SQL)
+def _(t: Tables):
+    return near_duplicates(t.documents)

@@ -79,7 +79,10 @@ def hashed_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
             continue
         kept = np.flatnonzero(inside)
         word = np.cumsum(first)[kept] - 1
-        value = (_LOWER[part[kept]] + np.uint64(1)) * _POWERS[(kept - where[word]) & 4095]
+        place = kept - where[word]
+        value = (_LOWER[part[kept]] + np.uint64(1)) * _POWERS[place & 4095]
+        far = np.flatnonzero(place > 4095)  # every block of a longer word has a factor of its own
+        value[far] *= mix((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
         begin = np.flatnonzero(first[kept])
         length = np.diff(np.append(begin, len(kept))).astype(np.uint64)
         hashes.append(mix(np.add.reduceat(value, begin) + length))
