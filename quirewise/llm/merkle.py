@@ -50,7 +50,7 @@ def leaf_digest(text: Column) -> Column:
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with ``rank`` (from 0) among the rows of equal ``keys``, written out.
+    """``rows`` with ``rank`` (from 0) among the rows of equal ``keys`` and their number, ``total``.
 
     ``order`` must tell all rows of a key apart. Numbers are places inside range partitions, so no key passes one task.
     """
@@ -66,10 +66,14 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     sums = later.join(before, reduce(Column.__and__, [*same, F.col("_p") < F.col("_part")])).groupBy(*keys, "_part").agg(F.sum("_r").alias("_before"))
     starts = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), "_before")
     starts = held.join(starts, reduce(Column.__and__, [*same, F.col("_p") == F.col("_part")]), "left").select(
-        *(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), (F.coalesce("_before", F.lit(0)) - F.col("_first")).alias("_shift")
+        *keys, "_part", (F.coalesce("_before", F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    totals = held.groupBy(*keys).agg(F.sum("_rows").alias("total")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    starts = starts.join(totals, reduce(Column.__and__, same)).select(
+        *(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), "_shift", "total"
     )
     met = placed.join(starts, reduce(Column.__and__, [*same, F.shiftright("_at", 33) == F.col("_p")]))
-    return met.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("rank"))
+    return met.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("rank"), "total")
 
 
 def _bucket(level: int, at: str = "lo") -> Column:
@@ -77,28 +81,31 @@ def _bucket(level: int, at: str = "lo") -> Column:
     return F.shiftright(at, 4 * level)
 
 
+def _is_top(level: int) -> Column:
+    """Whether a node of ``level`` is its tree's last, by the number of the tree's leaves."""
+    return F.col("total") <= WIDTH**level
+
+
 def levels(leaves: DataFrame, name: str) -> list[DataFrame]:
-    """Written tables (tree, lo, hi, node, kids) of levels 1, 2, ... over ``leaves`` (tree, lo, hi, node).
+    """Written tables (tree, total, lo, hi, node, kids) of levels 1, 2, ... over ``leaves`` (tree, total, lo, hi, node).
 
-    ``kids`` are the children in order, (lo, hi, node). A tree stops at the level where it has one node.
+    ``kids`` are the children in order, (lo, hi, node). A tree of ``total`` leaves stops at the level where it has one node.
     """
     out, below, level = [], leaves, 0
-    while True:
+    largest = leaves.agg(F.max("total")).first()[0] or 0
+    while WIDTH**level < largest:
         level += 1
-        several = below.groupBy("tree").agg(F.count("*").alias("n")).filter("n > 1").select("tree")
         made = (
-            below.join(several, "tree", "left_semi").groupBy("tree", _bucket(level).alias("bucket"))
-            .agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "node"))).alias("kids"))
+            below.filter(~_is_top(level - 1)).groupBy("tree", _bucket(level).alias("bucket"))
+            .agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "node"))).alias("kids"), F.max("total").alias("total"))
             .select(
-                "tree", F.col("kids")[0]["lo"].alias("lo"), F.array_max("kids.hi").alias("hi"),
+                "tree", "total", F.col("kids")[0]["lo"].alias("lo"), F.array_max("kids.hi").alias("hi"),
                 digest(F.array_join("kids.node", "")).alias("node"), "kids",
             )
         )
-        made = materialize(made, f"{name}-{level}")
-        if made.isEmpty():
-            return out
-        out.append(made)
-        below = made.drop("kids")
+        out.append(materialize(made, f"{name}-{level}"))
+        below = out[-1].drop("kids")
+    return out
 
 
 def _step(kids: Column, lo: Column, hi: Column) -> Column:
@@ -144,8 +151,8 @@ def tops(leaves: DataFrame, above: list[DataFrame]) -> DataFrame:
     """(tree, level, lo, hi, node): the last node of each tree."""
     found = []
     for level, made in enumerate([leaves, *above]):
-        one = made.groupBy("tree").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("lo", "hi", "node"))).filter("n = 1")
-        found.append(one.select("tree", F.lit(level).alias("level"), "lo", "hi", "node"))
+        last = made.filter(_is_top(level) & ~_is_top(level - 1)) if level else made.filter(_is_top(0))
+        found.append(last.select("tree", F.lit(level).alias("level"), "lo", "hi", "node"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -161,15 +168,19 @@ def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
     )
     rows = ranked(materialize(rows, "leaves"), ["source"], ["doc_id", "leaf", "row"])
     sources = materialize(rows.filter("rank = 0").select("source"), "sources")
-    numbered = ranked(sources.withColumn("one", F.lit(0)), ["one"], ["source"]).select(F.col("source").alias("_source"), F.col("rank").alias("tree"))
+    numbered = ranked(sources.withColumn("one", F.lit(0)), ["one"], ["source"])
+    numbered = numbered.select(F.col("source").alias("_source"), F.col("rank").alias("tree"))
     leaves = rows.join(numbered, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "tree", F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), F.col("leaf").alias("node"), "doc_id", "source", "other"
+        "tree", "total", F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), F.col("leaf").alias("node"),
+        "doc_id", "source", "other",
     )
     leaves = materialize(leaves, "ranked-leaves")
-    bare = leaves.select("tree", "lo", "hi", "node")
+    bare = leaves.select("tree", "total", "lo", "hi", "node")
     above = levels(bare, "level")
     ends = materialize(tops(bare, above), "tops")
-    subroots = ends.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("lo"), (F.col("tree") + 1).alias("hi"), "node")
+    subroots = ends.select(
+        F.lit(TOP).cast("long").alias("tree"), F.lit(sources.count()).alias("total"), F.col("tree").alias("lo"), (F.col("tree") + 1).alias("hi"), "node"
+    )
     higher = levels(subroots, "top-level")
     root = tops(subroots, higher).withColumns({"root": F.col("node"), "path": F.array().cast(PATH)}).drop("node")
     upper = with_paths(subroots, higher, root).select(F.col("lo").alias("tree"), F.col("node").alias("subroot"), "root", "path")
