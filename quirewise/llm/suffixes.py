@@ -16,9 +16,12 @@ How the work is spread:
 3. Borders. Suffixes that share their first 26 bytes but not their surroundings with another document may share
    some of the strings through them. Those strings are shuffled by their own hashes, so common first bytes spread.
    Before both shuffles a task sends, of the rows it has gathered, only those of each key's smallest document;
-   the others are covered already.
+   the others are covered already. Of first bytes that very many of its rows share, with surroundings of their own, it
+   sends the smallest document's only: the others have met an earlier document and go to step 3 right away.
 4. The covered stretches meet their texts and are cut out.
 
+Strings are told apart by 64-bit hashes of their bytes, not compared byte by byte.
+
 An existing index can be passed on: ``suffixes`` and ``scan_part`` take any earlier rows as a first batch.
 """
 
@@ -48,6 +51,8 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 WORK_BYTES, PART_SUFFIXES, FLUSH_SUFFIXES = 1 << 20, 500_000, 1_500_000
 #: Suffixes of a batch of the index family.
 BATCH = 1 << 16
+#: Suffixes of one first bytes that a task sends to their part at a time; of more, all but the smallest document's go to step 3.
+HOT = 64
 
 _POWERS = np.cumprod(np.full(WORK_BYTES + 4096, _BASE, np.uint64))
 _INVERSE = np.cumprod(np.full(WORK_BYTES + 4096, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
@@ -93,10 +98,11 @@ def _sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return kept, first[kept], _range_hash(sums, begin, end)
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, offsets, doc_id, tag, start in its text) of pieces of at most WORK_BYTES.
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(data, offsets, doc_id, tag, start in its text, first and last place to take suffixes from) of pieces of at most WORK_BYTES.
 
-    A longer text comes in pieces that overlap by the surroundings, so each suffix is whole in some piece.
+    A longer text comes in pieces that overlap, and each gives the suffixes whose surroundings lie inside it or
+    end with the text, so none is hashed with surroundings that a cut has shortened.
     """
     ids, tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy()
     for part_at in range(0, batch.num_rows, 4096):
@@ -108,12 +114,13 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
             base, size = offsets[at], offsets[stop] - offsets[at]
             doc, tag = ids[part_at + at : part_at + stop], tags[part_at + at : part_at + stop]
             if size <= WORK_BYTES:
-                yield data[base : base + size], offsets[at : stop + 1] - base, doc, tag, np.zeros(stop - at, np.int64)
+                yield data[base : base + size], offsets[at : stop + 1] - base, doc, tag, np.zeros(stop - at, np.int64), 0, size
             else:  # one long text
                 step = WORK_BYTES - 4 * LENGTH
                 for start in range(0, size - 4 * LENGTH, step):
                     part = data[base + start : base + min(size, start + WORK_BYTES)]
-                    yield part, np.array([0, len(part)]), doc, tag, np.array([start])
+                    last = len(part) if start + len(part) == size else len(part) - LENGTH
+                    yield part, np.array([0, len(part)]), doc, tag, np.array([start]), AROUND if start else 0, last
             at = stop
 
 
@@ -121,8 +128,10 @@ def _suffix_blocks(parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, gathered = 0, []
         for batch in it:
-            for data, offsets, doc, tag, start in _stretches(batch):
-                kept, first, around = _sampled(data, offsets)
+            for data, offsets, doc, tag, start, low, last in _stretches(batch):
+                found = _sampled(data, offsets)
+                inside = (found[0] >= low) & (found[0] <= last)
+                kept, first, around = (x[inside] for x in found)
                 text = np.searchsorted(offsets, kept, "right") - 1
                 gathered.append((first, around, doc[text], tag[text], kept - offsets[text] + start[text]))
                 held += len(kept)
@@ -167,23 +176,37 @@ def _blocks(part: np.ndarray, columns: dict[str, np.ndarray], doc: np.ndarray, t
     return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *arrays], ["part", *columns, "docs", "tags", "places"])
 
 
-def _folded(parts: int, key: np.ndarray, part: np.ndarray, columns: dict, doc: np.ndarray, tag: np.ndarray, place: np.ndarray):
-    """Packed rows of each key's smallest document, by part; then what is covered for certain, spread by document."""
-    known = _met_before(key, doc)
-    ask = ~known
-    yield _blocks(part[ask], {c: x[ask] for c, x in columns.items()}, doc[ask], tag[ask], place[ask])
-    if known.any():
-        spread = (mix(doc[known].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        rows = _blocks(spread, {}, doc[known], tag[known], place[known])
-        empty = [pa.nulls(rows.num_rows, pa.binary())] * len(columns)
-        yield pa.RecordBatch.from_arrays([rows["part"], *empty, rows["docs"], rows["tags"], rows["places"]], ["part", *columns, "docs", "tags", "places"])
+def _folded(parts: int, known: np.ndarray, part: np.ndarray, columns: dict, rows: tuple, open_ends: np.ndarray | None = None):
+    """Packed rows by part; then what is covered for certain (``known``), and what only step 3 can tell, spread by document."""
+    ask = ~known if open_ends is None else ~known & ~open_ends
+    yield _blocks(part[ask], {c: x[ask] for c, x in columns.items()}, *(x[ask] for x in rows))
+    for some, mark in ((known, None), (open_ends, b"")):
+        if some is not None and some.any():
+            spread = (mix(rows[0][some].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            made = _blocks(spread, {}, *(x[some] for x in rows))
+            # no first bytes: not to be looked up; then surroundings tell what is covered from what is open
+            marks = [pa.nulls(made.num_rows, pa.binary())] + [pa.array([mark] * made.num_rows, pa.binary())] * (len(columns) - 1)
+            arrays = [made["part"], *marks, made["docs"], made["tags"], made["places"]]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", *columns, "docs", "tags", "places"])
+
+
+def _hot(first: np.ndarray, doc: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Rows of ``left`` whose first bytes over HOT of them share, but for those of the smallest document."""
+    at = np.flatnonzero(left)
+    at = at[np.lexsort((doc[at], first[at]))]
+    lead = np.append(True, first[at][1:] != first[at][:-1])[: len(at)]
+    group = np.cumsum(lead) - 1
+    out = np.zeros(len(first), bool)
+    out[at] = (np.bincount(group, minlength=1)[group] > HOT) & (doc[at] > _leader(doc[at], lead)) if len(at) else False
+    return out
 
 
 def _packed(gathered: list, parts: int) -> Iterator[pa.RecordBatch]:
     first, around, doc, tag, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
     part = (first % np.uint64(parts)).astype(np.int64)
     columns = {"first": (first // np.uint64(parts)).astype(np.uint32), "around": around}
-    yield from _folded(parts, mix(first) ^ around, part, columns, doc, tag, place)
+    known = _met_before(mix(first) ^ around, doc)
+    yield from _folded(parts, known, part, columns, (doc, tag, place), _hot(first, doc, ~known))
 
 
 def _places(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -246,8 +269,8 @@ def _sorted_once(first: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tupl
 
 def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
     """For each document, packed: places of suffixes covered whole, and of those to compare at their borders."""
-    known = frame["first"].isna()
-    sure, frame = frame[known], frame[~known]
+    known, unsure = frame["first"].isna(), frame["around"].notna()
+    sure, open_ends, frame = frame[known & ~unsure], frame[known & unsure], frame[~known]
     first, around, doc, tag, place = _unpacked(frame)
     order = np.lexsort((place, tag, doc))
     first, around, doc, tag, place = (x[order] for x in (first, around, doc, tag, place))
@@ -272,9 +295,9 @@ def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
     tail = np.append(f[1:] != f[:-1], True)[: len(f)]
     border = order[(d[tail] > d[lead])[np.cumsum(lead) - 1]]
     rows = np.concatenate([np.flatnonzero(covered), border])
-    more = _places(sure)
-    doc, tag, place = (np.concatenate([x[rows], y]) for x, y in zip((doc, tag, place), more, strict=True))
-    whole = np.append(covered[rows], np.ones(len(more[0]), bool))
+    more, still = _places(sure), _places(open_ends)
+    doc, tag, place = (np.concatenate([x[rows], y, z]) for x, y, z in zip((doc, tag, place), more, still, strict=True))
+    whole = np.concatenate([covered[rows], np.ones(len(more[0]), bool), np.zeros(len(still[0]), bool)])
     rows = np.lexsort((place, tag, doc))
     doc, tag, place, whole = doc[rows], tag[rows], place[rows], whole[rows]
     lead = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)]
@@ -336,7 +359,7 @@ def _strings(parts: int):
 
 def _packed_strings(gathered: list, parts: int) -> Iterator[pa.RecordBatch]:
     key, doc, tag, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
-    yield from _folded(parts, key, (key % np.uint64(parts)).astype(np.int64), {"keys": key}, doc, tag, place)
+    yield from _folded(parts, _met_before(key, doc), (key % np.uint64(parts)).astype(np.int64), {"keys": key}, (doc, tag, place))
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
