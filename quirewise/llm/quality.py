@@ -28,7 +28,7 @@ RATE, DECAY, EPOCHS = 0.15, 1e-6, 4
 #: Documents whose probability of being above the lowest grade is under this are rejected by selection.
 LEAST_TAIL = 0.5
 _PAIR, _SHAPE, _BAND = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 4, 16
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 8
 _WHITE = [0x20, 9, 10, 11, 12, 13]
@@ -37,6 +37,7 @@ _WHITE = [0x20, 9, 10, 11, 12, 13]
 def _shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A small number for the look of each word of all texts, and each text's band numbers (rows of 4)."""
     data, offsets = text_bytes(texts)
+    classes = _CLASS[data]
     space = np.isin(data, np.array(_WHITE, np.uint8))
     first = ~space
     first[1:] &= space[:-1]
@@ -48,12 +49,14 @@ def _shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(begin):
         shape = np.zeros(0, np.int64)
     else:
-        seen = np.bitwise_or.reduceat(_CLASS[data], begin)
+        seen = np.bitwise_or.reduceat(classes, begin).astype(np.int64)
         shape = seen * 8 + np.minimum(np.log2(end - begin + 1).astype(np.int64), 7)
     length = np.diff(offsets)
-    summed = np.cumsum(np.stack([space, _CLASS[data] == 8, _CLASS[data] == 1, _CLASS[data] == 4]), axis=1, dtype=np.int64)
-    summed = np.concatenate([np.zeros((4, 1), np.int64), summed], axis=1)
-    shares = np.diff(summed[:, offsets], axis=1) / np.maximum(length, 1)
+    full = np.flatnonzero(length)
+    shares = np.zeros((4, len(length)))
+    if len(full):  # byte masks, summed text by text: nothing wider than a byte for each byte of text
+        for row, mask in zip(shares, (space, classes == 8, classes == 1, classes == 4), strict=True):
+            row[full] = np.add.reduceat(mask, offsets[full], dtype=np.int64) / length[full]
     return shape, np.minimum((shares * 24).astype(np.int64), 23).T
 
 

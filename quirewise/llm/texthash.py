@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _BASE, np.uint64))
 _SPACE = np.zeros(256, bool)
