@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.matching import find_contained
+from ..functions.matching import find_contained, within
 from ..functions.ranking import QuestionBlock, best_of
 from ..functions.sizing import broadcast_checked, spread
 from ..functions.text import words
@@ -19,12 +19,7 @@ from ..session import materialize
 
 def keyword_test(content: Column, query: Column) -> Column:
     """Case-insensitive substring test; ``%`` and ``_`` in the query are wildcards."""
-    return F.ilike(content, _within(query))
-
-
-def _within(query: Column) -> Column:
-    """The pattern for 'contains'; a backslash stands for itself."""
-    return F.concat(F.lit("%"), F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    return F.ilike(content, within(query))
 
 
 def keyword_search(documents: DataFrame, query: str) -> DataFrame:
@@ -38,19 +33,16 @@ def batch_keyword_search(
 ) -> DataFrame:
     """``(query_id, doc_id, <keep>)`` for every query text found in a document, for a table of queries.
 
-    One pass over the documents finds candidates with a multi-pattern automaton. A text without
-    wildcards is then decided; for the others ``like`` on the lowered text (what ``ilike``
-    means) decides. Neither a cross join nor a shuffle is needed.
+    Queries and documents meet in a join on the rarest gram of each query (``functions/matching.py``): one scan of the documents
+    for any number of queries. ``like`` on the lowered text, which is what ``ilike`` means, decides.
     """
     found = find_contained(
         spread(documents.select(F.col(doc_id).alias("doc_id"), F.lower(content).alias("_text"), *keep)),
         "_text",
         queries.select("query_id", F.lower("text").alias("text")),
         wildcards=True,
-        keep_text=True,
     )
-    plain = ~F.col("query_text").rlike("[%_]")
-    return found.filter(plain | F.like(F.col("_text"), _within(F.col("query_text")))).select("query_id", "doc_id", *keep)
+    return found.select("query_id", "doc_id", *keep)
 
 
 def hits_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -37,34 +37,49 @@ def test_batch_search_equals_one_by_one(spark, library):
     assert got == sorted(want)
 
 
-def test_query_blocks_change_nothing(spark, library, monkeypatch):
-    texts = ["alpha", "beta gamma", "zeta9", "delta alpha", "épsilon"] * 3
-    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+def test_queries_do_not_change_each_other(spark, library):
+    texts = ["alpha", "beta gamma", "zeta9", "delta alpha", "épsilon", "gamma gamma%alpha", "t"]
+    queries = spark.createDataFrame(list(enumerate(texts * 3)), "query_id int, text string")
 
-    def run():
+    def run(queries):
         out = keyword.batch_keyword_search(library, queries, doc_id="doc_id", content="text")
         return sorted(tuple(r) for r in out.collect())
 
-    whole = run()
-    monkeypatch.setattr(matching, "MAX_BLOCK_ROWS", 4)
-    assert run() == whole
-    monkeypatch.setattr(matching, "MAX_BLOCK_ROWS", 100)
-    monkeypatch.setattr(matching, "MAX_BLOCK_CHARS", 30)
-    assert run() == whole
+    whole = run(queries)
+    assert sorted(sum((run(queries.filter(f"query_id % 3 = {i}")) for i in range(3)), [])) == whole
 
 
-def test_matcher_without_the_automaton_library(monkeypatch):
-    import builtins
+def test_pieces_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(matching, "PIECE_BYTES", 7)
+    texts = ["abc", None, "", "a longer text than a piece", "xy", None, "z"]
+    batch = matching.pa.RecordBatch.from_pydict({"t": texts}).slice(1)
+    seen = [(p["t"].to_pylist(), bytes(d), o.tolist()) for p, d, o in matching._pieces(batch, "t")]
+    assert sum((t for t, _, _ in seen), []) == [t for t in texts[1:] if t is not None]
+    assert all(bytes(d) == "".join(t).encode() and o[-1] == len(d) for t, d, o in seen)
 
-    real = builtins.__import__
-    anchors = {"ab": [0], "b": [1, 2], "": [3]}
-    with_library = matching._matcher(dict(anchors))
-    monkeypatch.setattr(
-        builtins, "__import__", lambda n, *a, **k: (_ for _ in ()).throw(ImportError()) if n == "ahocorasick" else real(n, *a, **k)
-    )
-    without = matching._matcher(dict(anchors))
-    for text in ("", "cab", "b", "xyz"):
-        assert with_library(text) == without(text)
+
+def test_grams_are_those_of_the_text():
+    data = "x" * 20 + "an anchor of thirty bytes or so" + "é" * 9
+    named = {w: set(g.tolist()) for w, g in matching._named(np.frombuffer(data.encode(), np.uint8))}
+    for text in ("an anchor of thirty bytes or so", "anchor", "é", "xa", "n an", "éééé", "a%thirty bytes or so_"):
+        assert all(any(g in s for s in named.values()) for g in matching.grams_of(text, True)), text
+    assert matching.grams_of("%_", True) == [matching.EVERYWHERE] and matching.grams_of("%_", False) != [matching.EVERYWHERE]
+    assert not any(g in s for s in named.values() for g in matching.grams_of("another text than this one", True)[1:3])
+
+
+def test_repeated_rows_queries_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "The cat"), (1, "The cat"), (2, None), (3, "")], "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "cat"), (1, "cat"), (1, "the"), (2, ""), (3, None)], "query_id int, text string")
+    found = keyword.batch_keyword_search(docs, queries, doc_id="doc_id", content="text")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1)] * 6 + [(2, 1)] * 2 + [(2, 3)]
+    assert keyword.batch_keyword_search(docs.limit(0), queries, doc_id="doc_id", content="text").count() == 0
+    assert keyword.batch_keyword_search(docs, queries.limit(0), doc_id="doc_id", content="text").count() == 0
+
+
+def test_batch_search_scans_once_and_collects_no_query(spark, library):
+    queries = spark.createDataFrame([(i, f"alpha {w}") for i, w in enumerate(["beta", "delta"] * 300)], "query_id int, text string")
+    plan = keyword.batch_keyword_search(library, queries, doc_id="doc_id", content="text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Union" not in plan and "MapInArrow" not in plan
 
 
 def test_hits_per_query_counts_zero(spark, library):
