@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RequestError
-from ..functions.cosine import unit_rows
 from ..functions.frames import union_all
-from ..functions.ranking import QuestionBlock, best_of, bounds_of
+from ..functions.ranking import best_fused, bounds_of
 from ..session import materialize
 from .graph import traverse
 from .keyword import (
     batch_keyword_search,
-    by_document,
     in_kernel,
     postings,
     query_terms,
-    question_blocks,
     ranking_schema,
     top_k,
+    weighted_questions,
 )
 from .triples import batch_search_triples
 from .vectors import vector_topk
@@ -104,40 +101,29 @@ def hybrid_weighted(
     and ``keyword_weight``. Words and vectors of a document are joined once and written out; one pass finds the bounds of
     both scores, another the fused top-k, and ``k`` rows per query and task leave it.
     """
-    queries = materialize(queries, "queries")
+    shares = {"vector_weight": VECTOR_WEIGHT, "keyword_weight": KEYWORD_WEIGHT}
+    for name, value in shares.items():
+        given = F.col(name).cast("double") if name in queries.columns else F.lit(None).cast("double")
+        queries = queries.withColumn(name, F.coalesce(given, F.lit(value)))
+    queries = materialize(queries.select("query_id", "text", "vector", *shares), "queries")
+    sizes = [r[0] for r in queries.select(F.size("vector")).filter(F.size("vector") > 0).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise RequestError("The query vectors have different lengths.")
     terms = materialize(query_terms(queries), "terms")
-    index = materialize(postings(documents, doc_id=doc_id, content=content, vocabulary=terms), "postings")
+    index = materialize(postings(documents, terms, doc_id=doc_id, content=content), "postings")
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     given = vectors.filter((F.size("embedding") > 0) & usable).select("doc_id", "embedding")
-    scored = materialize(by_document(index).join(given, "doc_id", "full_outer"), "words-and-vectors")
-    blocks = question_blocks(index, queries, terms)
-    asked = ["vector", *(c for c in ("vector_weight", "keyword_weight") if c in queries.columns)]
-    for block in blocks:
-        _with_vectors(block, queries.filter(F.col("query_id").isin(block.ids)).select("query_id", *asked).collect())
+    scored = index.filter(F.size("postings") > 0).join(given, "doc_id", "full_outer")
+    scored = materialize(scored, "words-and-vectors")
+    asked, mean = weighted_questions(index, queries.drop("text"), terms)
     limits = ["low_v", "high_v", "low_t", "high_t"]
     schema = T.StructType([queries.schema["query_id"], *(T.StructField(c, T.DoubleType()) for c in limits)])
-    bounds = in_kernel(scored, blocks, bounds_of, schema).groupBy("query_id").agg(
+    bounds = in_kernel(scored, asked, mean, bounds_of, schema).groupBy("query_id").agg(
         F.min("low_v").alias("low_v"), F.max("high_v").alias("high_v"), F.min("low_t").alias("low_t"), F.max("high_t").alias("high_t")
     )
-    bounds = materialize(bounds, "score-bounds")
-    for block in blocks:
-        found = {r[0]: r[1:] for r in bounds.filter(F.col("query_id").isin(block.ids)).collect()}
-        none = (None,) * 4
-        block.bounds = np.array([[0.0 if x is None else x for x in found.get(q, none)] for q in block.ids]).T
+    asked = materialize(asked.join(bounds, "query_id", "left"), "bounded-questions")
     ranked = in_kernel(
-        scored, blocks, lambda batches, blocks: best_of(batches, blocks, k), ranking_schema(queries, documents, doc_id)
+        scored, asked, mean, lambda batches, block: best_fused(batches, block, k), ranking_schema(queries, documents, doc_id)
     )
     return top_k(ranked, k).select("query_id", "doc_id", "score", "rank")
 
-
-def _with_vectors(block: QuestionBlock, rows: list[Row]) -> None:
-    """Add the questions' vectors and weights to a block; a question may have no vector."""
-    of = {r["query_id"]: r.asDict() for r in rows}
-    sizes = {len(r["vector"]) for r in of.values() if r["vector"]}
-    if len(sizes) > 1:
-        raise RequestError("The query vectors have different lengths.")
-    dim = sizes.pop() if sizes else 0
-    none = np.full(dim, np.nan)
-    block.vectors = unit_rows(np.array([np.array(of[q]["vector"], np.float64) if of[q]["vector"] else none for q in block.ids]).reshape(len(block.ids), dim))
-    weights = [(of[q].get("vector_weight", VECTOR_WEIGHT), of[q].get("keyword_weight", KEYWORD_WEIGHT)) for q in block.ids]
-    block.shares = np.array(weights, np.float64).reshape(-1, 2).T

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +15,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.matching import find_contained, within
-from ..functions.ranking import QuestionBlock, best_of
-from ..functions.sizing import broadcast_checked, spread
+from ..functions.ranking import QuestionBlock, best_keywords
+from ..functions.sizing import spread
+from ..functions.streams import SPLIT_ROWS, against_all
 from ..functions.text import words
 from ..session import materialize
 
+#: The words of a lowered text: letters and digits, as ``functions.text.words`` cuts them.
+WORD = re.compile(r"[^\W_]+")
+
 
 def keyword_test(content: Column, query: Column) -> Column:
     """Case-insensitive substring test; ``%`` and ``_`` in the query are wildcards."""
@@ -66,73 +74,122 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def postings(
-    documents: DataFrame, *, doc_id: str, content: str, vocabulary: DataFrame | None = None
-) -> DataFrame:
-    """``(doc_id, doc_len, term, tf)`` plus one NULL-term row per document.
+#: Bits of the filter that words of the questions pass, whatever their number.
+WORD_FILTER_BITS = 1 << 23
 
-    The NULL-term row carries the length of documents that hold no listed term, so corpus
-    size and mean length come from this table alone. With a ``vocabulary`` all other terms
-    fold into that row before the shuffle: what moves is one row per document and query term.
-    """
-    texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(content, F.lit("")).alias("_text")))
-    tokens = texts.select("doc_id", words("_text").alias("_words")).select(
-        "doc_id",
-        F.size("_words").alias("doc_len"),
-        F.explode(F.array_append("_words", F.lit(None).cast("string"))).alias("term"),
+
+def _word_filter(terms: DataFrame) -> bytes:
+    place = F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(WORD_FILTER_BITS - 1)) + 1
+    marked = (
+        terms.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    if vocabulary is not None:
-        known = vocabulary.select(F.col("term").alias("_known")).distinct()
-        known = broadcast_checked(known)
-        tokens = tokens.join(known, F.col("term") == F.col("_known"), "left").select(
-            "doc_id", "doc_len", F.col("_known").alias("term")
-        )
-    return tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    table = bytearray(WORD_FILTER_BITS // 8)
+    for row in marked.toLocalIterator():  # at most 256 rows of 4 KB
+        at = (row["bucket"] - 1) * 4096
+        table[at : at + 4096] = row["bits"]
+    return bytes(table)
+
+
+def postings(documents: DataFrame, terms: DataFrame, *, doc_id: str, content: str) -> DataFrame:
+    """``(doc_id, doc_len, postings)``: a row for each document, with the listed ones of its words and how often it has them.
+
+    Words are counted inside the row, where it lies: nothing is shuffled, and the table does not grow with words that no question
+    asks for. Words of ``terms`` are told by a filter of fixed size, so a few others may be listed too.
+    """
+    texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(content, F.lit(""))).alias("_text")))
+    bits = documents.sparkSession.sparkContext.broadcast(_word_filter(terms))
+    entry = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("doc_len", T.LongType()), T.StructField("postings", T.ArrayType(entry))])
+    kind = to_arrow_schema(schema).field("postings").type
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        listed = _Listed(table)
+        for batch in batches:
+            lengths, found = [], []
+            for text in batch["_text"].to_pylist():
+                words = WORD.findall(text)
+                lengths.append(len(words))
+                found.append(list(Counter(w for w in words if listed[w]).items()))
+            flat = [x for one in found for x in one]
+            entries = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([c for _, c in flat], pa.int64())], fields=list(kind.value_type))
+            at = np.append(0, np.cumsum([len(one) for one in found])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(at), entries).cast(kind)], ["doc_id", "doc_len", "postings"]
+            )
+
+    return texts.mapInArrow(count, schema)
+
+
+class _Listed(dict):
+    """Whether a word passes the filter, remembered for up to MAX_KNOWN words."""
+
+    MAX_KNOWN = 1_000_000
+
+    def __init__(self, table: bytes):
+        self.table = table
+
+    def __missing__(self, word: str) -> bool:
+        place = zlib.crc32(word.encode()) & (WORD_FILTER_BITS - 1)
+        known = bool(self.table[place >> 3] >> (place & 7) & 1)
+        if len(self) < self.MAX_KNOWN:
+            self[word] = known
+        return known
 
 
 BLOCK_QUESTIONS, BLOCK_WORDS = 1024, 65_536
+#: Listed words that a task holds at a time when many questions stream past.
+SPLIT_POSTINGS = 1 << 21
 
 
-def by_document(index: DataFrame) -> DataFrame:
-    """``(doc_id, doc_len, postings)``: each document's listed words in one row; documents without any are left out."""
-    listed = index.filter(F.col("term").isNotNull())
-    return listed.groupBy("doc_id", "doc_len").agg(F.collect_list(F.struct("term", "tf")).alias("postings"))
+def weighted_questions(index: DataFrame, queries: DataFrame, terms: DataFrame) -> tuple[DataFrame, float]:
+    """Every question once, written, with ``weights`` (array of ``term, w``: occurrences times inverse document frequency)
+    added to its columns, and the mean length of a document."""
+    corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
+    freq = index.select(F.explode("postings.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(freq, "term").select("query_id", F.struct("term", (F.col("weight") * idf).alias("w")).alias("w"))
+    weighted = weighted.groupBy("query_id").agg(F.collect_list("w").alias("weights"))
+    once = queries.dropDuplicates(["query_id"])
+    return materialize(once.join(weighted, "query_id", "left"), "weighted-questions"), corpus["mean"] or 1.0
 
 
-def question_blocks(index: DataFrame, queries: DataFrame, terms: DataFrame) -> list[QuestionBlock]:
-    """All questions in blocks of bounded size, with their words' weights over ``index``.
+def in_kernel(scored: DataFrame, asked: DataFrame, mean: float, kernel: Callable, schema: T.StructType) -> DataFrame:
+    """Rows that ``kernel(batches, block)`` gives for all the written questions ``asked`` over the written rows ``scored``.
 
-    The blocks are taken one at a time by a hash of the question; the driver holds one while it is sent out.
+    Questions that fit one block go to the tasks as one; more of them stream past the rows instead.
     """
-    corpus = index.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean")).first()
-    freq = index.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = materialize(terms.join(freq, "term").select("query_id", "term", (F.col("weight") * idf).alias("w")), "weights")
-    count = max(1, -(-queries.count() // BLOCK_QUESTIONS), -(-weighted.count() // BLOCK_WORDS))
-    count = 1 if count == 1 else 2 * count  # half full: uneven hashes still fit
-    blocks = []
-    for i in range(count):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(count)) == i
-        ids = [r[0] for r in queries.filter(mine).select("query_id").distinct().collect()]
-        rows = [tuple(r) for r in weighted.filter(mine).collect()]
-        if ids:
-            blocks.append(QuestionBlock.of(rows, ids, corpus["mean"]))
-    return blocks
-
-
-def in_kernel(scored: DataFrame, blocks: list[QuestionBlock], kernel: Callable, schema: T.StructType) -> DataFrame:
-    """Rows that ``kernel(batches, blocks)`` gives, with all blocks worked through over one scan of ``scored``."""
-    context = scored.sparkSession.sparkContext
-    shared = [context.broadcast(b) for b in blocks]
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in kernel(batches, [b.value for b in shared]):
+    def batches_of(found: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for rows in found:
             if rows:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return scored.mapInArrow(run, schema)
+    size = F.sum(F.greatest(F.size("weights"), F.lit(0)))
+    questions, words = asked.agg(F.count(F.lit(1)), size).first()
+    if questions <= BLOCK_QUESTIONS and (words or 0) <= BLOCK_WORDS:
+        block = scored.sparkSession.sparkContext.broadcast(QuestionBlock.of([r.asDict(True) for r in asked.collect()], mean))
+        return scored.mapInArrow(lambda batches: batches_of(kernel(batches, block.value)), schema)
+    rows, listed = scored.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("postings"), F.lit(0)))).first()
+    splits = max(1, -(-rows // SPLIT_ROWS), -(-(listed or 0) // SPLIT_POSTINGS))
+    most, heavy = BLOCK_QUESTIONS, BLOCK_WORDS
+
+    def stream(held: list[pa.RecordBatch], some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block, weight = [], 0
+        for row in some.to_pylist():
+            mine = len(row["weights"] or ())
+            if block and (len(block) == most or weight + mine > heavy):
+                yield from batches_of(kernel(iter(held), QuestionBlock.of(block, mean)))
+                block, weight = [], 0
+            block.append(row)
+            weight += mine
+        if block:
+            yield from batches_of(kernel(iter(held), QuestionBlock.of(block, mean)))
+
+    return against_all(scored, asked, splits, stream, schema)
 
 
 def ranking_schema(queries: DataFrame, documents: DataFrame, doc_id: str) -> T.StructType:
@@ -145,17 +202,21 @@ def ranking_schema(queries: DataFrame, documents: DataFrame, doc_id: str) -> T.S
     )
 
 
-def bm25_topk(documents: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str) -> DataFrame:
+def bm25_topk(
+    documents: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: str, content: str, report: Callable[[int, int], None] | None = None
+) -> DataFrame:
     """Best ``k`` documents per query by Okapi BM25: ``(query_id, doc_id, score, rank)``.
 
-    What is shuffled is one row per document and query word, then ``k`` rows per query and task; (query, document)
-    pairs exist only inside a task's scoring slice.
+    Words are counted where the documents lie, and scored in blocks of documents; a block that cannot reach a query's k-th best
+    score is left out (``report`` is told how many cells were met and left out, inside the tasks). What is shuffled
+    is ``k`` rows per query and task.
     """
     terms = materialize(query_terms(queries), "terms")
-    index = materialize(postings(documents, doc_id=doc_id, content=content, vocabulary=terms), "postings")
-    blocks = question_blocks(index, queries, terms)
+    index = materialize(postings(documents, terms, doc_id=doc_id, content=content), "postings")
+    asked, mean = weighted_questions(index, queries.select("query_id"), terms)
     found = in_kernel(
-        by_document(index), blocks, lambda batches, blocks: best_of(batches, blocks, k), ranking_schema(queries, documents, doc_id)
+        index.filter(F.size("postings") > 0), asked, mean, lambda batches, block: best_keywords(batches, block, k, report),
+        ranking_schema(queries, documents, doc_id),
     )
     return top_k(found, k).select("query_id", "doc_id", "score", "rank")
 

@@ -106,7 +106,6 @@ def bm25(docs, query, k1=1.5, b=0.75):
 @pytest.mark.parametrize("small", [True, False])
 def test_bm25_equals_brute_force(spark, library, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(keyword, "broadcast_checked", lambda df: df)
         monkeypatch.setattr(keyword, "BLOCK_QUESTIONS", 1)
         monkeypatch.setattr(ranking, "SLICE_CELLS", 2)
     texts = {1: "Alpha delta", 2: "épsilon épsilon beta", 3: "missing"}
