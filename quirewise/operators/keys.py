@@ -52,7 +52,7 @@ def insert_if_absent(
     """
     order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     firsts = incoming.groupBy(*keys).agg(F.min(order).alias("_first"), F.lit(True).alias("_keyed"))
-    known = store.select(*keys).distinct().withColumn("_known", F.lit(True))
+    known = store.select(*keys).join(firsts.select(*keys), list(keys), "left_semi").distinct().withColumn("_known", F.lit(True))
     return (
         incoming.join(firsts.join(known, list(keys), "left"), list(keys), "left")
         .withColumn(
@@ -86,17 +86,15 @@ def delete_everywhere(
 def bag_difference(left: DataFrame, right: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Remove one occurrence from ``left`` per row of ``right``; absent rows are ignored.
 
-    Copies are counted (partial aggregation, so a hot row costs one record per task), the
-    remaining count is cut into chunks, the chunks are spread over the cluster and only
-    then written out as rows: no task emits all copies of one row.
+    Copies are counted (partial aggregation, so a hot row costs one record per task) and written out where they
+    are counted. Only a row with more than ``chunk`` copies left is cut into chunks that are spread over the cluster
+    first: no task emits all copies of one row, and the others are not shuffled again.
     """
     cols = left.columns
     signed = left.withColumn("_n", F.lit(1)).unionByName(right.select(*cols).withColumn("_n", F.lit(-1)))
     left_over = signed.groupBy(*cols).agg(F.sum("_n").alias("_left")).filter("_left > 0")
+    few = left_over.filter(F.col("_left") <= chunk).withColumnRenamed("_left", "_size")
     sizes = F.expr(f"transform(sequence(0L, (_left - 1) div {chunk}), i -> least({chunk}L, _left - i * {chunk}L))")
-    pieces = left_over.select(*cols, F.posexplode(sizes).alias("_piece", "_size"))
-    return (
-        pieces.repartition(*cols, "_piece")
-        .select(*cols, F.explode(F.expr("sequence(1L, _size)")).alias("_copy"))
-        .drop("_copy")
-    )
+    many = left_over.filter(F.col("_left") > chunk).select(*cols, F.posexplode(sizes).alias("_piece", "_size"))
+    many = many.repartition(*cols, "_piece").drop("_piece")
+    return few.unionByName(many).select(*cols, F.explode(F.expr("sequence(1L, _size)")).alias("_copy")).drop("_copy")

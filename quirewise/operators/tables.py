@@ -46,7 +46,7 @@ def drop_duplicates(
         return df.dropDuplicates()
     missing = [c for c in subset if c not in df.columns]
     if missing:
-        raise RequestError(f"Columns {missing} not found in data.")
+        raise RequestError(f"The table lacks these columns: {missing}")
     if order_by is None:
         raise RequestError("De-duplicating on a subset keeps the first row: name an order column.")
     return keep_first(df, subset, order_by)
@@ -85,7 +85,7 @@ def filter_table(
     if columns:
         missing = [c for c in columns if c not in rows.columns]
         if missing:
-            raise RequestError(f"Columns {missing} not found in data.")
+            raise RequestError(f"The table lacks these columns: {missing}")
         rows = rows.select(*[F.col(f"`{c}`") for c in columns])
     return rows
 
@@ -93,7 +93,7 @@ def filter_table(
 def count_matching(df: DataFrame, column: str, value: Any, text_mode: bool) -> DataFrame:
     """Rows whose cell equals ``value``; text columns compare case-insensitively."""
     if column not in df.columns:
-        raise ConditionError(f"Column '{column}' not found in the data")
+        raise ConditionError(f"The table has no column {column!r}.")
     if text_mode or isinstance(df.schema[column].dataType, T.StringType):
         test = text_predicate(column, "==", value)
     else:
@@ -104,7 +104,7 @@ def count_matching(df: DataFrame, column: str, value: Any, text_mode: bool) -> D
 def distinct_values(df: DataFrame, column: str, order_by: str) -> DataFrame:
     """Distinct values in order of first appearance; NULL is a value."""
     if column not in df.columns:
-        raise RequestError(f"Column '{column}' not found. Available columns: {df.columns}")
+        raise RequestError(f"The table has no column {column!r}, only {df.columns}")
     return (
         df.groupBy(F.col(f"`{column}`").alias("value"))
         .agg(F.min(order_by).alias("first_seen"))

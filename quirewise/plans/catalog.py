@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
 from ..operators import catalog, ingest, keys, vectors
+from ..operators.keyed_store import KeyedStore
 from ..session import new_path
 from ..streaming import ingest as stream
 from . import derived
@@ -207,6 +208,34 @@ def ingest_documents(t):
     return batch.documents.select(*ingest.RECORD_COLUMNS, none).unionByName(batch.rejects)
 
 
+@query(
+    "ingest_stores",
+    rf"""with f as ({derived.FILES_SQL}),
+         accepted as (select filename as id, content, case when filename like '%.csv' then 'csv' when filename like '%.XLSX' then 'excel' else '' end as kind
+                      from f where filename not like '%.zip' and doc_id not in (select doc_id from labels)),
+         places as (select id, kind, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as place,
+                           cast(sum(case when ('0x' || substr(md5(word), 9, 1))::bigint % 2 = 0 then 1 else -1 end) as double) as total
+                    from (select id, kind, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) as word from accepted) group by all),
+         names as (select id, unnest(regexp_extract_all(content, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) as name from accepted)
+       select 'vectors' as store, id, kind || ':' || place as detail, round(value, 6) as value
+       from (select *, total / sqrt(sum(total * total) over (partition by id)) as value from places) where value <> 0
+       union all select 'entities', id, name, cast(count(*) as double) from names group by id, name
+       union all select 'nodes', name, 'NAME', 1.0 from names group by name""",
+)
+def ingest_stores(t):
+    """What a batch adds to the other stores: vectors place by place, entities by document, and the entities' nodes."""
+    files = derived.files(t)
+    stored = keys.find_many(files, t.labels, ["doc_id"]).select(F.col("filename").alias("id"))
+    batch = ingest.ingest_documents(files.withColumnRenamed("directory", "user_id"), stored)
+    kind = F.coalesce(F.element_at("metadata", F.lit("structure_type")), F.lit(""))
+    places = batch.vectors.select(F.col("doc_id").alias("id"), kind.alias("kind"), F.posexplode("embedding")).filter("col <> 0")
+    vector = places.select(F.lit("vectors").alias("store"), "id", F.concat("kind", F.lit(":"), "pos").alias("detail"), F.round("col", 6).alias("value"))
+    entity = batch.entities.groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    entity = entity.select(F.lit("entities").alias("store"), F.col("doc_id").alias("id"), F.col("text").alias("detail"), "value")
+    node = batch.nodes.select(F.lit("nodes").alias("store"), "id", F.col("type").alias("detail"), F.lit(1.0).alias("value"))
+    return union_all([vector, entity, node])
+
+
 @query(
     "upsert_vectors",
     """select vec_id as doc_id, label, i - 1 as place, cast(embedding[i] as double) as value
@@ -214,9 +243,9 @@ def ingest_documents(t):
              qualify row_number() over (partition by label order by vec_id desc) = 1) e, unnest(range(1, 65)) u(i)""",
 )
 def upsert_vectors(t):
-    """Vectors written once per label: the last one stays."""
+    """Vectors written once per label, over a store that holds the odd ones already: the last one stays."""
     writes = t.embeddings.select(F.col("label").alias("doc_id"), "embedding", "vec_id")
-    latest = vectors.upsert_vectors(writes.filter(F.lit(False)), writes, "vec_id")
+    latest = vectors.upsert_vectors(writes.filter("vec_id % 2 = 1"), writes.filter("vec_id % 2 = 0"), "vec_id")
     return latest.select(F.col("vec_id").alias("doc_id"), F.col("doc_id").alias("label"), F.posexplode("embedding")).select(
         "doc_id", "label", F.col("pos").cast("bigint").alias("place"), F.col("col").cast("double").alias("value")
     )
@@ -237,3 +266,27 @@ def stream_ingest(t):
 @query("stream_ingest_dedup", "select * from documents qualify row_number() over (partition by text order by doc_id) = 1")
 def stream_ingest_dedup(t):
     return _stream(t, "text")
+
+
+@query("stream_ingest_keyed", "select * from documents qualify row_number() over (partition by text order by doc_id % 3, doc_id) = 1")
+def stream_ingest_keyed(t):
+    """Three files that repeat each other's texts, each arriving after the one before was taken in."""
+    arrived, target, rejects, checkpoint = (new_path(t.spark, n) for n in ("arriving", "stored", "refused", "progress"))
+    for i in range(3):
+        t.documents.filter(F.col("doc_id") % 3 == i).write.mode("append").parquet(arrived)
+        stream.ingest_keyed(stream.table_stream(t.spark, arrived, t.documents.schema), target, rejects, checkpoint, ["text"], ["doc_id"])
+    return t.spark.read.parquet(target).drop(stream.BATCH)
+
+
+@query(
+    "keyed_store_insert",
+    """select doc_id, source, cast(null as varchar) as error from documents where doc_id % 10 <> 0
+       union all select doc_id, 'late', case when doc_id % 10 = 0 then null else 'key already stored' end from documents where doc_id % 5 = 0""",
+)
+def keyed_store_insert(t):
+    """A store of nine tenths of the documents, then a batch that half of is known."""
+    rows = t.documents.select("doc_id", "source")
+    store = KeyedStore(t.spark, new_path(t.spark, "keyed"), rows.schema, ["doc_id"], 64)
+    store.insert(rows.filter("doc_id % 10 <> 0"), "first", ["source"])
+    refused = store.insert(rows.filter("doc_id % 5 = 0").withColumn("source", F.lit("late")), "second", ["source"])
+    return store.read().withColumn("error", F.lit(None).cast("string")).unionByName(refused)

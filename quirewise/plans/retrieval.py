@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, chat, entities, hybrid, keyword, vectors
+from ..operators import answers, chat, entities, hybrid, keyword, vector_index, vectors
+from ..session import new_path
 from . import derived
 from .registry import query
 
@@ -104,11 +105,61 @@ def vector_search_filtered(t):
     return vectors.vector_topk(derived.vectors(t), derived.vector_questions(t), filtered=True)
 
 
-@query("vector_topk_lsh")
+LSH_SQL = f"""{COSINE_SQL},
+planes as (select t, b, d, 1 - 2 * (('0x' || substr(md5('7,' || t || ',' || b || ',' || d), 1, 1))::bigint & 1) as sign
+           from range(12) r(t), range(6) s(b), range(64) u(d)),
+numbers as (select vec_id, d, embedding[d + 1]::double as x from embeddings, range(64) u(d)),
+signs as (select vec_id, t, b, sum(sign * x) > 0 as over from numbers join planes using (d) group by all),
+codes as (select vec_id, t, sum(case when over then 1 << b else 0 end) as code from signs group by all),
+mates as (select distinct q.vec_id as query_id, r.vec_id as doc_id from codes q join codes r on q.t = r.t and q.code = r.code)
+"""
+
+
+@query(
+    "vector_topk_lsh",
+    f"""with {LSH_SQL}
+       select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank
+       from cosine join mates using (query_id, doc_id) qualify rank <= 10""",
+)
 def vector_topk_lsh(t):
     return vectors.vector_topk(derived.vectors(t), derived.vector_questions(t), tables=12, bits=6)
 
 
+INDEX_SQL = f"""{COSINE_SQL},
+size as (select count(*) as n, greatest(4, least(4096, cast(floor(sqrt(count(*))) as bigint))) as cells from embeddings),
+unit as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u
+         from (select vec_id, embedding::double[] as v from embeddings)),
+sample as (select vec_id, u, row_number() over (order by md5(vec_id::varchar), vec_id) as place from unit
+           qualify place <= greatest((select cells from size), 65536)),
+seeds as (select place - 1 as cell, u as centre from sample where place <= (select cells from size)),
+owner as (select vec_id, sample.u, arg_min(cell, {{'near': -round(list_dot_product(sample.u, centre), 6), 'cell': cell}}) as cell
+          from sample, seeds group by all),
+means as (select cell, list(total order by d) as m
+          from (select cell, d, sum(u[d + 1]) as total from owner, range(64) r(d) group by all) group by cell),
+centres as (select cell, list_transform(m, lambda x: round(x / sqrt(list_dot_product(m, m)), 6)) as centre from means),
+scale as (select max(list_aggregate(list_transform(u, lambda x: abs(x)), 'max')) as s from sample),
+coded as (select vec_id, arg_min(cell, {{'near': -round(list_dot_product(u, centre), 6), 'cell': cell}}) as cell,
+                 list_transform(u, lambda x: ((least(15, greatest(0, floor((x / s + 1) * 8))) + 0.5) / 8 - 1) * s) as c
+          from unit, centres, scale group by vec_id, u, s),
+probed as (select item_id as query_id, u, cell from benchmark join unit on item_id = vec_id, centres
+           qualify row_number() over (partition by item_id order by round(list_dot_product(u, centre), 6) desc, cell)
+                   <= greatest(1, round_even((select cells from size) * 0.75, 0))),
+pooled as (select query_id, vec_id as doc_id from probed join coded using (cell)
+           qualify row_number() over (partition by query_id order by round(list_dot_product(u, c), 6) desc, vec_id) <= 40)
+"""
+
+
+@query(
+    "vector_index_search",
+    f"""with {INDEX_SQL}
+       select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank
+       from cosine join pooled using (query_id, doc_id) qualify rank <= 10""",
+)
+def vector_index_search(t):
+    index = vector_index.build_index(derived.vectors(t).select("doc_id", "embedding"), new_path(t.spark, "vector-index"))
+    return vector_index.search_index(index, derived.vector_questions(t))
+
+
 def _hash_sql(table: str, key: str) -> str:
     """Hash embedding of a table's texts: ``(id, place, value)`` for places that are not zero."""
     return rf"""(

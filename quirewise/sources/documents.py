@@ -14,6 +14,10 @@ from .office import read_docx, read_pptx
 
 Extractor = Callable[[bytes], str]
 
+# The texts that stand for a document that cannot be read, and for one without any text.
+DAMAGED = "[Error processing document: %s. Error: %s]"
+BLANK = "[This document appears to contain no extractable text: %s]"
+
 
 def _utf8(content: bytes) -> str:
     return content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
@@ -65,8 +69,8 @@ def extract_documents(files: DataFrame, extractors: Mapping[str, Extractor] | No
     blank = F.col("error").isNull() & (F.trim(F.coalesce("content", F.lit(""))) == "") & (extension("file") == ".pdf")
     return raw.select(
         "file",
-        F.when(F.col("error").isNotNull(), F.format_string("[Error processing document: %s. Error: %s]", name, "error"))
-        .when(blank, F.format_string("[This document appears to contain no extractable text: %s]", name))
+        F.when(F.col("error").isNotNull(), F.format_string(DAMAGED, name, "error"))
+        .when(blank, F.format_string(BLANK, name))
         .otherwise(F.col("content"))
         .alias("content"),
         F.when(blank, "no extractable text").otherwise(F.col("error")).alias("error"),

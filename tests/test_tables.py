@@ -69,19 +69,19 @@ def test_numbers_in_text(numbers, operator, value, expected):
 
 @pytest.mark.parametrize("value", ["abc", "1e5", ""])
 def test_bad_number_values_are_refused(numbers, value):
-    with pytest.raises(ValueError, match="to a number"):
+    with pytest.raises(ValueError, match="has to be a number"):
         filter_table(numbers, cond(">", value), text_mode=True)
 
 
 def test_bad_patterns_are_refused(numbers):
     for text_mode in (True, False):
-        with pytest.raises(ConditionError, match="regular expression"):
+        with pytest.raises(ConditionError, match="no regular expression"):
             filter_table(numbers, cond("contains", "(a"), text_mode=text_mode)
 
 
 def test_unknown_operator(numbers):
     for text_mode in (True, False):
-        with pytest.raises(ConditionError, match="Unsupported operator"):
+        with pytest.raises(ConditionError, match="cannot be compared|no operator"):
             filter_table(numbers, cond("~", "5"), text_mode=text_mode)
 
 
@@ -90,9 +90,9 @@ def test_condition_checks(spark):
     assert values(filter_table(df, cond("==", 0), text_mode=False)) == [0]
     assert filter_table(df, cond("==", False, "b"), text_mode=True).count() == 1
     for bad in ({"column": "v", "operator": "==", "value": None}, cond("", 1), cond("==", 1, "")):
-        with pytest.raises(ConditionError, match="Need column"):
+        with pytest.raises(ConditionError, match="three parts"):
             filter_table(df, bad, text_mode=True)
-    with pytest.raises(ConditionError, match="'V' not found"):
+    with pytest.raises(ConditionError, match="no column 'V'"):
         filter_table(df, cond("==", 1, "V"), text_mode=True)
 
 
