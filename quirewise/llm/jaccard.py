@@ -9,7 +9,7 @@
    into components; then the tiles that still hold several components compare across them, block against block.
 4. A pair is first bounded from above with hashed bitmaps: each bit of one that the other lacks is a shingle it lacks.
    What the bound leaves is decided by the exact intersection of the two sorted sets, in the task that found it; a
-   pair of blocks returns fewer links than it has classes.
+   unit of classes returns fewer links than it has classes.
 
 Pairs inside one component need no test, as only components are asked for; pairs between components are all tested.
 A document without words has the empty set and is linked with nothing. Null texts count as empty.
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .batches import pieces
-from .components import components
-from .linking import Rule, fingerprint, links, named_rows
+from .linking import Rule, fingerprint, linked_components, named_rows
 from .texthash import mix, shingle_sets
 
 COUNT_BITS = 18
@@ -191,5 +190,4 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tiles = packed.groupBy("part").applyInPandas(_tiles, "tile long, fp long, n long")
     tiles = materialize(tiles.join(classes.select("fp", "rep"), "fp"), "tiles")
 
-    roots = components(links(docs, classes, tiles, RULE))
-    return named_rows(nodes, classes, roots)
+    return named_rows(nodes, classes, linked_components(docs, classes, tiles, RULE))

@@ -5,9 +5,11 @@ asked for, so a pair inside one component needs no test, and links enough to joi
 
 1. Every class of a tile is compared with the tile's earliest one: a link at most for each row of a tile.
 2. Links found so far give each class the name of a component. Tiles that hold several components are cut into blocks, and
-   each pair of blocks meets in one group. A first pass compares sketches, and returns the classes (not the pairs) that
-   some class of another component may be similar to. Their sets are fetched once and meet in the same groups, where
-   pairs are decided; components joined on the way drop out, so a pair of blocks returns fewer links than it has classes.
+   each pair of blocks meets in one group, where sketches are compared. What is returned is not pairs but units: classes
+   connected by pairs that the sketches leave open. A family of similar texts makes the same unit in all its tiles.
+3. Units get the full sets of their classes and are decided in tasks; components joined on the way drop out, so a unit
+   returns fewer links than it has classes. First comes, for every class, the largest unit that it is in; of the others only
+   those that still hold several components.
 
 A sketch gives an upper bound, or one that fails with a probability stated by its rule; sets decide.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .batches import pieces
+from .components import components
 from .texthash import mix, shingle_sets
 
 #: Classes of one side of a block comparison, and the shingles they may hold together.
@@ -86,22 +89,50 @@ def _open_pairs(rule: Rule, left: np.ndarray, right: np.ndarray, same: bool, com
     return ok
 
 
-def _hopeful(rule: Rule):
-    """The rows of the block pairs of some tiles that are in a pair left open."""
+UNIT = "unit long, fp long, n long, comp long"
+
+
+def _units(rule: Rule):
+    """Rows (unit, fp, n, comp) of the classes in pairs left open, by what such pairs connect in each pair of blocks."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        comp, n, sketch = (frame[c].to_numpy() for c in ("comp", "n", "sketch"))
-        kept = np.zeros(len(frame), bool)
+        fp, comp, n, sketch = (frame[c].to_numpy() for c in ("fp", "comp", "n", "sketch"))
+        units, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for left, right, same in _groups(frame):
             if len(left) and len(right):
                 ok = _open_pairs(rule, left, right, same, comp, n, sketch)
-                kept[left] |= ok.any(1)
-                kept[right] |= ok.any(0)
-        return frame[kept]
+                rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                if len(rows):
+                    some, label = _connected(ok[np.ix_(rows, columns)], left[rows], right[columns])
+                    members.append(some)
+                    units.append(_unit_names(fp[some], label))
+        unit, at = np.concatenate(units), np.concatenate(members)
+        return pd.DataFrame({"unit": unit, "fp": fp[at], "n": n[at], "comp": comp[at]}).drop_duplicates(["unit", "fp"])
 
     return run
 
 
+def _connected(ok: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``rows`` and ``columns``, and for each the smallest place that open pairs connect it with."""
+    some, place = np.unique(np.concatenate([rows, columns]), return_inverse=True)
+    down, across = place[: len(rows)], place[len(rows) :]
+    label = np.arange(len(some))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, down, np.where(ok, label[across][None], len(some)).min(1))
+        np.minimum.at(label, across, np.where(ok, label[down][:, None], len(some)).min(0))
+        label = label[label]
+        if (label == before).all():
+            return some, label
+
+
+def _unit_names(fp: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A name for each row's group, the same wherever the same classes are connected."""
+    total, count = np.zeros(len(fp), np.uint64), np.bincount(label, minlength=len(fp)).astype(np.uint64)
+    np.add.at(total, label, mix(fp.view(np.uint64)))
+    return mix(total * np.uint64(31) + count)[label].view(np.int64)
+
+
 class _Components:
     """Union-find over component names."""
 
@@ -121,42 +152,48 @@ class _Components:
 
 
 def _forest(rule: Rule):
-    """Links (a, b) that join the components of each pair of blocks."""
+    """Links (a, b) that join the components of each unit, fewer than it has classes."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fp, comp, n, sketch = (frame[c].to_numpy() for c in ("fp", "comp", "n", "sketch"))
-        found = frame["found"].to_numpy()
+        frame = frame.sort_values(["unit", "fp"])
+        unit, fp, comp, n, sketch, found = (frame[c].to_numpy() for c in ("unit", "fp", "comp", "n", "sketch", "found"))
         out = []
-        for left, right, same in _groups(frame):
-            if not len(left) or not len(right):
-                continue
-            ok = _open_pairs(rule, left, right, same, comp, n, sketch)
-            rows = np.flatnonzero(ok.any(1))
-            if not len(rows):
-                continue
-            used = np.unique(np.concatenate([left[rows], right[ok.any(0)]]))
-            sets = [np.frombuffer(found[k], np.uint64) for k in used]
+        edges = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])[: len(unit)]), len(unit))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = np.arange(a, b)
+            ok = _open_pairs(rule, rows, rows, True, comp, n, sketch)
+            sets = [np.frombuffer(x, np.uint64) for x in found[a:b]]
             _, number = np.unique(np.concatenate(sets), return_inverse=True)
-            ids = dict(zip(used.tolist(), np.split(number, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
+            ids = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
             mark, joined = np.zeros(int(number.max()) + 1, bool), _Components()
-            for r in rows:
-                x = left[r]
-                mine = joined.root(int(comp[x]))
-                columns = [y for y in right[ok[r]].tolist() if joined.root(int(comp[y])) != mine]
+            for x in np.flatnonzero(ok.any(1)):
+                mine = joined.root(int(comp[a + x]))
+                columns = [y for y in np.flatnonzero(ok[x]).tolist() if joined.root(int(comp[a + y])) != mine]
                 if not columns:
                     continue
                 mark[ids[x]] = True
-                size = np.array([len(ids[y]) for y in columns])
-                overlap = np.add.reduceat(mark[np.concatenate([ids[y] for y in columns])].astype(np.int64), np.append(0, np.cumsum(size)[:-1]))
+                size = [len(ids[y]) for y in columns]
+                met = mark[np.concatenate([ids[y] for y in columns])].astype(np.int64)
+                overlap = np.add.reduceat(met, np.append(0, np.cumsum(size)[:-1]))
                 mark[ids[x]] = False
-                for k in np.flatnonzero(rule.linked(overlap, n[x], n[columns])):
-                    if joined.join(int(comp[x]), int(comp[columns[k]])):
-                        out.append((fp[x], fp[columns[k]]))
+                for k in np.flatnonzero(rule.linked(overlap, n[a + x], n[a + np.array(columns)])):
+                    if joined.join(int(comp[a + x]), int(comp[a + columns[k]])):
+                        out.append((fp[a + x], fp[a + columns[k]]))
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
 
+def _decide_units(docs: DataFrame, classes: DataFrame, units: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) within the written ``units`` (unit, fp, n, comp)."""
+    rows, shingles = units.agg(F.count(F.lit(1)), F.sum("n")).first()
+    bundles = max(64, rows // BUNDLE, (shingles or 0) // BUNDLE_SHINGLES)
+    sets = _sets_of(docs, classes, units.select("fp").distinct())
+    sketches = classes.select("fp", "sketch")
+    shipped = units.join(sets, "fp").join(sketches, "fp").select("unit", "fp", "n", "comp", "sketch", "found")
+    return shipped.groupBy(F.pmod("unit", F.lit(bundles))).applyInPandas(_forest(rule), "a long, b long")
+
+
 def _possible(rule: Rule):
     """Pairs that the sketches leave."""
 
@@ -235,12 +272,34 @@ def _similar_sizes(a: Column, b: Column, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) that give the written ``classes`` (fp, rep, n, sketch) the components of all links within ``tiles``.
+def linked_components(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
+    """(node, root) of the written ``classes`` (fp, rep, n, sketch) that have links within ``tiles``.
 
     ``docs`` (doc_id, text) hold the texts of the classes, a class that of its ``rep``; ``tiles`` (tile, fp, n, rep)
     are written rows.
     """
+    found = first_links(docs, classes, tiles, rule)
+    units = open_units(classes, tiles, found, rule)
+    if units is None:
+        return components(found.select("a", "b"))
+    # every class asks for its largest unit; most others are of one component when those are decided
+    largest = units.join(units.groupBy("unit").agg(F.count("*").alias("size")), "unit")
+    asked = largest.groupBy("fp").agg(F.max(F.struct("size", "unit")).alias("m")).select(F.col("m.unit").alias("unit")).distinct()
+    asked = materialize(asked, "asked-units")
+    some = materialize(units.join(asked, "unit", "left_semi"), "first-units")
+    found = materialize(found.select("a", "b").union(_decide_units(docs, classes, some, rule)), "links")
+    roots = components(found)
+    rest = units.join(asked, "unit", "left_anti").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rest = materialize(rest.select("unit", "fp", "n", F.coalesce("root", "comp").alias("comp")), "other-units")
+    mixed = rest.groupBy("unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    rest = materialize(rest.join(mixed, "unit", "left_semi"), "open-units")
+    if rest.isEmpty():
+        return roots
+    return components(found.union(_decide_units(docs, classes, rest, rule)))
+
+
+def first_links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
+    """Written links (a, b, rep_b) of classes with the earliest class of a tile."""
     first = tiles.groupBy("tile").agg(F.min(F.struct("rep", "fp", "n")).alias("first"))
     pairs = (
         tiles.join(first, "tile").filter((F.col("fp") != F.col("first.fp")) & _similar_sizes(F.col("n"), F.col("first.n"), rule))
@@ -250,8 +309,11 @@ def links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) ->
         classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("b", "a")
     )
     pairs = pairs.join(one, "b").join(two, "a").select("a", "b", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_possible(rule), PAIR)
-    found = materialize(_linked(docs, classes, materialize(pairs, "star-pairs"), rule), "star-links")
+    return materialize(_linked(docs, classes, materialize(pairs, "star-pairs"), rule), "star-links")
+
 
+def open_units(classes: DataFrame, tiles: DataFrame, found: DataFrame, rule: Rule) -> DataFrame | None:
+    """Written units (unit, fp, n, comp) of the tiles that hold several components by the links ``found``; None without any."""
     # a class takes the name of its earliest partner, and then that one's: never a wrong name, at worst too many names
     parent = found.groupBy("a").agg(F.min(F.struct("rep_b", "b")).alias("p")).select(F.col("a").alias("fp"), F.col("p.b").alias("up"))
     above = parent.select(F.col("fp").alias("up"), F.col("up").alias("top"))
@@ -267,26 +329,21 @@ def links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) ->
     block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))))
     blocks = F.ceil(F.col("size") / block).cast("long")
     open_tiles = materialize(labelled.join(mixed.select("tile", blocks.alias("blocks")), "tile"), "open-tiles")
-    rows, shingles = open_tiles.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("n"))).first()
+    rows = open_tiles.agg(F.sum("blocks")).first()[0]
     if not rows:
-        return found.select("a", "b")
-    bundles = max(64, rows // BUNDLE, shingles // BUNDLE_SHINGLES)
+        return None
+    bundles = max(64, rows // BUNDLE)
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     sides = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side")),
     )
-    bundle = F.pmod(F.xxhash64("tile", "i", "j"), F.lit(bundles))
-    row = "tile long, i long, j long, side int, fp long, n long, comp long, sketch binary"
-    hopeful = (
+    units = (
         open_tiles.withColumn("at", F.explode(sides)).select("tile", "at.i", "at.j", "at.side", "fp", "n", "comp")
         .join(classes.select("fp", "sketch"), "fp").select("tile", "i", "j", "side", "fp", "n", "comp", "sketch")
-        .groupBy(bundle).applyInPandas(_hopeful(rule), row)
+        .groupBy(F.pmod(F.xxhash64("tile", "i", "j"), F.lit(bundles))).applyInPandas(_units(rule), UNIT)
     )
-    hopeful = materialize(hopeful, "hopeful")
-    sets = _sets_of(docs, classes, hopeful.select("fp").distinct())
-    more = hopeful.join(sets, "fp").groupBy(bundle).applyInPandas(_forest(rule), "a long, b long")
-    return found.select("a", "b").union(more)
+    return materialize(units.dropDuplicates(["unit", "fp"]), "units")
 
 
 def named_rows(nodes: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@
    Buckets with the same members are one.
 3. Signature verification. Of two linked sets' minima fewer than AGREE are equal once in a billion pairs. Pairs above that
    are decided by the exact intersection of the full sets (``linking``: first against each bucket's earliest class, then
-   between the components left, block against block, with fewer links than classes in each pair of blocks).
+   between the components left, block against block, in units that return fewer links than they have classes).
 4. Connected components of the links by alternating large-star and small-star.
 
 A document without words has the empty set and is linked with nothing. Null texts count as empty. Rows that repeat an id are
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .batches import pieces
-from .components import components
-from .linking import Rule, fingerprint, links, named_rows
+from .linking import Rule, fingerprint, linked_components, named_rows
 from .texthash import mix, shingle_sets
 
 PERCENT = 85
@@ -123,6 +122,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     buckets = buckets.filter("size > 1").groupBy("x", "y", "size").agg(F.min("tile").alias("tile"))
     tiles = materialize(rows.join(buckets.select("tile"), "tile"), "tiles")
-    roots = components(links(docs, classes, tiles, RULE))
+    roots = linked_components(docs, classes, tiles, RULE)
     named = named_rows(described.select("doc_id", "n", "fp"), classes, roots)
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ import pytest
 from quirewise.llm import linking
 from quirewise.llm.jaccard import RULE as JACCARD
 from quirewise.llm.jaccard import _bitmap, jaccard_components
-from quirewise.llm.linking import fingerprint, links
+from quirewise.llm.linking import fingerprint
 from quirewise.llm.minhash import MINIMA, STEP, band_keys, near_duplicates, signatures
 from quirewise.llm.texthash import shingle_sets
 from tests.llm.test_dedup import near_copies, shingles
@@ -58,19 +58,30 @@ def packed(texts, sketch_of):
     return sets, [fingerprint(s) for s in sets], sketch_of(sets)
 
 
-def test_block_pairs_return_fewer_links_than_classes(spark, monkeypatch):
+def test_units_return_fewer_links_than_classes(spark, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK", 100)
     texts = [t for _, t in one_word_changed(400, 90)]
     sets, names, sketches = packed(texts, lambda sets: [_bitmap(s) for s in sets])
     classes = [(f, i, len(s), bytearray(x)) for i, (f, s, x) in enumerate(zip(names, sets, sketches, strict=True))]
     classes = spark.createDataFrame(classes, "fp long, rep long, n long, sketch binary")
-    tiles = classes.selectExpr("cast(1 as long) as tile", "fp", "n", "rep")
+    tiles = spark.range(3).selectExpr("id as tile").crossJoin(classes.select("fp", "n", "rep").filter("rep < 300"))
+    tiles = tiles.unionByName(classes.selectExpr("cast(9 as long) as tile", "fp", "n", "rep"))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = [tuple(r) for r in links(docs, classes, tiles, JACCARD).collect()]
-    of = {f: i for i, f in enumerate(names)}
     pairs = {(a, b) for a in range(400) for b in range(a) if JACCARD.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
-    assert all((max(of[a], of[b]), min(of[a], of[b])) in pairs for a, b in found)
-    assert len(found) < 10 * 200 + 400 < len(pairs) / 4
+    star = linking.first_links(docs, classes, tiles, JACCARD)
+    units = linking.open_units(classes, tiles, star, JACCARD)
+    rows = units.count()
+    assert rows <= 10 * 2 * 400 < len(pairs)  # a row for each class of a pair of blocks at most
+    found = [tuple(r) for r in linking._decide_units(docs, classes, units, JACCARD).collect()]
+    of = {f: i for i, f in enumerate(names)}
+    assert all((max(of[a], of[b]), min(of[a], of[b])) in pairs for a, b in found) and len(found) < rows
+    roots = {r.node: r.root for r in linking.linked_components(docs, classes, tiles, JACCARD).collect()}
+    groups = {}
+    for f, i in of.items():
+        groups.setdefault(roots.get(f, f), set()).add(i)
+    want = brute(list(enumerate(texts)), 80)
+    names_of = {i: c for i, _, c in want}
+    assert all(len({names_of[i] for i in g}) == 1 for g in groups.values()) and len(groups) == len(set(names_of.values()))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
