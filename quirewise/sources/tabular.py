@@ -20,29 +20,71 @@ ORDER_COLUMN = "_order"
 LISTED_SHEETS = 20  # names an error message spells out; it says how many more there are
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False, with_order: bool = False) -> DataFrame:
-    """CSV with a header row, every column a string, empty-value spellings as NULL.
+CORRUPT = "_corrupt_line"
 
-    ``with_order`` adds ``_order`` (file, split start, row within split), the file order that
-    keep-first needs. ``multiline`` allows line breaks inside quotes and makes a file one split.
-    """
-    df = (
+
+def _reader(spark: SparkSession, multiline: bool):
+    return (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("enforceSchema", False)  # files whose header differs from the first one are an error, never bound by place
-        .csv(path)
     )
-    cleaned = [
-        F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns
-    ]
+
+
+def files_with_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The files that have a line with an odd number of quotes: a cell goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (quotes % 2 == 1).alias("odd"))
+    return [r["file"] for r in odd.filter("odd").select("file").distinct().collect()]
+
+
+def scan_csv(
+    spark: SparkSession, path: str | Sequence[str], *, multiline: bool | None = False, with_order: bool = False, with_errors: bool = False
+) -> DataFrame:
+    """CSV with a header row, every column a string, empty-value spellings as NULL.
+
+    ``with_order`` adds ``_order`` (file, split start, row within split), the file order that
+    keep-first needs. ``multiline`` allows line breaks inside quotes and makes a file one split; None first looks through
+    the lines for files that need it, and reads only those that way. A row with fewer cells than the header is filled up.
+    One with more ends the job, or, ``with_errors``, has NULL cells and an ``_error``.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    broken = files_with_quoted_breaks(spark, paths) if multiline is None else []
+    names = _reader(spark, bool(broken) or bool(multiline)).csv(paths).columns
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField(CORRUPT, T.StringType())])
+
+    def read(several: bool) -> DataFrame:
+        return _reader(spark, several).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
+
+    df = read(bool(multiline))
+    if broken:
+        mine = F.col("_metadata.file_path").isin(broken)
+        df = _cells(read(False).filter(~mine), names, with_order).unionByName(_cells(read(True).filter(mine), names, with_order))
+    else:
+        df = _cells(df, names, with_order)
+    kept = [*names, *([ORDER_COLUMN] if with_order else [])]
+    found = F.col("_found")
+    error = F.when(found > len(names), F.concat(F.lit("a row has "), found.cast("string"), F.lit(f" cells under a header of {len(names)}")))
+    if with_errors:
+        cells = [F.when(error.isNull(), F.col(f"`{c}`")).alias(c) for c in names]
+        return df.select(*cells, *kept[len(names):], error.alias("_error"))
+    first = F.when(error.isNull(), F.col(f"`{names[0]}`")).otherwise(F.raise_error(error)).alias(names[0])
+    return df.select(first, *(F.col(f"`{c}`") for c in kept[1:]))
+
+
+def _cells(df: DataFrame, names: Sequence[str], with_order: bool) -> DataFrame:
+    """Cells with missing ones as NULL, how many an odd row has, and the order."""
+    outside = F.regexp_replace(CORRUPT, '"[^"]*"', "")
+    found = F.when(F.col(CORRUPT).isNotNull(), F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1)
+    cleaned = [F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in names]
     if with_order:
         place = F.struct(
             F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
         )
         cleaned.append(place.alias(ORDER_COLUMN))
-    return df.select(*cleaned)
+    return df.select(*cleaned, F.coalesce(found, F.lit(0)).alias("_found"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

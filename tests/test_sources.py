@@ -265,3 +265,15 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     write(spark.createDataFrame([("b", 4), ("c", 5)], "k string, n int"), 1)
     rows = spark.read.parquet(target).collect()
     assert sorted((r["k"], r["n"]) for r in rows) == [("a", 1), ("b", 3), ("c", 5)]
+
+
+def test_csv_breaks_and_long_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("a,b\n3,w\n4\n", encoding="utf-8")
+    rows = tabular.scan_csv(spark, str(tmp_path), multiline=None, with_order=True).orderBy("_order").drop("_order").collect()
+    assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", "z"), ("3", "w"), ("4", None)]
+    (tmp_path / "b.csv").write_text('a,b\n3,"w,1"\n5,6,7\n', encoding="utf-8")
+    with pytest.raises(Exception, match="3 cells under a header of 2"):
+        tabular.scan_csv(spark, str(tmp_path / "b.csv")).collect()
+    rows = tabular.scan_csv(spark, str(tmp_path / "b.csv"), with_errors=True).collect()
+    assert [tuple(r) for r in rows] == [("3", "w,1", None), (None, None, "a row has 3 cells under a header of 2")]

@@ -77,6 +77,9 @@ def test_bad_patterns_are_refused(numbers):
     for text_mode in (True, False):
         with pytest.raises(ConditionError, match="no regular expression"):
             filter_table(numbers, cond("contains", "(a"), text_mode=text_mode)
+        with pytest.raises(ConditionError, match="no regular expression"):  # one that only Python's engine takes
+            filter_table(numbers, cond("contains", "(?P<n>a)"), text_mode=text_mode)
+        assert filter_table(numbers, cond("contains", "(?<n>3)6"), text_mode=text_mode).count() > 0  # and one of the other kind
 
 
 def test_unknown_operator(numbers):
