@@ -9,7 +9,7 @@ asked for, so a pair inside one component needs no test, and links enough to joi
    connected by pairs that the sketches leave open. A family of similar texts makes the same unit in all its tiles.
 3. Units get the full sets of their classes and are decided in tasks; components joined on the way drop out, so a unit
    returns fewer links than it has classes. First comes, for every class, the largest unit that it is in; of the others only
-   those that still hold several components.
+   what is connected by pairs of different components that no unit has tested, and so on until nothing is left.
 
 A sketch gives an upper bound, or one that fails with a probability stated by its rule; sets decide.
 """
@@ -112,6 +112,35 @@ def _units(rule: Rule):
     return run
 
 
+def _untested(rule: Rule):
+    """Rows (unit, fp, n, comp) of what is connected by open pairs that no earlier unit held both classes of."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["unit", "fp"])
+        unit, fp, comp, n, sketch = (frame[c].to_numpy() for c in ("unit", "fp", "comp", "n", "sketch"))
+        tested = frame["tested"].to_list()
+        units, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])[: len(unit)]), len(unit))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = np.arange(a, b)
+            ok = _open_pairs(rule, rows, rows, True, comp, n, sketch)
+            lists = [np.array([] if x is None else x, np.int64) for x in tested[a:b]]
+            held, place = np.unique(np.concatenate(lists), return_inverse=True)
+            if len(held):
+                inside = np.zeros((b - a, len(held)), np.float32)
+                inside[np.repeat(np.arange(b - a), [len(x) for x in lists]), place] = 1
+                ok &= (inside @ inside.T) == 0
+            left, right = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if len(left):
+                some, label = _connected(ok[np.ix_(left, right)], rows[left], rows[right])
+                members.append(some)
+                units.append(_unit_names(fp[some], label))
+        unit, at = np.concatenate(units), np.concatenate(members)
+        return pd.DataFrame({"unit": unit, "fp": fp[at], "n": n[at], "comp": comp[at]}).drop_duplicates(["unit", "fp"])
+
+    return run
+
+
 def _connected(ok: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of ``rows`` and ``columns``, and for each the smallest place that open pairs connect it with."""
     some, place = np.unique(np.concatenate([rows, columns]), return_inverse=True)
@@ -282,20 +311,27 @@ def linked_components(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rul
     units = open_units(classes, tiles, found, rule)
     if units is None:
         return components(found.select("a", "b"))
-    # every class asks for its largest unit; most others are of one component when those are decided
-    largest = units.join(units.groupBy("unit").agg(F.count("*").alias("size")), "unit")
-    asked = largest.groupBy("fp").agg(F.max(F.struct("size", "unit")).alias("m")).select(F.col("m.unit").alias("unit")).distinct()
-    asked = materialize(asked, "asked-units")
-    some = materialize(units.join(asked, "unit", "left_semi"), "first-units")
-    found = materialize(found.select("a", "b").union(_decide_units(docs, classes, some, rule)), "links")
-    roots = components(found)
-    rest = units.join(asked, "unit", "left_anti").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rest = materialize(rest.select("unit", "fp", "n", F.coalesce("root", "comp").alias("comp")), "other-units")
-    mixed = rest.groupBy("unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    rest = materialize(rest.join(mixed, "unit", "left_semi"), "open-units")
-    if rest.isEmpty():
-        return roots
-    return components(found.union(_decide_units(docs, classes, rest, rule)))
+    found, tested = found.select("a", "b"), None
+    while True:
+        # every class asks for its largest unit; what no unit has tested by then is left for another round
+        largest = units.join(units.groupBy("unit").agg(F.count("*").alias("size")), "unit")
+        asked = largest.groupBy("fp").agg(F.max(F.struct("size", "unit")).alias("m")).select(F.col("m.unit").alias("unit")).distinct()
+        asked = materialize(asked, "asked-units")
+        some = materialize(units.join(asked, "unit", "left_semi"), "units-in-turn")
+        found = materialize(found.union(_decide_units(docs, classes, some, rule)), "links")
+        roots = components(found)
+        tested = some.select("fp", "unit") if tested is None else tested.union(some.select("fp", "unit"))
+        rest = units.join(asked, "unit", "left_anti").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        rest = materialize(rest.select("unit", "fp", "n", F.coalesce("root", "comp").alias("comp")), "other-units")
+        mixed = rest.groupBy("unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+        known = tested.groupBy("fp").agg(F.collect_list("unit").alias("tested"))
+        rest = rest.join(mixed.select("unit"), "unit", "left_semi").join(known, "fp", "left").join(classes.select("fp", "sketch"), "fp")
+        rest = rest.select("unit", "fp", "n", "comp", "sketch", "tested")
+        bundles = max(64, rest.count() // BUNDLE)
+        units = rest.groupBy(F.pmod("unit", F.lit(bundles))).applyInPandas(_untested(rule), UNIT).dropDuplicates(["unit", "fp"])
+        units = materialize(units, "units")
+        if units.isEmpty():
+            return roots
 
 
 def first_links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
