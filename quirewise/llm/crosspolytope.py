@@ -1,32 +1,38 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table rotates unit vectors by three rounds of random signs and a fast Hadamard transform and assigns them to the
-nearest signed axis. A query probes, in each table, the axes nearest to it; the rows found in any of them are
-scored exactly on the original vectors. Codes do not depend on lengths, so rows are searched in bands of similar length: the
-largest inner products of a band are those of the smallest angles. A band of few rows is scored whole, and so is one in
-which a query's probes find fewer rows than are asked for, as a long row may be near in no table and still score high.
-
-All rows are hashed; nothing is fitted. A bucket that holds very many rows is spread over the
-splits of the table, since a split holds rows by a hash of their id and keeps the buckets of its own rows.
+Each table rotates unit vectors by three rounds of random signs and a fast Hadamard transform. A row is filed in a table under
+the signed axes nearest to it, a query probes the axes nearest to it there, and the buckets they share bring them together. Rows
+met so often that of unlike rows only a SHARE would be are candidates, scored exactly on the original vectors. Codes do not depend on lengths, so candidates are taken in bands of similar length: the largest inner
+products of a band are those of the smallest angles. Where fewer than POOL times the rows asked for are met that often in a band,
+as many of those met most often count; only a band with fewer rows in shared buckets than that is scored whole.
+
+All rows are hashed; nothing is fitted. Rows are dealt into splits by their place, so a bucket that holds very many is
+spread over all of them; a split's buckets are lists of its own rows, and queries stream past it
+(``functions/streams.py``). An id that is null takes no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.streams import against_all
 from ..session import materialize
-from .tiles import best, tiled, usable
+from .tiles import SPLIT_ROWS, best, usable
 
-#: Hash tables, and the signed axes a query probes in each: at least this many, and one in 16 of all.
-TABLES, PROBES, AXES_A_PROBE = 16, 8, 16
-#: Ratio of the lengths of a band, and the rows of a tile's band up to which all are scored.
-BAND, WHOLE_BAND = 1.1, 1024
+#: Hash tables, and the signed axes that a row is filed under and a query probes in each: one in AXES_A_PROBE of all at least.
+TABLES, PROBES, AXES_A_PROBE = 64, 2, 64
+#: Share of rows without any likeness to a query that may be met often enough to be candidates, and the candidates
+#: that a band gives at least, for each row asked for.
+SHARE, POOL = 0.1, 8
+#: Ratio of the lengths of a band.
+BAND = 1.1
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,26 +57,17 @@ def rotations(x: np.ndarray, tables: int, seed: int = 20) -> Iterator[np.ndarray
         yield turned
 
 
-def codes(x: np.ndarray, tables: int) -> np.ndarray:
-    """Signed axis of each row in each table: 2 * axis, and one more on its negative side."""
+def nearest_axes(x: np.ndarray, tables: int, count: int) -> np.ndarray:
+    """Numbers (table by table, 2 * axis, and one more on its negative side) of the signed axes nearest to each row, ``count`` a table."""
     out = []
-    for turned in rotations(x, tables):
-        axis = np.abs(turned).argmax(axis=1)
-        out.append(2 * axis + (turned[np.arange(len(x)), axis] < 0))
-    return np.stack(out, axis=1).astype(np.int32)
-
-
-def probes(x: np.ndarray, tables: int, count: int) -> np.ndarray:
-    """The signed axes nearest to each row in each table (rows, tables, axes), ``count`` or one in AXES_A_PROBE if that is more."""
-    out = []
-    for turned in rotations(x, tables):
+    for table, turned in enumerate(rotations(x, tables)):
         both = np.stack([turned, -turned], axis=2).reshape(len(x), -1)
-        count = min(max(count, both.shape[1] // AXES_A_PROBE), both.shape[1])
-        out.append(np.argpartition(-both, count - 1, axis=1)[:, :count])
-    return np.stack(out, axis=1)
+        some = min(max(count, both.shape[1] // AXES_A_PROBE), both.shape[1])
+        out.append(np.argpartition(-both, some - 1, axis=1)[:, :some] + table * both.shape[1])
+    return np.concatenate(out, axis=1).astype(np.int32)
 
 
-def index(vectors: DataFrame, tables: int = TABLES) -> tuple[DataFrame, int]:
+def index(vectors: DataFrame, tables: int = TABLES, count: int = PROBES) -> tuple[DataFrame, int]:
     """(id, dim, v, codes) of every usable vector that is not zero, written once, and their number."""
     kept = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     kept = kept.select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -83,8 +80,8 @@ def index(vectors: DataFrame, tables: int = TABLES) -> tuple[DataFrame, int]:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = part["v"].flatten().to_numpy().reshape(-1, int(dim))
-                found = codes(x, tables)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables), pa.int32()), pa.array(found.ravel()))
+                found = nearest_axes(x, tables, count)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part["id"], part["dim"], part["v"], lists], ["id", "dim", "v", "codes"])
 
     made = kept.mapInArrow(hashed, "id long, dim int, v array<double>, codes array<int>")
@@ -98,36 +95,82 @@ def _bands(x: np.ndarray) -> np.ndarray:
     return np.unique(number, return_inverse=True)[1]
 
 
-def _search(k: int, count: int):
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+def often(dim: int, filed: int, tables: int) -> int:
+    """Least number of shared buckets that at most a SHARE of rows of another direction have with a query.
+
+    Of the signed axes a row is filed under ``filed`` in all and a query probes as many, so unlike ones share a Poisson number.
+    """
+    axes = 2 << max(1, (dim - 1).bit_length())
+    mean = filed * (filed / tables) / axes
+    chance, left, least = math.exp(-mean), 1.0, 0
+    while left > SHARE:
+        left -= chance
+        least += 1
+        chance *= mean / least
+    return least
+
+
+class Split:
+    """The rows of one length that a task holds, and the buckets they are filed in."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, tables: int = TABLES):
+        self.ids, self.x, self.band = ids, x, _bands(x)
+        self.least = often(x.shape[1], codes.shape[1], tables)
+        order = np.argsort(codes.ravel(), kind="stable")
+        self.bucket, self.member = codes.ravel()[order], (order // codes.shape[1]).astype(np.int32)
+
+    def met(self, probed: np.ndarray) -> np.ndarray:
+        """How many of the probed buckets hold each row."""
+        begin, end = np.searchsorted(self.bucket, probed, "left"), np.searchsorted(self.bucket, probed, "right")
+        size = end - begin
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.member[at], minlength=len(self.ids))
+
+    def candidates(self, probed: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows met often; in a band with fewer than POOL * ``k`` of them that many met most often, ties to the smaller id."""
+        k = POOL * k
+        met = self.met(probed)
+        met[self.ids == own] = -1
+        near = [np.flatnonzero(met >= self.least)]
+        few = np.flatnonzero(np.bincount(self.band[near[0]], minlength=self.band.max() + 1) < k)
+        for band in few:
+            rows = np.flatnonzero((self.band == band) & (met >= 0) & (met < self.least))
+            short = k - int((self.band[near[0]] == band).sum())
+            if len(rows) > short and (met[rows] > 0).sum() >= short:
+                rows = rows[np.lexsort((self.ids[rows], -met[rows]))[:short]]
+            near.append(rows)
+        return np.concatenate(near)
+
+
+def _search(k: int, tables: int):
+    """Best ``k`` of a split for each query of a batch, as ``against_all`` calls it."""
+    held_last: list = [None, {}]
+
+    def run(held: list[pa.RecordBatch], asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if held_last[0] is not held:
+            held_last[0], held_last[1] = held, {}
+            rows = pa.Table.from_batches(held).combine_chunks()
+            dims = rows["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = rows.filter(pa.array(dims == dim))
+                wide = lambda c: part[c].combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+                held_last[1][dim] = Split(part["id"].to_numpy(), wide("v"), wide("codes"), tables)
         out = []
-        if len(queries) and len(rows):
-            x, ids = np.stack(rows["v"].to_list()), rows["id"].to_numpy()
-            buckets = np.stack(rows["codes"].to_list())
-            tables = buckets.shape[1]
-            q = np.stack(queries["v"].to_list())
-            asked = probes(q, tables, count)
-            band = _bands(x)
-            whole = np.bincount(band) <= WHOLE_BAND
-            marks = np.zeros((tables, int(max(buckets.max(), asked.max())) + 1), bool)
-            slot = buckets + np.arange(tables) * marks.shape[1]
-            flat = marks.reshape(-1)
-            at_table = np.arange(tables)[:, None] * marks.shape[1]
-            for number, vector, probed in zip(queries["id"], q, asked, strict=True):
-                where = (probed + at_table).ravel()
-                flat[where] = True
-                met = flat[slot].any(axis=1) & (ids != number)
-                flat[where] = False
-                few = whole | (np.bincount(band[met], minlength=len(whole)) < k)
-                near = np.flatnonzero(met | (few[band] & (ids != number)))
-                score = x[near] @ vector
-                if len(near) > 4 * k:
-                    kth = np.partition(score, len(near) - k)[len(near) - k]
-                    near, score = near[score >= kth], score[score >= kth]
-                first = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(first), number), ids[near[first]], score[first]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+        for query in asked.to_pylist():
+            split = held_last[1].get(query["dim"])
+            if split is None:
+                continue
+            near = split.candidates(np.array(query["codes"]), query["id"], k)
+            score = split.x[near] @ np.array(query["v"])
+            if len(near) > 4 * k:
+                kth = np.partition(score, len(near) - k)[len(near) - k]
+                near, score = near[score >= kth], score[score >= kth]
+            first = np.lexsort((split.ids[near], -score))[:k]
+            out.append((np.full(len(first), query["id"]), split.ids[near[first]], score[first]))
+        if out:
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -138,9 +181,10 @@ def nearest(vectors: DataFrame, is_query, k: int, tables: int = TABLES, count: i
     ``is_query`` is a condition on id. Candidates have the query's number of components and another id. An id that comes
     with several vectors asks for one of them (the smallest), and every one of them is a candidate.
     """
-    rows, n = index(vectors, tables)
-    queries = rows.filter(is_query).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.dim", "q.v")
-    found = tiled(rows, queries, n, queries.count(), _search(k, count), "query_id long, vec_id long, score double")
+    rows, n = index(vectors, tables, count)
+    queries = rows.filter(is_query).groupBy("id").agg(F.min(F.struct("dim", "v", "codes")).alias("q")).select("id", "q.dim", "q.v", "q.codes")
+    schema = _parse_datatype_string("query_id long, vec_id long, score double")
+    found = against_all(rows, queries, max(1, -(-n // SPLIT_ROWS)), _search(k, tables), schema)
     return best(found, k)
 
 

@@ -35,6 +35,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Tile rows and shingles a task compares at a time, about.
 BUNDLE, BUNDLE_SHINGLES = 1024, 1 << 20
 FILTER_BITS = 1 << 23
+#: Rows of units left from which on components are named anew between two rounds.
+RENAMED_ROWS = 1 << 16
 PAIR = "a long, b long, rep_b long"
 
 
@@ -319,19 +321,22 @@ def linked_components(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rul
         asked = materialize(asked, "asked-units")
         some = materialize(units.join(asked, "unit", "left_semi"), "units-in-turn")
         found = materialize(found.union(_decide_units(docs, classes, some, rule)), "links")
-        roots = components(found)
+        rest = materialize(units.join(asked, "unit", "left_anti"), "other-units")
+        rows = rest.count()
+        if rows > RENAMED_ROWS:  # worth the rounds that it takes to name components anew: units of one component drop out
+            roots = components(found).withColumnRenamed("node", "fp")
+            rest = rest.join(roots, "fp", "left").select("unit", "fp", "n", F.coalesce("root", "comp").alias("comp"))
+            rest = materialize(rest, "renamed-units")
+            mixed = rest.groupBy("unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+            rest = rest.join(mixed.select("unit"), "unit", "left_semi")
         tested = some.select("fp", "unit") if tested is None else tested.union(some.select("fp", "unit"))
-        rest = units.join(asked, "unit", "left_anti").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        rest = materialize(rest.select("unit", "fp", "n", F.coalesce("root", "comp").alias("comp")), "other-units")
-        mixed = rest.groupBy("unit").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
         known = tested.groupBy("fp").agg(F.collect_list("unit").alias("tested"))
-        rest = rest.join(mixed.select("unit"), "unit", "left_semi").join(known, "fp", "left").join(classes.select("fp", "sketch"), "fp")
-        rest = rest.select("unit", "fp", "n", "comp", "sketch", "tested")
-        bundles = max(64, rest.count() // BUNDLE)
-        units = rest.groupBy(F.pmod("unit", F.lit(bundles))).applyInPandas(_untested(rule), UNIT).dropDuplicates(["unit", "fp"])
+        rest = rest.join(known, "fp", "left").join(classes.select("fp", "sketch"), "fp").select("unit", "fp", "n", "comp", "sketch", "tested")
+        bundle = F.pmod("unit", F.lit(max(64, rows // BUNDLE)))
+        units = rest.groupBy(bundle).applyInPandas(_untested(rule), UNIT).dropDuplicates(["unit", "fp"])
         units = materialize(units, "units")
-        if units.isEmpty():
-            return roots
+        if not rows or units.isEmpty():
+            return components(found)
 
 
 def first_links(docs: DataFrame, classes: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
