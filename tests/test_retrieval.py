@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirewise.functions import matching
 from quirewise.functions import ranking
 from quirewise.operators import answers, entities, hybrid, keyword, vectors
+from quirewise.operators.vector_index import rejected_vectors
 
 
 @pytest.fixture(scope="module")
@@ -202,8 +203,9 @@ def test_empty_vectors_are_skipped_and_odd_ones_refused(spark):
     assert [(r["query_id"], r["doc_id"]) for r in vectors.vector_topk(df, queries).collect()] == [("q", 1)]
     assert vectors.vector_topk(df, queries.filter("query_id = 'none'")).count() == 0
     odd = df.unionByName(spark.createDataFrame([(4, [1.0])], df.schema))
-    with pytest.raises(Exception, match="must have 2 numbers, not 1"):
-        vectors.vector_topk(odd, queries).collect()
+    assert [(r["query_id"], r["doc_id"]) for r in vectors.vector_topk(odd, queries).collect()] == [("q", 1)]
+    refused = {r["doc_id"]: r["reason"] for r in rejected_vectors(odd, 2).collect()}
+    assert refused == {2: "no vector", 3: "no vector", 4: "has 1 numbers, not 2"}
 
 
 def test_text_ids_holes_and_mixed_lengths(spark):
