@@ -48,7 +48,7 @@ AROUND = LENGTH - FIRST
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text worked on at once, suffixes in a part, suffixes a map task gathers before it passes blocks on.
-WORK_BYTES, PART_SUFFIXES, FLUSH_SUFFIXES = 1 << 20, 500_000, 1_500_000
+WORK_BYTES, PART_SUFFIXES, FLUSH_SUFFIXES = 1 << 20, 500_000, 600_000
 #: Suffixes of a batch of the index family.
 BATCH = 1 << 16
 #: Suffixes of one first bytes that a task sends to their part at a time; of more, all but the smallest document's go to step 3.
