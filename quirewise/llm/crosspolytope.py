@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.streams import against_all
+from ..functions.streams import SPLIT_ROWS, against_all
 from ..session import materialize
-from .tiles import SPLIT_ROWS, best, usable
+from .tiles import best, usable
 
 #: Hash tables, and the signed axes that a row is filed under and a query probes in each: one in AXES_A_PROBE of all at least.
 TABLES, PROBES, AXES_A_PROBE = 64, 2, 64
@@ -35,13 +35,21 @@ SHARE, POOL = 0.1, 8
 BAND = 1.1
 
 
+def _signs(n: int) -> np.ndarray:
+    """The Hadamard matrix of a power of two."""
+    out = np.ones((1, 1))
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    h, n = 1, x.shape[1]
-    while h < n:
-        y = x.reshape(len(x), -1, 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
-    return x
+    """Fast transform of every row in two steps of about the square root of its length."""
+    n = x.shape[1]
+    a = 1 << (n.bit_length() - 1) // 2
+    b = n // a
+    y = (x.reshape(-1, b) @ _signs(b)).reshape(-1, a, b).transpose(0, 2, 1)
+    return (np.ascontiguousarray(y).reshape(-1, a) @ _signs(a)).reshape(-1, b, a).transpose(0, 2, 1).reshape(len(x), n)
 
 
 def rotations(x: np.ndarray, tables: int, seed: int = 20) -> Iterator[np.ndarray]:
