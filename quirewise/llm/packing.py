@@ -3,9 +3,10 @@
 Documents longer than a sequence are cut into pieces of the sequence length, the first of which takes the rest. Full pieces are
 sequences of their own. The others are dealt into blocks of a few thousand pieces by a hash, and each block is packed by
 islands: a population of packings each, improved over generations. A crossover injects whole well-filled bins of
-one packing into another, drops the bins that hold duplicates of the injected pieces, and best-fits the displaced pieces,
-largest first. After each epoch the best packing of an island replaces the worst of the next. The best packing of a block's
-islands gives its sequences.
+one packing into another, drops the bins that hold duplicates of the injected pieces and some of the worst filled, and
+best-fits the displaced pieces: the last one or two of a bin are those that leave least free. After each epoch the best
+packing of an island replaces the worst of the next. Epochs go on while a block is over its lower bound and the epoch before
+saved a sequence, EPOCHS at most. The best packing of a block's islands gives its sequences.
 
 A block is bounded, so is every task; the number of blocks grows with the pieces and costs at most about one sequence each.
 """
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 SEQUENCE = 2048
-#: Pieces of a block, islands of a block, packings of an island, epochs, crossovers of an epoch.
-BLOCK_PIECES, ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 4096, 2, 3, 2, 2
+#: Pieces of a block, islands of a block, packings of an island, most epochs, crossovers without gain that end an epoch.
+BLOCK_PIECES, ISLANDS, POPULATION, EPOCHS, PATIENCE = 4096, 2, 4, 4, 10
+#: Islands that one task evolves in turn on large inputs.
+ISLANDS_A_TASK = 32
 TOKENIZER = "byte_bpe_50k.json"
 #: Encoded words a worker keeps; when full it starts again.
 CACHE_WORDS = 600_000
@@ -156,7 +159,7 @@ class BestFit:
 Packing = list[list[int]]
 
 
-def _packed(order: np.ndarray, length: list[int], capacity: int, kept: Packing = ()) -> Packing:
+def _packed(order: list[int], length: list[int], capacity: int, kept: Packing = ()) -> Packing:
     fit = BestFit(capacity)
     for bin_ in kept:
         fit.put(list(bin_), capacity - sum(length[i] for i in bin_))
@@ -165,38 +168,122 @@ def _packed(order: np.ndarray, length: list[int], capacity: int, kept: Packing =
     return fit.bins()
 
 
+class Stock:
+    """Displaced pieces by length, and the lengths in stock as bits: which two fill a gap exactly is one AND of two bit strings."""
+
+    def __init__(self, pieces: list[int], length: list[int], capacity: int):
+        self.capacity, self.by_length = capacity, {}
+        for i in pieces:
+            self.by_length.setdefault(length[i], []).append(i)
+        self.have = sum(1 << n for n in self.by_length)
+        self.mirror = sum(1 << (capacity - n) for n in self.by_length)
+
+    def take(self, n: int) -> int:
+        pieces = self.by_length[n]
+        out = pieces.pop()
+        if not pieces:
+            del self.by_length[n]
+            self.have ^= 1 << n
+            self.mirror ^= 1 << (self.capacity - n)
+        return out
+
+    def largest(self, most: int) -> int:
+        """The greatest length in stock of at most ``most``, or 0."""
+        return max(0, (self.have & ((2 << most) - 1)).bit_length() - 1)
+
+    def pair(self, total: int, near: int) -> tuple[int, int] | None:
+        """Two lengths in stock that make ``total``, the larger one at ``near`` or as little below it as can be."""
+        both = self.have & (self.mirror >> (self.capacity - total))
+        if total % 2 == 0 and both >> (total // 2) & 1 and len(self.by_length[total // 2]) < 2:
+            both ^= 1 << (total // 2)
+        if not both:
+            return None
+        at = (both & ((2 << near) - 1)).bit_length() - 1
+        if 2 * at < total:
+            at = both.bit_length() - 1
+        return at, total - at
+
+
+#: Free places up to which two pieces are looked for before one that fits alone is taken.
+SLACK = 24
+
+
+def best_fit_pairs(pieces: list[int], length: list[int], capacity: int, random: np.random.Generator) -> Packing:
+    """Bins of ``pieces``: each opens with the largest left, takes large ones while two cannot fill it, and ends with
+    the one or two pieces that leave least free."""
+    stock, out = Stock(pieces, length, capacity), []
+    while stock.have:
+        n = stock.largest(capacity)
+        bin_, free = [stock.take(n)], capacity - n
+        while stock.have and (top := stock.largest(free)):
+            if free > 2 * top:  # two will not do
+                bin_.append(stock.take(top))
+                free -= top
+                continue
+            found = None
+            for waste in range(min(SLACK, free - top, free)):
+                found = stock.pair(free - waste, int(random.integers((free - waste + 1) // 2, free - waste + 1)))
+                if found:
+                    break
+            if not found:
+                bin_.append(stock.take(top))
+                free -= top
+                continue
+            bin_.extend(stock.take(x) for x in found)
+            free -= sum(found)
+        out.append(bin_)
+    return out
+
+
 def fitness(packing: Packing, length: list[int], capacity: int) -> float:
     """Fewer bins first; of equal numbers, the more unevenly filled, which leaves more room to improve."""
     return float(np.mean([(sum(length[i] for i in b) / capacity) ** 2 for b in packing])) - len(packing)
 
 
 def crossover(a: Packing, b: Packing, length: list[int], capacity: int, random: np.random.Generator) -> Packing:
-    """``a`` with about a third of the best-filled bins of ``b`` injected whole."""
+    """``a`` with a share of the best-filled bins of ``b`` injected whole.
+
+    Bins of ``a`` that hold a piece injected go, and so does a share of its worst-filled ones. What they displace is packed
+    best fit: what two or fewer pieces complete in bins of their own, and the worst of those into gaps anywhere.
+    """
     fill = np.array([sum(length[i] for i in x) for x in b])
     chance = random.random(len(b)) * 0.02 + fill / capacity
-    injected = [b[i] for i in np.argsort(-chance)[: max(1, len(b) // 3)]]
+    injected = [b[i] for i in np.argsort(-chance)[: max(1, int(len(b) * random.uniform(0.2, 0.6)))]]
     taken = {i for x in injected for i in x}
+    own = np.array([sum(length[i] for i in x) for x in a])
+    poor = np.zeros(len(a), bool)
+    poor[np.argsort(own + random.random(len(a)))[: max(1, int(len(a) * random.uniform(0.05, 0.4)))]] = True
     kept, displaced = list(injected), []
-    for x in a:
-        if taken.isdisjoint(x):
+    for x, bad in zip(a, poor, strict=True):
+        if not bad and taken.isdisjoint(x):
             kept.append(x)
         else:
             displaced.extend(i for i in x if i not in taken)
-    return _packed(sorted(displaced, key=lambda i: -length[i]), length, capacity, kept)
+    made = best_fit_pairs(displaced, length, capacity, random)
+    made.sort(key=lambda x: -sum(length[i] for i in x))
+    last = [i for x in made[len(made) * 9 // 10 :] for i in x]
+    return _packed(sorted(last, key=lambda i: -length[i]), length, capacity, kept + made[: len(made) * 9 // 10])
+
 
+def least_bins(length: list[int], capacity: int) -> int:
+    """No packing has fewer bins: all that fits, and one for each piece over half."""
+    return max(-(-sum(length) // capacity), sum(2 * n > capacity for n in length))
 
-def evolve(population: list[Packing], length: list[int], capacity: int, crossovers: int, random: np.random.Generator) -> list[Packing]:
-    """Each crossover of two packings replaces the worst one if it is better. Stops at the least possible number of bins."""
+
+def evolve(population: list[Packing], length: list[int], capacity: int, patience: int, random: np.random.Generator) -> list[Packing]:
+    """Best first. Each crossover of two packings replaces the worst one if it is better.
+
+    Stops at the least possible number of bins, or when ``patience`` crossovers in a row saved no bin.
+    """
     scores = [fitness(p, length, capacity) for p in population]
-    least = -(-sum(length) // capacity)
-    for _ in range(crossovers):
-        if min(map(len, population)) == least or len(population) < 2:
-            break
+    least, idle = least_bins(length, capacity), 0
+    while idle < patience and len(population) > 1 and (fewest := min(map(len, population))) > least:
         i, j = random.choice(len(population), 2, replace=False)
         child = crossover(population[i], population[j], length, capacity, random)
         score, worst = fitness(child, length, capacity), int(np.argmin(scores))
         if score > scores[worst]:
             population[worst], scores[worst] = child, score
+        idle = 0 if len(child) < fewest else idle + 1
     return [population[i] for i in np.argsort(scores)[::-1]]
 
 
@@ -220,11 +307,11 @@ def _decoded(code: bytes) -> Packing:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)]
 
 
-ISLAND = "block long, island int, place int, lengths binary, code binary, score double"
+ISLAND = "block long, island int, place int, lengths binary, code binary, score double, bins int, first_bins int, least int"
 
 
-def _epoch(number: int, capacity: int, population: int, crossovers: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Evolve one island: its packings, or (in epoch 0) those it starts with."""
+def _epoch(number: int, capacity: int, population: int, patience: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Evolve one island: its packings, or (in epoch 0) those it starts with, whose fewest bins are first_bins."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block, island = int(frame["block"].iloc[0]), int(frame["island"].iloc[0])
@@ -232,17 +319,53 @@ def _epoch(number: int, capacity: int, population: int, crossovers: int) -> Call
         random = np.random.default_rng([block & 0xFFFFFFFF, island, number])
         if number == 0:
             packings = _start(length, capacity, population, random)
+            first = min(map(len, packings))
         else:
-            packings = [_decoded(c) for c in frame.sort_values("place")["code"]]
-        packings = evolve(packings, length, capacity, crossovers, random)
+            packings, first = [_decoded(c) for c in frame.sort_values("place")["code"]], int(frame["first_bins"].min())
+        packings = evolve(packings, length, capacity, patience, random)
         return pd.DataFrame({
             "block": block, "island": island, "place": range(len(packings)), "lengths": [frame["lengths"].iloc[0]] * len(packings),
             "code": [_coded(p, len(length)) for p in packings], "score": [fitness(p, length, capacity) for p in packings],
+            "bins": [len(p) for p in packings], "first_bins": first, "least": least_bins(length, capacity),
         })
 
     return run
 
 
+def evolved_blocks(packed: DataFrame, blocks: int, capacity: int) -> DataFrame:
+    """(block, code, bins, first_bins, least) of the written blocks (block, lengths): the best packing, its number of
+    bins, the fewest of the start populations, and the lower bound."""
+    tasks = min(blocks * ISLANDS, max(2 * packed.sparkSession.sparkContext.defaultParallelism, blocks * ISLANDS // ISLANDS_A_TASK))
+    islands = packed.select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(0).alias("place"), "lengths",
+        F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("score"), F.lit(0).alias("first_bins"),
+    )
+    done, before = None, None
+    for number in range(EPOCHS):
+        # much work for few bytes: a fixed number of partitions, which adaptive execution does not merge
+        groups = islands.repartition(tasks, "block", "island").groupBy("block", "island")
+        islands = materialize(groups.applyInPandas(_epoch(number, capacity, POPULATION, PATIENCE), ISLAND), "islands")
+        best = islands.groupBy("block").agg(
+            F.min_by(F.struct("island", "place", "bins", "least"), F.struct("bins", -F.col("score"), "island", "place")).alias("best"),
+            F.min("first_bins").alias("first_bins"),
+        ).select("block", "first_bins", "best.*")
+        found = islands.select("block", "island", "place", "code").join(best, ["block", "island", "place"])
+        best = materialize(found.select("block", "code", "bins", "first_bins", "least"), "islands-best")
+        # blocks at their bound, or without gain since the epoch before, are done
+        over = best.withColumn("last_bins", F.col("first_bins"))
+        if before is not None:
+            over = best.join(before.select("block", F.col("bins").alias("last_bins")), "block")
+        over = over.filter("bins > least and bins < last_bins").select("block")
+        done = best if done is None else done.join(best, "block", "left_anti").unionByName(best)
+        if number == EPOCHS - 1 or over.isEmpty():
+            break
+        before, islands = best, islands.join(over, "block", "left_semi")
+        # the best of an island takes the place of the worst of the next
+        elite = islands.filter("place = 0").withColumns({"island": ((F.col("island") + 1) % ISLANDS).cast("int"), "place": F.lit(POPULATION - 1)})
+        islands = islands.filter(F.col("place") < POPULATION - 1).unionByName(elite)
+    return done
+
+
 def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """``pieces`` (any columns, with a ``length`` of at most ``capacity``) and sequence_id, offset.
 
@@ -262,20 +385,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
         })
 
     packed = materialize(dealt.groupBy("block").applyInPandas(lengths, "block long, places binary, lengths binary"), "packing-blocks")
-    islands = packed.select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(0).alias("place"), "lengths",
-        F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("score"),
-    )
-    for number in range(EPOCHS):
-        evolved = islands.groupBy("block", "island").applyInPandas(_epoch(number, capacity, POPULATION, CROSSOVERS), ISLAND)
-        islands = materialize(evolved, "islands")
-        if number < EPOCHS - 1:
-            # the best of an island takes the place of the worst of the next
-            elite = islands.filter("place = 0").withColumns(
-                {"island": ((F.col("island") + 1) % ISLANDS).cast("int"), "place": F.lit(POPULATION - 1)}
-            )
-            islands = islands.filter(F.col("place") < POPULATION - 1).unionByName(elite)
-    best = islands.groupBy("block").agg(F.max_by("code", F.struct("score", -F.col("island"))).alias("code"))
+    best = evolved_blocks(packed, blocks, capacity)
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -133,6 +133,25 @@ def test_crossover_keeps_every_piece_once(length, seed):
     assert len(evolved[0]) <= before
 
 
+@pytest.mark.parametrize("low, high, saved", [(300, 900, 25), (500, 1400, 5)])
+def test_evolution_beats_its_start_population(spark, low, high, saved):
+    lengths = np.random.default_rng(3).integers(low, high, 5000).tolist()
+    blocks = spark.createDataFrame([(b, np.array(lengths[b::2], np.int32).tobytes()) for b in range(2)], "block long, lengths binary")
+    for r in packing.evolved_blocks(blocks, 2, 2048).collect():
+        bins = np.frombuffer(r.code, np.int32)
+        fill = np.bincount(bins, np.array(lengths[r.block :: 2]))
+        assert r.bins == len(fill) and fill.max() <= 2048 and fill.min() > 0
+        assert r.least <= r.bins <= r.first_bins - saved * 0.4
+
+
+def test_equal_and_extreme_lengths_reach_the_bound():
+    random_ = np.random.default_rng(1)
+    for length, bins in ([7] * 30, 3), ([100] * 9, 9), ([50] * 7, 4), ([1] * 250, 3), ([99, 1, 60, 40, 50, 50, 30], 4):
+        packed = packing.best_fit_pairs(list(range(len(length))), length, 100, random_)
+        assert sorted(i for b in packed for i in b) == list(range(len(length)))
+        assert len(packed) == bins == packing.least_bins(length, 100)
+
+
 def test_pieces_equal_the_library(spark):
     library = pieces._model(public_tokenizers.path(pieces.MODEL)).library
     random.seed(4)
