@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, new_path
 
 ARCHIVE_BYTES = 32 << 20
+#: Tasks of a stage up to which an archive is a task of its own, and archives of a task beyond.
+MOST_TASKS, ARCHIVES_A_TASK = 20_000, 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "archive string, at long, size long, record_id string, page_id long, payload_bytes long, payload_digest string"
 
@@ -182,8 +184,9 @@ def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
 
 
 def _each_archive(rows: DataFrame) -> DataFrame:
-    """Rows dealt by archive into as many partitions: an archive is much work for little data, so none are merged."""
-    return rows.repartition(max(1, rows.select("archive").distinct().count()), "archive")
+    """Rows dealt by archive: much work for little data, so none are merged, and of very many a task works through several."""
+    archives = rows.select("archive").distinct().count()
+    return rows.repartition(max(1, archives if archives <= MOST_TASKS else max(MOST_TASKS, archives // ARCHIVES_A_TASK)), "archive")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -220,10 +223,11 @@ def read_resolved(archives: DataFrame) -> DataFrame:
     origin = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("to_record"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest")
     )
-    return records.join(origin, "to_record", "left").select(
-        "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"),
-    )
+    # only revisits are joined: responses refer to nothing, and their null keys would all meet in one partition
+    revisits = records.filter("to_record is not null").join(origin, "to_record", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", F.col("to_page").alias("refers_to")]
+    full = revisits.withColumns({"payload_bytes": F.col("full_bytes"), "payload_digest": F.col("full_digest")})
+    return records.filter("to_record is null").select(columns).unionByName(full.select(columns))
 
 
 def op2(pages: DataFrame) -> DataFrame:
