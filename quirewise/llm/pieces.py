@@ -18,8 +18,9 @@ Whole words between such places are encoded once each and kept in a bounded cach
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from ..session import materialize
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 CACHE_WORDS = 500_000
+#: Chunks of whole documents whose products one task combines on large inputs.
+CHUNKS_A_TASK = 4096
 SPACE = "▁"
 #: A state is written as before * STATES + after.
 STATES = 32
@@ -53,6 +56,7 @@ class PieceModel:
         self.score = {p: library.get_score(i) for i, p in enumerate(self.pieces) if not special[i]}
         self.number = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.longest = max(map(len, self.number))
+        self.heads = {p[:n] for p in self.number for n in range(1, len(p) + 1)}
         if self.longest >= STATES or any(SPACE in p.lstrip(SPACE) for p in self.number):
             raise ValueError("pieces of this model are too long or reach over spaces")
         values = {i: bytes([b]) for b, i in self.byte.items()}
@@ -111,12 +115,48 @@ class PieceModel:
             if text[place] not in self.number:
                 reached[place + 1] = (place, text[place])
                 continue
-            for size in range(1, self.longest + 1):
-                piece = text[place : place + size]
-                if len(piece) == size and self.stands(piece) and (before not in self.number or self.pair_fits(before, piece)):
-                    reached[place + size] = (place, piece)
+            for piece in self.standing(text, place):
+                if before not in self.number or self.pair_fits(before, piece):
+                    reached[place + len(piece)] = (place, piece)
         return reached
 
+    def standing(self, text: str, place: int) -> Iterator[str]:
+        """Pieces that begin at ``place`` and encode to themselves."""
+        for size in range(1, min(self.longest, len(text) - place) + 1):
+            piece = text[place : place + size]
+            if piece not in self.heads:
+                return
+            if self.stands(piece):
+                yield piece
+
+    def walk(self, text: str, starts: list[tuple[int, int]], end: int) -> dict[int, dict[int, int]]:
+        """Position from ``end`` on -> begin of a piece that ends there -> bits of the ``starts`` (begin and end of a
+        piece) that lead to it. What follows a piece does not depend on how it was reached, so paths that meet go on as one.
+        """
+        reached: dict[int, dict[int, int]] = {}
+        for i, (begin, place) in enumerate(starts):
+            reached.setdefault(place, {})[begin] = 1 << i
+        for place in range(min(reached, default=end), end):
+            ways = reached.pop(place, None)
+            if not ways:
+                continue
+            before = [(text[begin:place], bits) for begin, bits in ways.items()]
+            if text[place] not in self.number:
+                steps = [(text[place], _any(ways.values()))]
+            else:
+                steps = [
+                    (piece, _any(bits for last, bits in before if last not in self.number or self.pair_fits(last, piece)))
+                    for piece in self.standing(text, place)
+                ]
+            for piece, bits in steps:
+                if bits:
+                    reached.setdefault(place + len(piece), {})[place] = bits
+        return reached
+
+
+def _any(bits: Iterable[int]) -> int:
+    return reduce(or_, bits, 0)
+
 
 _models: dict[str, PieceModel] = {}
 
@@ -166,15 +206,14 @@ def transfer(model: PieceModel, text: str, begin: int, end: int, first: bool) ->
     entries = [(0, 0)] if first else _entries(model, text, begin)
     edges = _edges(model, text, begin + model.longest, end - 1) if end - begin > 2 * model.longest else None
     pairs = []
+    reached = model.walk(text, [(begin - before, begin + after) for before, after in entries], end if edges is None else edges[0])
     if edges is None:
-        for before, after in entries:
-            reached = model.lattice(text, begin + after, text[begin - before : begin + after], end)
-            pairs += [(before * STATES + after, b * STATES + a) for b, a in _exits(reached, end)]
+        ends = [((end - at, place - end), bits) for place, ways in reached.items() for at, bits in ways.items() if at < end]
     else:
-        tail = [b * STATES + a for b, a in _exits(model.lattice(text, edges[1], "", end), end)]
-        for before, after in entries:
-            if edges[0] in model.lattice(text, begin + after, text[begin - before : begin + after], edges[0]):
-                pairs += [(before * STATES + after, out) for out in tail]
+        bits = _any(reached.get(edges[0], {}).values())
+        ends = [(out, bits) for out in _exits(model.lattice(text, edges[1], "", end), end)]
+    for (b, a), bits in ends:
+        pairs += [(before * STATES + after, b * STATES + a) for i, (before, after) in enumerate(entries) if bits >> i & 1]
     return np.array(pairs, np.int32).reshape(-1, 2)
 
 
@@ -324,7 +363,9 @@ def encode(docs: DataFrame, model: str | None = None, chunk_chars: int = CHUNK_C
     numbered = docs.filter(~short).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = materialize(numbered.mapInArrow(split, CHUNKS), "text-chunks")
     matrices = chunks.mapInArrow(transfers, "row long, chunk int, chunks int, matrix binary")
-    states = matrices.groupBy("row").applyInPandas(scanned, "row long, chunk int, state_in int, state_out int")
+    # products are much work for few bytes: a number of partitions that adaptive execution does not merge
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, chunks.count() // CHUNKS_A_TASK)
+    states = matrices.repartition(tasks, "row").groupBy("row").applyInPandas(scanned, "row long, chunk int, state_in int, state_out int")
     parts = chunks.join(states, ["row", "chunk"]).mapInArrow(traced, "row long, doc_id long, chunk int, ids binary, decoded binary")
     return docs.filter(short).mapInArrow(whole, ENCODED).union(parts.groupBy("row").applyInPandas(joined, ENCODED))
 

@@ -169,6 +169,19 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["-" * 200, "=-" * 90, "thingsandotherthings" * 9, "日本é😀a" * 30, "aGVsbG8gd29ybGQ" * 12, "ab▁▁▁cd" * 25])
+def test_states_walked_together_or_alone_end_alike(text):
+    model = pieces._model(public_tokenizers.path(pieces.MODEL))
+    entries = pieces._entries(model, text, 40)
+    end = len(text) - 40
+    together = model.walk(text, [(40 - b, 40 + a) for b, a in entries], end)
+    for i, (b, a) in enumerate(entries):
+        alone = model.lattice(text, 40 + a, text[40 - b : 40 + a], end)
+        assert sorted(pieces._exits(alone, end)) == sorted(
+            (end - at, place - end) for place, ways in together.items() for at, bits in ways.items() if at < end and bits >> i & 1
+        )
+
+
 def test_products_are_associative():
     random_ = np.random.default_rng(1)
     a, b, c = (np.unique(random_.integers(0, 6, (9, 2)), axis=0).astype(np.int32) for _ in range(3))
