@@ -63,3 +63,15 @@ def test_frontiers_have_a_row_for_each_node_and_block(spark):
     for frontier in graph.frontiers(numbered, table, 3):
         assert frontier.count() <= 151 * blocks
     assert graph.traverse_hops(starts, table, 0).count() == 0
+
+
+def test_starts_with_one_neighbour_walk_together(spark):
+    """Starts of 16 nations, their names in turn: a block holds one nation, so its frontier is that nation and its members."""
+    links = spark.createDataFrame([(f"c{i:04}", f"n{i % 16:02}", "in") for i in range(1024)], "src string, dst string, type string")
+    both = links.unionByName(links.selectExpr("dst as src", "src as dst", "type"))
+    starts = links.select(links.src.alias("start"))
+    numbered = graph.numbered_starts(starts, both)
+    first, second = graph.frontiers(numbered, both, 2)[1:]
+    assert numbered.select("block").distinct().count() < 32
+    assert first.count() < 2 * 16 and second.count() < 2 * 1024
+    assert graph.traverse_hops(starts, both, 2).count() == 1024 + 1024 * 63
