@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,7 +67,7 @@ def _bind(triples: DataFrame, pattern: Sequence[str | None]) -> DataFrame:
 def match_patterns(triples: DataFrame, patterns: Sequence[Sequence[str | None]]) -> DataFrame:
     """Several patterns joined on the variables they share: a column per variable, a row per way all of them hold.
 
-    Three patterns that close a cycle meet in one shuffle (``_triangle``). Others are joined in the order of their counted
+    Three patterns that close a cycle are joined by ``_triangle``. Others are joined in the order of their counted
     matches, the fewest first, each next to one it shares a variable with.
     """
     bound = [_bind(triples, p) for p in patterns]
@@ -89,6 +90,8 @@ def match_patterns(triples: DataFrame, patterns: Sequence[Sequence[str | None]])
 
 #: Matches of the patterns of a cycle that one group of its shuffle holds, about.
 CELL_ROWS = 100_000
+#: Two patterns of a cycle are joined first if that gives at most so many rows for each match of the three.
+OPEN_ROWS = 2
 
 
 def _is_triangle(bound: Sequence[DataFrame]) -> bool:
@@ -99,9 +102,9 @@ def _is_triangle(bound: Sequence[DataFrame]) -> bool:
 def _triangle(bound: Sequence[DataFrame]) -> DataFrame:
     """All ways three patterns over (x, y), (y, z) and (z, x) hold together, with their copies.
 
-    Values of each variable are dealt into ``shares`` parts, and a group gets the matches whose values fall into its three parts: every
-    match goes to ``shares`` groups, and a value with very many matches is spread over shares ** 2 of them. Inside a group
-    the lists of a match's two ends are intersected, so nothing is ever larger than the matches and the result.
+    The rows that two of the patterns give are counted from how often they have each value of the variable they share. If the
+    fewest are no more than ``OPEN_ROWS`` for each match, as where a variable decides another, these two are joined and the third closes
+    them: work grows with the matches. Else they meet in ``_shared``.
     """
     names = list(dict.fromkeys(c for b in bound for c in b.columns))
     counted = [
@@ -109,6 +112,36 @@ def _triangle(bound: Sequence[DataFrame]) -> DataFrame:
         for b in bound
     ]
     rows = sum(c.count() for c in counted)
+    opened = {pair: _open_rows(counted[pair[0]], counted[pair[1]]) for pair in ((0, 1), (1, 2), (0, 2))}
+    i, j = min(opened, key=opened.get)
+    if opened[i, j] <= OPEN_ROWS * rows:
+        copies = reduce(lambda a, b: a * b, [F.col(f"_n{k}") for k in range(3)])
+        first, second, third = (counted[k].withColumnRenamed("_n", f"_n{at}") for at, k in enumerate((i, j, 3 - i - j)))
+        path = first.join(second, _shared_names(first, second))
+        found = path.join(third, _shared_names(path, third)).withColumn("_n", copies)
+    else:
+        found = _shared(counted, names, rows)
+    return found.select(*(F.col(f"`{k}`") for k in names), F.explode(F.expr("sequence(1L, _n)")).alias("_copy")).drop("_copy")
+
+
+def _shared_names(a: DataFrame, b: DataFrame) -> list[str]:
+    return [k for k in a.columns if k in b.columns and k != "_n"]
+
+
+def _open_rows(a: DataFrame, b: DataFrame) -> float:
+    """Rows of ``a`` joined with ``b`` on the variable they share."""
+    (name,) = _shared_names(a, b)
+    sizes = [c.groupBy(name).agg(F.count(F.lit(1)).cast("double").alias(f"_rows{i}")) for i, c in enumerate((a, b))]
+    return sizes[0].join(sizes[1], name).agg(F.sum(F.col("_rows0") * F.col("_rows1"))).first()[0] or 0.0
+
+
+def _shared(counted: Sequence[DataFrame], names: Sequence[str], rows: int) -> DataFrame:
+    """The ways three counted patterns in a cycle hold together, ``names`` and ``_n``.
+
+    Values of each variable are dealt into ``shares`` parts, and a group gets the matches whose values fall into its three parts: every
+    match goes to ``shares`` groups, and a value with very many matches is spread over shares ** 2 of them. Inside a group
+    the lists of a match's two ends are intersected, so nothing is ever larger than the matches and the result.
+    """
     shares = max(2, round((rows / CELL_ROWS) ** 0.5))
 
     def part(name: str) -> Column:
@@ -142,8 +175,7 @@ def _triangle(bound: Sequence[DataFrame]) -> DataFrame:
         return pd.DataFrame(out, columns=[x, y, free, "_n"])[[*names, "_n"]]
 
     cells = union_all(tagged).groupBy("_cell0", "_cell1", "_cell2")
-    found = cells.applyInPandas(close, schema)
-    return found.select(*(F.col(f"`{k}`") for k in names), F.explode(F.expr("sequence(1L, _n)")).alias("_copy")).drop("_copy")
+    return cells.applyInPandas(close, schema)
 
 
 def delete_triples(triples: DataFrame, gone: DataFrame) -> DataFrame:

@@ -36,6 +36,25 @@ def test_patterns_of_any_shape(spark, patterns):
     assert sorted(tuple(sorted(r.asDict().items())) for r in got) == brute(rows, patterns)
 
 
+@pytest.mark.parametrize("hubs", [False, True])
+def test_cycles_open_where_a_variable_decides_another(spark, monkeypatch, hubs):
+    """Each shop has one town, so two patterns are joined; among hubs that all link to each other that would be too many rows."""
+    rnd = random.Random(8)
+    if hubs:
+        rows = [(f"a{i}", p, f"a{j}") for i in range(12) for j in range(12) for p in ("buys", "sells", "lives") if rnd.random() < 0.9]
+    else:
+        rows = [(f"c{rnd.randrange(30)}", "buys", f"s{rnd.randrange(20)}") for _ in range(200)]
+        rows += [(f"s{i}", "sells", f"n{i % 3}") for i in range(20)] + [(f"c{i}", "lives", f"n{i % 3}") for i in range(30)]
+    shared = []
+    plain = triples._shared
+    monkeypatch.setattr(triples, "_shared", lambda *given: shared.append(1) or plain(*given))
+    table = spark.createDataFrame(rows, "s string, p string, o string")
+    got = triples.match_patterns(table, [("?c", "buys", "?s"), ("?s", "sells", "?n"), ("?c", "lives", "?n")]).collect()
+    by = {p: [(s, o) for s, q, o in rows if q == p] for p in ("buys", "sells", "lives")}
+    want = [(c, s, n) for c, s in by["buys"] for t, n in by["sells"] if t == s for d, m in by["lives"] if (d, m) == (c, n)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and bool(shared) == hubs
+
+
 def test_patterns_that_share_nothing_are_refused(spark):
     table = spark.createDataFrame([("a", "k", "b")], "s string, p string, o string")
     with pytest.raises(RequestError):
