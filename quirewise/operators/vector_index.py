@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import RequestError
-from ..functions.cosine import RunningTop, to_matrix, unit_rows
+from ..functions.cosine import RunningTop, rounded, to_matrix, unit_rows
 from ..functions.streams import SPLIT_ROWS, against_all
 from ..session import materialize
 from .keyword import top_k
@@ -75,7 +75,7 @@ def rejected_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 
 def _cells_of(unit: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
     """The ``count`` nearest cells of each row, nearest first, ties to the smaller number."""
-    near = np.round(unit @ centres.T, 6)
+    near = rounded(unit @ centres.T)
     return np.argsort(-near, axis=1, kind="stable")[:, :count]
 
 
@@ -86,7 +86,7 @@ def _fit(sample: np.ndarray, cells: int) -> tuple[np.ndarray, float]:
     owner = _cells_of(unit, centres)[:, 0]
     moved = np.zeros_like(centres)
     np.add.at(moved, owner, unit)
-    return np.round(unit_rows(moved), 6), float(np.abs(unit).max())
+    return rounded(unit_rows(moved)), float(np.abs(unit).max())
 
 
 def encode(unit: np.ndarray, scale: float) -> np.ndarray:
@@ -199,7 +199,7 @@ def search_index(
             for number in np.unique(cell).tolist():
                 some, wanted = np.flatnonzero(cell == number), of_cell.get(number, [])
                 if wanted:
-                    near = np.round(decode(codes[some], dim, scale) @ unit[wanted].T, 6)
+                    near = rounded(decode(codes[some], dim, scale) @ unit[wanted].T)
                     for column, q in enumerate(wanted):
                         best.offer(q, near[:, column], ids[some])
                     place.update((i, number) for q in wanted for i in best.ids[q].tolist() if i not in place)
