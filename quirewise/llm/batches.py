@@ -1,27 +1,14 @@
-"""Arrow batches of bounded size, and columns computed from them."""
+"""Columns computed from Arrow batches of bounded size."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about ``limit`` bytes of text each, one row at least."""
-    if not batch.num_rows:
-        return
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
-    offsets = np.append(0, np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
+from ..functions.streams import pieces
 
 
 def add_columns(df: DataFrame, schema: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], text: str = "text") -> DataFrame:
