@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.streams import pieces
 from ..functions.text import base_name, extension
 from .listing import read_whole_text
 from .office import read_docx, read_pptx
@@ -48,10 +49,10 @@ def extract_documents(files: DataFrame, extractors: Mapping[str, Extractor] | No
     """
     decoders = {**EXTRACTORS, **(extractors or {})}
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces(whole, "content")):
             texts, errors = [], []
-            for ext, content in zip(batch["ext"], batch["content"]):
+            for ext, content in zip(batch["ext"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 try:
                     if ext not in decoders:
                         raise ValueError(f"no decoder for {ext or 'files without extension'}")
@@ -60,9 +61,10 @@ def extract_documents(files: DataFrame, extractors: Mapping[str, Extractor] | No
                 except Exception as exc:  # any damage is this file's, not the job's
                     texts.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"file": batch["file"], "content": texts, "error": errors})
+            columns = [batch["file"], pa.array(texts, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "content", "error"])
 
-    raw = files.select("file", extension("file").alias("ext"), "content").mapInPandas(
+    raw = files.select("file", extension("file").alias("ext"), "content").mapInArrow(
         extract, "file string, content string, error string"
     )
     name = base_name("file")
