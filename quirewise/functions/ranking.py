@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .cosine import RunningTop, unit_rows
+from .cosine import RunningTop, rounded, unit_rows
 
-SLICE_CELLS, BLOCK_DOCUMENTS = 1 << 21, 512
+#: Cells of documents by questions, listed words, and listed words times their questions, that a task works on at a time.
+SLICE_CELLS, SLICE_WORDS, SLICE_ASKED = 1 << 19, 1 << 18, 1 << 19
+BLOCK_DOCUMENTS = 512
 K1, B = 1.5, 0.75
 
 
@@ -88,12 +90,25 @@ class Listed:
         return Listed(self.word[lo:hi], self.document[lo:hi] - a, self.part[lo:hi], b - a)
 
     def scores(self, block: QuestionBlock) -> np.ndarray:
-        """Okapi BM25, documents by questions, rounded; NaN where a document has none of a question's words."""
+        """Okapi BM25, documents by questions, rounded; NaN where a document has none of a question's words.
+
+        A word stands for as many numbers as questions ask for it, so documents are summed up a bounded number of these at a time.
+        """
+        each = block.starts[self.word + 1] - block.starts[self.word]
+        reach = np.append(0, np.cumsum(np.bincount(self.document, each, self.count)))
+        out, a = np.empty((self.count, len(block.ids))), 0
+        while a < self.count:
+            b = max(a + 1, int(np.searchsorted(reach, reach[a] + SLICE_ASKED, "right")) - 1)
+            out[a:b] = self.between(a, b)._summed(block)
+            a = b
+        return out
+
+    def _summed(self, block: QuestionBlock) -> np.ndarray:
         each = block.starts[self.word + 1] - block.starts[self.word]
         at = np.repeat(block.starts[self.word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
         cell = np.repeat(self.document, each) * len(block.ids) + block.asked[at]
         total = np.bincount(cell, block.weights[at] * np.repeat(self.part, each), self.count * len(block.ids))
-        return np.where(total > 0, np.round(total, 6), np.nan).reshape(self.count, len(block.ids))
+        return np.where(total > 0, rounded(total), np.nan).reshape(self.count, len(block.ids))
 
     def largest(self, block: QuestionBlock) -> np.ndarray:
         """For each question the sum of its words' largest parts: no document of these scores more."""
@@ -115,14 +130,18 @@ def vector_scores(block: QuestionBlock, vectors: pa.ListArray) -> np.ndarray:
     out = np.full((len(vectors), len(block.ids)), np.nan)
     if len(rows) and dim:
         flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out[rows] = np.round(unit_rows(flat.reshape(len(rows), dim)) @ block.vectors.T, 6)
+        out[rows] = rounded(unit_rows(flat.reshape(len(rows), dim)) @ block.vectors.T)
     return out
 
 
 def _slices(batch: pa.RecordBatch, questions: int) -> Iterator[pa.RecordBatch]:
     step = max(1, SLICE_CELLS // max(1, questions))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    listed = pc.fill_null(pc.list_value_length(batch["postings"]), 0).to_numpy(zero_copy_only=False)
+    reach, at = np.append(0, np.cumsum(listed, dtype=np.int64)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + step, int(np.searchsorted(reach, reach[at] + SLICE_WORDS, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _both(block: QuestionBlock, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +176,7 @@ def best_keywords(
     """
     top = RunningTop(len(block.ids), k)
     least = np.full(len(block.ids), -np.inf)
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole, len(block.ids))):
         ids = batch["doc_id"].to_numpy(zero_copy_only=False)
         listed = Listed.of(block, batch["doc_len"].to_numpy(zero_copy_only=False), batch["postings"])
         step = max(1, min(BLOCK_DOCUMENTS, SLICE_CELLS // max(1, len(block.ids))))
@@ -187,7 +206,7 @@ def best_fused(batches: Iterator[pa.RecordBatch], block: QuestionBlock, k: int)
             ids = part["doc_id"].to_numpy(zero_copy_only=False)
             v, t = _both(block, part)
             fused = block.shares[0] * _unit(v, *block.bounds[:2]) + block.shares[1] * _unit(t, *block.bounds[2:])
-            scores = np.where(np.isnan(v) & np.isnan(t), np.nan, np.round(fused, 6))
+            scores = np.where(np.isnan(v) & np.isnan(t), np.nan, rounded(fused))
             for q in np.flatnonzero(~np.isnan(scores).all(axis=0)):
                 rows = np.flatnonzero(~np.isnan(scores[:, q]))
                 top.offer(q, scores[rows, q], ids[rows])
