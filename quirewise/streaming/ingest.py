@@ -6,11 +6,9 @@ import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions.text import base_name
 from ..library import Library
@@ -66,57 +64,34 @@ def ingest_stream(
     )
 
 
-def remembered(keys: Sequence[str], order_by: Sequence[str], schema: T.StructType):
-    """The state function of ``ingest_keyed``: the first row of a key ever is taken, all others get an error.
-
-    A key's rows come in chunks; one row is held back while a better first may come, so a hot key takes no memory.
-    """
-    names = [*schema.names, "error"]
-
-    def decide(key, chunks, state: GroupState):
-        known, best = state.exists, None
-        for chunk in chunks:
-            if known:
-                yield chunk.assign(error="key already stored")[names]
-                continue
-            chunk = chunk.sort_values(list(order_by), kind="stable")
-            first, rest = chunk.iloc[:1], chunk.iloc[1:]
-            if best is not None:
-                both = pd.concat([best, first]).sort_values(list(order_by), kind="stable")
-                first, rest = both.iloc[:1], pd.concat([both.iloc[1:], rest])
-            best = first
-            if len(rest):
-                yield rest.assign(error="key repeated in this batch")[names]
-        if best is not None:
-            state.update((True,))
-            yield best.assign(error=pd.Series([None], index=best.index, dtype=object))[names]
-
-    return decide
-
-
 def ingest_keyed(
     arriving: DataFrame, target: str, rejects: str, checkpoint: str, keys: Sequence[str], order_by: Sequence[str]
 ) -> None:
     """As ``ingest_stream``, with the ids kept as streaming state: a micro-batch reads nothing of the table it adds to.
 
-    What is known of a key lives in the query's state store (set ``spark.sql.streaming.stateStore.providerClass`` to the
-    RocksDB one where keys outgrow memory) and commits with its batch, so a replay decides as before and writes its
-    own ``batch_id`` partition again. The table must begin with this query. A row without a key is refused.
+    The state is that of ``dropDuplicates`` over the keys, text keys as SHA-256 digests: it tells which keys of a micro-batch are
+    new (set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB one where keys outgrow memory). It commits with its
+    batch, so a replay decides as before and writes its own ``batch_id`` partition again. Of a new key's rows the first under
+    ``order_by`` is taken. The table must begin with this query. A row without a key is refused.
     """
-    out = T.StructType([*arriving.schema.fields, T.StructField("error", T.StringType())])
-    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    decided = arriving.filter(keyed).groupBy(*keys).applyInPandasWithState(
-        remembered(keys, order_by, arriving.schema), out, "seen boolean", "append", "NoTimeout"
-    )
-    refused = arriving.filter(~keyed).withColumn("error", F.lit("missing key"))
+    texts = {f.name for f in arriving.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))}
+    short = {f"_key{i}": F.unhex(F.sha2(F.col(f"`{k}`").cast("binary"), 256)) if k in texts else F.col(f"`{k}`") for i, k in enumerate(keys)}
+    rows = arriving.withColumns(short)
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in short])
+    fresh = rows.filter(keyed).select(*short).dropDuplicates(list(short)).withColumn("_fresh", F.lit(True))
+    both = rows.withColumn("_fresh", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = materialize(batch, "decided")
+        arrived = materialize(batch.withColumn("_row", F.monotonically_increasing_id()), "arrived")
+        given = arrived.filter("not _fresh").drop("_fresh")
+        known = given.select(*short).distinct().join(arrived.filter("_fresh").select(*short), list(short), "left_anti")
+        checked = insert_if_absent(known, given, list(short), [*order_by, "_row"])
+        checked = materialize(checked.select(*arriving.columns, "error"), "decided")
         checked.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
         checked.filter("error is not null").write.mode("overwrite").parquet(f"{rejects}/{BATCH}={batch_id}")
 
     (
-        decided.unionByName(refused).writeStream.foreachBatch(write)
+        both.writeStream.foreachBatch(write)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
