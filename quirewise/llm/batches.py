@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions.streams import pieces
+from ..session import bound_batches
 
 
 def add_columns(df: DataFrame, schema: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], text: str = "text") -> DataFrame:
     """``df`` with the columns of ``schema``, computed from slices of bounded text; same names are replaced."""
+    bound_batches(df.sparkSession)
     new = _parse_datatype_string(schema).fields
     kept = df.drop(*(f.name for f in new))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from .batches import pieces
 from .linking import Rule, fingerprint, linked_components, named_rows
 from .texthash import mix, shingle_sets
@@ -33,7 +33,7 @@ from .texthash import mix, shingle_sets
 COUNT_BITS = 18
 COUNT_BLOCKS = 16
 #: Prefix entries a packed block partition should hold, and those a map task gathers before it passes blocks on.
-PART_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
+PART_ENTRIES, FLUSH_ENTRIES = 400_000, 250_000
 
 
 def _key_counts(h: np.ndarray) -> np.ndarray:
@@ -64,9 +64,12 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _sum_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in frame["counts"])
-    return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [total.tobytes()]})
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << COUNT_BITS) // COUNT_BLOCKS, np.int64)
+    for batch in batches:
+        for x in batch["counts"]:
+            total += np.frombuffer(x.as_buffer(), np.int32)
+    yield pa.RecordBatch.from_arrays([batch["block"][:1], pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
 def _prefixes(order, parts: int):
@@ -173,12 +176,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A component's id is its smallest doc_id. Rows that repeat an id are rows of their own with the same id.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     described = materialize(docs.mapInArrow(_describe, "doc_id long, n long, fp long, bitmap binary, block int, counts binary"), "described")
     nodes = described.filter("block is null").select("doc_id", "n", "fp")
     blocks = described.filter("block is not null").select("block", "counts")
     table = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.int64)
-    for row in blocks.groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").collect():
+    for row in blocks.groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect():
         table[row["block"]] = np.frombuffer(row["counts"], np.int64)
     order = spark.sparkContext.broadcast(table.reshape(-1))
     classes = materialize(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from .batches import pieces
 from .linking import Rule, fingerprint, linked_components, named_rows
 from .texthash import mix, shingle_sets
@@ -110,6 +110,7 @@ def _bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text); kept rows name their component."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     described = materialize(docs.mapInArrow(_describe, "doc_id long, n long, fp long, sketch binary"), "signatures")
     classes = described.filter("n > 0").groupBy("fp").agg(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 
 SEQUENCE = 2048
 #: Pieces of a block, islands of a block, packings of an island, most epochs, crossovers without gain that end an epoch.
@@ -32,8 +32,8 @@ BLOCK_PIECES, ISLANDS, POPULATION, EPOCHS, PATIENCE = 4096, 2, 4, 4, 10
 #: Islands that one task evolves in turn on large inputs.
 ISLANDS_A_TASK = 32
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded words a worker keeps; when full it starts again.
-CACHE_WORDS = 600_000
+#: Encoded words a worker keeps, in about 400 bytes each; when full it starts again.
+CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -104,6 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     Null texts are empty, that is the closing id alone.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
+    bound_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)

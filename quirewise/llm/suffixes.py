@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from .batches import pieces
 from .texthash import mix, text_bytes
 
@@ -430,6 +430,7 @@ def tagged(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tag, whole) of suffixes covered, and (doc_id, tag, begins) of strings found at borders, both packed."""
+    bound_batches(docs.sparkSession)
     texts = tagged(docs).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(64, size // 13 // PART_SUFFIXES + 1))

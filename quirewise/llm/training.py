@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .batches import pieces
 
 #: Documented bound of a training sample: this many labelled rows, chosen by a hash of doc_id.
@@ -32,6 +32,7 @@ def training_rows(
     ``features`` gives the sorted distinct feature numbers of each text. Rows without an id or a label
     are not learned from; a document labelled twice is learned from twice.
     """
+    bound_batches(docs.sparkSession)
     sample = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
@@ -65,13 +66,14 @@ def fit(
     """
     shared = rows.sparkSession.sparkContext.broadcast(state)
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["place", "label"], kind="stable")
-        examples = [(int(y), np.frombuffer(x, np.int32)) for y, x in zip(frame["label"], frame["features"], strict=True)]
+    def one(table: pa.Table) -> pa.Table:
+        place, label, found = table["place"].to_numpy(), table["label"].to_numpy(), table["features"]
+        # the examples are views of the table, which holds all features of the shard once
+        examples = [(int(label[i]), np.frombuffer(found[int(i)].as_buffer(), np.int32)) for i in np.lexsort((label, place))]
         fitted = fit_shard(examples, shared.value.copy())
-        return pd.DataFrame({"rows": [len(frame)], "state": [fitted.astype(np.float32).tobytes()]})
+        return pa.table({"rows": pa.array([len(table)], pa.int64()), "state": pa.array([fitted.astype(np.float32).tobytes()], pa.binary())})
 
-    fitted = rows.groupBy("shard").applyInPandas(one, "rows long, state binary").collect()
+    fitted = rows.groupBy("shard").applyInArrow(one, "rows long, state binary").collect()
     shared.unpersist()
     if not fitted:
         return state
