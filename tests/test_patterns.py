@@ -94,3 +94,37 @@ def test_starts_with_one_neighbour_walk_together(spark):
     assert numbered.select("block").distinct().count() < 32
     assert first.count() < 2 * 16 and second.count() < 2 * 1024
     assert graph.traverse_hops(starts, both, 2).count() == 1024 + 1024 * 63
+
+
+def test_starts_with_the_same_neighbours_are_one_class(spark):
+    """All 1,024 starts of 4 nations walk as 4 bits of one block: a frontier has a row for a node, not for a node and 64 starts."""
+    links = spark.createDataFrame([(f"c{i:04}", f"n{i % 4}", "in") for i in range(1024)], "src string, dst string, type string")
+    both = links.unionByName(links.selectExpr("dst as src", "src as dst", "type"))
+    numbered = graph.numbered_starts(links.select(links.src.alias("start")), both)
+    first, second = graph.frontiers(numbered, both, 2)[1:]
+    assert numbered.count() == 1024 and numbered.select("block", "bit").distinct().count() == 4
+    assert first.count() == 4 and second.count() == 1024
+
+
+@pytest.mark.parametrize("dealt_pairs, max_bytes", [(0, 1 << 26), (1 << 40, 1 << 26), (1 << 40, 0)])
+def test_hops_of_starts_that_are_alike(spark, monkeypatch, dealt_pairs, max_bytes):
+    """Twins that link to themselves and to each other, hubs, null ends, unknown starts, several pieces and parts of a class."""
+    for name, value in {"TWIN_LINKS": 3, "PIECE_STARTS": 3, "PART_SLOTS": 2, "LEAST_PAIRS": 50, "DEALT_PAIRS": dealt_pairs, "MAX_BYTES": max_bytes}.items():
+        monkeypatch.setattr(graph, name, value)
+    rnd = random.Random(8)
+    ways = [(f"c{i}", f"n{i % 4}") for i in range(90)] + [(f"n{i}", f"r{i % 2}") for i in range(4)]
+    ways += [(b, a) for a, b in ways] + [(f"c{i}", f"c{i}") for i in range(0, 90, 7)] + [("c1", None), ("c5", None), ("n2", None), (None, "n1")]
+    ways += [(f"t{i}", f"t{j}") for i in range(3) for j in range(3)] + [("hub", f"c{i}") for i in range(9)] + [("t0", "hub"), ("u", "t0")]
+    ways += [(f"d{i}", None if d == 9 else f"d{d}") for i in range(40) for d in rnd.sample(range(10), 2)]
+    table = spark.createDataFrame([(a, b, "x") for a, b in ways + ways[:20]], "src string, dst string, type string").repartition(4)
+    starts = sorted({a for a, _ in ways if a} | {"absent", "r0"})
+    want = set()
+    for start in starts:
+        seen, front = {start}, {start}
+        for hop in (1, 2, 3):
+            front = {b for a, b in ways if a is not None and a in front} - seen
+            seen |= front - {None}
+            want |= {(start, b, hop) for b in front}
+    given = spark.createDataFrame([(s,) for s in [*starts, "c1", None]], "start string")
+    rows = [tuple(r) for r in graph.traverse_hops(given, table, 3).collect()]
+    assert len(rows) == len(want) and set(rows) == want
